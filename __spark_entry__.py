@@ -54,7 +54,7 @@ def _registered(spark, d):
 
 
 def _deleted(spark, d):
-    """Drivers that make way when every third car is deleted, by table and blocked keys."""
+    """What is left when the 4WD cars are deleted, and which of them are blocked."""
     t = star.tables(spark, d)
     keys = t["car"].filter(F.col("drive_class") == "4WD").select("car_num")
     kept, blocked = cascade.delete_cascade(t, "car", keys)
@@ -62,7 +62,7 @@ def _deleted(spark, d):
 
 
 def _deleted_drivers(spark, d):
-    """Delete the drivers whose every run is untimed or penalised away from a result."""
+    """What is left when the drivers who did not qualify are deleted, and who is blocked."""
     t = star.tables(spark, d)
     keys = (
         results.stage_results(t["driver"], t["car"], t["run"], STAGES)
@@ -73,6 +73,14 @@ def _deleted_drivers(spark, d):
     return _table_sizes(kept, blocked)
 
 
+def _deleted_courses(spark, d):
+    """Runs left when the course that holds the fastest attempt is deleted."""
+    t = star.tables(spark, d)
+    fastest = t["run"].agg(F.min_by("crs_id", F.struct("seconds", "crs_id")).alias("course_id"))
+    kept, _ = cascade.delete_cascade(t, "course", fastest)
+    return kept["run"]
+
+
 def _table_sizes(tables, blocked):
     counts = [
         df.agg(F.count("*").alias("size"), F.sum(key).cast("bigint").alias("key_sum")).select(
@@ -178,8 +186,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # Results
         "overall_results": _overall,
         "overall_labels": lambda s, d: results.result_labels(_results(s, d), STAGES),
-        "overall_positions": lambda s, d: results.positions(_results(s, d)).select(
-            "driver_id", "overall", "position"
+        "overall_positions": lambda s, d: results.positions(
+            _results(s, d).select("driver_id", "overall")
         ),
         "leader_medals": lambda s, d: results.leader_medals(_results(s, d)),
         "top_n": lambda s, d: results.top_n(_results(s, d)),
@@ -241,7 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # Audits, defaults and cascades
         "audit_primary_key": lambda s, d: quality.audit_primary_key(
-            s.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]
+            star.read(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]
         ),
         "audit_foreign_key": lambda s, d: quality.audit_foreign_key(
             star.applicants(s, d), "caregiver",
@@ -260,6 +268,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "delete_cars": _deleted,
         "delete_drivers": _deleted_drivers,
+        "delete_courses": _deleted_courses,
         "rekey_drivers": _rekeyed_drivers,
         "rekey_courses": _rekeyed_courses,
         "rekey_cars": _rekeyed_cars,

@@ -48,21 +48,31 @@ def lookup_join(
     return rows.join(lookup, matches, how).drop(lookup_key)
 
 
-def pair_all(left: DataFrame, right: DataFrame, splits: int = 8) -> DataFrame:
+def pair_all(
+    left: DataFrame, right: DataFrame, left_splits: int, right_splits: int = 4
+) -> DataFrame:
     """Every left row with every right row, for results that are a product by definition.
 
-    Both sides are laid on a grid of ``splits`` x ``splits`` cells and equi-joined on
-    the cell: a left row goes to all cells of its row, a right row to all cells of
-    its column. Each side is copied ``splits`` times, whatever its size, and no task
-    needs a whole side.
+    Both sides are laid on a grid and equi-joined on its cells: the left side is cut
+    into ``left_splits`` parts, each copied to ``right_splits`` cells, and the right
+    side the other way round. No task needs a whole side and nothing is broadcast
+    unless it was measured to be small. With no more splits than rows on a side, the
+    copies are never more than the result.
     """
-    cells = F.array(*[F.lit(i) for i in range(splits)])
-    placed_left = left.withColumn(
-        "_grid_row", F.pmod(F.xxhash64(*left.columns), F.lit(splits)).cast("int")
-    ).withColumn("_grid_column", F.explode(cells))
-    placed_right = right.withColumn(
-        "_grid_column", F.pmod(F.xxhash64(*right.columns), F.lit(splits)).cast("int")
-    ).withColumn("_grid_row", F.explode(cells))
+
+    def part(columns, splits):
+        return F.pmod(F.xxhash64(*columns), F.lit(splits)).cast("int")
+
+    placed_left = left.select(
+        "*",
+        part(left.columns, left_splits).alias("_grid_row"),
+        F.explode(F.sequence(F.lit(0), F.lit(right_splits - 1))).alias("_grid_column"),
+    )
+    placed_right = right.select(
+        "*",
+        part(right.columns, right_splits).alias("_grid_column"),
+        F.explode(F.sequence(F.lit(0), F.lit(left_splits - 1))).alias("_grid_row"),
+    )
     return placed_left.join(placed_right, ["_grid_row", "_grid_column"]).drop(
         "_grid_row", "_grid_column"
     )

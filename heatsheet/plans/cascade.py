@@ -78,16 +78,6 @@ def delete_cascade(
     return kept, blocked
 
 
-def _rekeyed(rows: DataFrame, column: str, mapping: DataFrame, spread_by: str | None) -> DataFrame:
-    order = rows.columns
-    lookup = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-    return (
-        lookup_join(rows, broadcast_if_small(lookup), column, "_old", spread_by=spread_by)
-        .withColumn(column, F.coalesce("_new", column))
-        .select(*order)
-    )
-
-
 def rekey_cascade(
     tables: dict[str, DataFrame], table: str, mapping: DataFrame
 ) -> dict[str, DataFrame]:
@@ -95,8 +85,16 @@ def rekey_cascade(
 
     ``mapping`` has one row per ``old`` key.
     """
+    lookup = broadcast_if_small(
+        mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    )
     changed = dict(tables)
     for name, column in [(table, KEYS[table]), *FOLLOWERS[table]]:
+        rows = changed[name]
         spread = "driver_id" if column == "caregiver" else None
-        changed[name] = _rekeyed(changed[name], column, mapping, spread)
+        changed[name] = (
+            lookup_join(rows, lookup, column, "_old", spread_by=spread)
+            .withColumn(column, F.coalesce("_new", column))
+            .select(*rows.columns)
+        )
     return changed

@@ -139,10 +139,10 @@ def rejected_applicants(
     )
 
 
-def new_driver_rows(registered: DataFrame) -> DataFrame:
-    """Registered applicants as rows of the driver table, ready to append."""
+def new_driver_rows(registered: DataFrame, driver: DataFrame) -> DataFrame:
+    """Registered applicants as rows of ``driver``, with its columns and types."""
     return registered.select(
-        "driver_id", "first_name", "surname", "date_of_birth", "age", "caregiver", "car"
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in driver.schema]
     )
 
 
@@ -171,19 +171,22 @@ def blank_slots(run: DataFrame) -> DataFrame:
 
 
 def blank_runs(new_drivers: DataFrame, run: DataFrame) -> DataFrame:
-    """An untimed run for each new driver on every slot.
+    """An untimed run for each new driver on every slot, as rows of ``run``.
 
-    The result is a product by definition; ``pair_all`` makes it on a grid of tasks.
+    The result is a product by definition. It is made on a grid of tasks that follows
+    the shuffle parallelism, with no more rows of cells than there are new drivers.
     """
-    return pair_all(
-        new_drivers.select(F.col("driver_id").alias("dr_id")), blank_slots(run)
-    ).select(
-        "dr_id",
+    spark = new_drivers.sparkSession
+    parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = max(1, min(parallelism, new_drivers.count()))
+    ids = new_drivers.select(F.col("driver_id").alias("dr_id"))
+    types = {f.name: f.dataType for f in run.schema}
+    blank = {"seconds": F.lit(None), "cones": F.lit(None), "wd": F.lit(0)}
+    return pair_all(ids, blank_slots(run), splits).select(
+        F.col("dr_id").cast(types["dr_id"]).alias("dr_id"),
         "crs_id",
         "run_num",
-        F.lit(None).cast("double").alias("seconds"),
-        F.lit(None).cast("int").alias("cones"),
-        F.lit(0).alias("wd"),
+        *[value.cast(types[name]).alias(name) for name, value in blank.items()],
     )
 
 

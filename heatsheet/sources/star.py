@@ -3,83 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from heatsheet.operators import number_within
 
 STAGES = ["1", "2", "3", "4", "5"]
 
+# Columns used here. Naming them spares the job that would read them from a file.
+_COLUMNS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int",
+}
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def driver(spark: SparkSession, folder: str) -> DataFrame:
     """A driver per customer: every third one has an age, the youngest a caregiver."""
-    aged = F.col("c_custkey") % 3 == 0
-    age = (10 + F.col("c_custkey") % 20).cast("int")
-    born = F.make_date(
-        (2013 - F.col("c_custkey") % 20).cast("int"),
-        (1 + F.col("c_custkey") % 12).cast("int"),
-        (1 + F.col("c_custkey") % 28).cast("int"),
-    )
-    return _read(spark, folder, "customer").select(
-        F.col("c_custkey").alias("driver_id"),
-        F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
-        F.split_part("c_name", F.lit("#"), F.lit(2)).alias("surname"),
-        F.when(aged, born).alias("date_of_birth"),
-        F.when(aged, age).alias("age"),
-        F.when(aged & age.between(12, 16), F.col("c_custkey") + 1).alias("caregiver"),
-        F.col("c_nationkey").alias("car"),
+    return read(spark, folder, "customer").selectExpr(
+        "c_custkey as driver_id",
+        "split_part(c_name, '#', 1) as first_name",
+        "split_part(c_name, '#', 2) as surname",
+        """case when c_custkey % 3 = 0 then make_date(cast(2013 - c_custkey % 20 as int),
+           cast(1 + c_custkey % 12 as int), cast(1 + c_custkey % 28 as int)) end as date_of_birth""",
+        "case when c_custkey % 3 = 0 then cast(10 + c_custkey % 20 as int) end as age",
+        """case when c_custkey % 3 = 0 and 10 + c_custkey % 20 between 12 and 16
+           then c_custkey + 1 end as caregiver""",
+        "c_nationkey as car",
     )
 
 
 def car(spark: SparkSession, folder: str) -> DataFrame:
-    region = F.col("n_regionkey")
-    return _read(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("car_num"),
-        F.col("n_name").alias("model"),
-        F.when(region.isin(0, 1), "FWD").when(region.isin(2, 3), "RWD").otherwise("4WD").alias(
-            "drive_class"
-        ),
+    return read(spark, folder, "nation").selectExpr(
+        "n_nationkey as car_num",
+        "n_name as model",
+        """case when n_regionkey in (0, 1) then 'FWD' when n_regionkey in (2, 3) then 'RWD'
+           else '4WD' end as drive_class""",
     )
 
 
 def course(spark: SparkSession, folder: str) -> DataFrame:
     """A course per order priority: its digit is the id."""
-    priority = F.col("o_orderpriority")
     return (
-        _read(spark, folder, "orders")
-        .select(priority)
+        read(spark, folder, "orders")
+        .select("o_orderpriority")
         .distinct()
-        .select(
-            F.substring(priority, 1, 1).alias("course_id"),
-            F.expr("substring(o_orderpriority, 3)").alias("name"),
-            F.concat(F.substring(priority, 1, 1), F.lit(".gif")).alias("image"),
+        .selectExpr(
+            "substr(o_orderpriority, 1, 1) as course_id",
+            "substr(o_orderpriority, 3) as name",
+            "substr(o_orderpriority, 1, 1) || '.gif' as image",
         )
     )
 
 
 def numbered_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as runs, numbered per customer and priority, with the order key kept."""
-    key = F.col("o_orderkey")
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    numbered = number_within(
-        _read(spark, folder, "orders").select(
-            "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
-        ),
-        ["o_custkey", "o_orderpriority"],
+    return number_within(
+        read(spark, folder, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", "run_num"
+    ).selectExpr(
         "o_orderkey",
-        "run_num",
-    )
-    return numbered.select(
-        key.alias("o_orderkey"),
-        F.col("o_custkey").alias("dr_id"),
-        F.substring("o_orderpriority", 1, 1).alias("crs_id"),
-        F.col("run_num").cast("int").alias("run_num"),
-        F.when(key % 8 != 0, cents % 11000 / F.lit(100.0) + 10).alias("seconds"),
-        F.when(key % 10 == 0, (key % 7).cast("int")).alias("cones"),
-        F.when(key % 18 == 0, 1).otherwise(0).alias("wd"),
+        "o_custkey as dr_id",
+        "substr(o_orderpriority, 1, 1) as crs_id",
+        "cast(run_num as int) as run_num",
+        """case when o_orderkey % 8 <> 0 then cast(round(o_totalprice * 100) as bigint) % 11000
+           / cast(100 as double) + 10 end as seconds""",
+        "case when o_orderkey % 10 = 0 then cast(o_orderkey % 7 as int) end as cones",
+        "case when o_orderkey % 18 = 0 then 1 else 0 end as wd",
     )
 
 
@@ -98,76 +90,64 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def edits(spark: SparkSession, folder: str) -> DataFrame:
     """Two edits for every run, some out of range and some for runs that do not exist."""
-    key = F.col("o_orderkey")
-    number = F.concat(
-        (10 + key % 110).cast("string"), F.lit("."), F.lpad((key % 100).cast("string"), 2, "0")
-    )
-    late = F.col("pass") == 1
+    number = "concat(10 + o_orderkey % 110, '.', lpad(cast(o_orderkey % 100 as string), 2, '0'))"
     return (
         numbered_orders(spark, folder)
-        .select("o_orderkey", "dr_id", "crs_id", "run_num", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"))
-        .select(
-            (key * 2 + F.col("pass")).alias("seq"),
-            F.col("dr_id").cast("string").alias("dr_id"),
+        .selectExpr("*", "explode(array(0, 1)) as pass")
+        .selectExpr(
+            "o_orderkey * 2 + pass as seq",
+            "cast(dr_id as string) as dr_id",
             "crs_id",
-            F.when(late & (key % 97 == 0), "999").otherwise(F.col("run_num").cast("string")).alias(
-                "run_num"
-            ),
-            F.when((key + F.col("pass")) % 4 == 0, F.lit(None))
-            .when((key + F.col("pass")) % 4 == 1, "")
-            .when(key % 31 == 0, "9.99")
-            .when(key % 37 == 0, "120.01")
-            .when(key % 41 == 0, "45.505")
-            .otherwise(number)
-            .alias("time"),
-            F.when((F.col("dr_id") + F.col("pass")) % 3 == 0, F.lit(None))
-            .when((F.col("dr_id") + F.col("pass")) % 3 == 1, "")
-            .otherwise((key % 27).cast("string"))
-            .alias("cones"),
-            F.when(key % 5 == 0, F.lit(None))
-            .when(key % 43 == 0, "2")
-            .otherwise((key % 2).cast("string"))
-            .alias("wd"),
+            """case when pass = 1 and o_orderkey % 97 = 0 then '999'
+               else cast(run_num as string) end as run_num""",
+            f"""case when (o_orderkey + pass) % 4 = 0 then null
+                when (o_orderkey + pass) % 4 = 1 then ''
+                when o_orderkey % 31 = 0 then '9.99'
+                when o_orderkey % 37 = 0 then '120.01'
+                when o_orderkey % 41 = 0 then '45.505'
+                else {number} end as time""",
+            """case when (dr_id + pass) % 3 = 0 then null
+               when (dr_id + pass) % 3 = 1 then ''
+               else cast(o_orderkey % 27 as string) end as cones""",
+            """case when o_orderkey % 5 = 0 then null
+               when o_orderkey % 43 = 0 then '2'
+               else cast(o_orderkey % 2 as string) end as wd""",
         )
     )
 
 
 def applicants(spark: SparkSession, folder: str) -> DataFrame:
     """An application per customer, covering every branch of the registration rules."""
-    key = F.col("c_custkey")
-    year = (1990 + key % 36).cast("string")
-    month = (1 + key % 12).cast("string")
-    day = (1 + key % 28).cast("string")
-    wide_month, wide_day = F.lpad(month, 2, "0"), F.lpad(day, 2, "0")
-    return _read(spark, folder, "customer").select(
-        key.alias("applicant_id"),
-        F.when(key % 17 == 0, " ").otherwise(F.col("c_mktsegment")).alias("first_name"),
-        F.when(key % 11 == 0, F.col("c_name")).otherwise("Customer").alias("surname"),
-        F.when(key % 19 != 0, F.col("c_nationkey").cast("string")).alias("car_num"),
-        F.when(key % 4 != 0, "on").alias("junior_driver"),
-        F.when(key % 7 == 0, F.lit(None))
-        .when(key % 23 == 0, F.concat(F.lit("31-02-"), year))
-        .when(key % 29 == 0, "")
-        .when(key % 3 == 0, F.concat_ws("-", wide_day, wide_month, year))
-        .when(key % 3 == 1, F.concat_ws("-", year, wide_month, wide_day))
-        .otherwise(F.concat_ws("-", day, month, year))
-        .alias("date_of_birth"),
-        F.when(key % 5 == 0, F.lit(None))
-        .when(key % 13 == 0, "nobody")
-        .when(key % 5 == 1, "-7")
-        .otherwise((key + 1).cast("string"))
-        .alias("caregiver"),
+    year, month, day = [
+        f"cast({n} as string)"
+        for n in ("1990 + c_custkey % 36", "1 + c_custkey % 12", "1 + c_custkey % 28")
+    ]
+    return read(spark, folder, "customer").selectExpr(
+        "c_custkey as applicant_id",
+        "case when c_custkey % 17 = 0 then ' ' else c_mktsegment end as first_name",
+        "case when c_custkey % 11 = 0 then c_name else 'Customer' end as surname",
+        "case when c_custkey % 19 <> 0 then cast(c_nationkey as string) end as car_num",
+        "case when c_custkey % 4 <> 0 then 'on' end as junior_driver",
+        f"""case when c_custkey % 7 = 0 then null
+            when c_custkey % 23 = 0 then concat('31-02-', {year})
+            when c_custkey % 29 = 0 then ''
+            when c_custkey % 3 = 0
+              then concat_ws('-', lpad({day}, 2, '0'), lpad({month}, 2, '0'), {year})
+            when c_custkey % 3 = 1
+              then concat_ws('-', {year}, lpad({month}, 2, '0'), lpad({day}, 2, '0'))
+            else concat_ws('-', {day}, {month}, {year}) end as date_of_birth""",
+        """case when c_custkey % 5 = 0 then null
+           when c_custkey % 13 = 0 then 'nobody'
+           when c_custkey % 5 = 1 then '-7'
+           else cast(c_custkey + 1 as string) end as caregiver""",
     )
 
 
 def terms(spark: SparkSession, folder: str) -> DataFrame:
     """Search terms made of market segments and names, good and bad."""
-    key = F.col("c_custkey")
-    return _read(spark, folder, "customer").select(
-        key.alias("term_id"),
-        F.when(key % 5 == 0, F.col("c_name"))
-        .when(key % 5 == 1, "  ")
-        .when(key % 5 == 2, F.concat(F.col("c_mktsegment"), F.lit(" Customer")))
-        .otherwise(F.col("c_mktsegment"))
-        .alias("search_term"),
+    return read(spark, folder, "customer").selectExpr(
+        "c_custkey as term_id",
+        """case when c_custkey % 5 = 0 then c_name when c_custkey % 5 = 1 then '  '
+           when c_custkey % 5 = 2 then concat(c_mktsegment, ' Customer')
+           else c_mktsegment end as search_term""",
     )

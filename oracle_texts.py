@@ -509,6 +509,10 @@ from run"""),
         "true",
         "driver_id not in (select key from deleted)",
     ),
+    "delete_courses": _text("""
+select dr_id, crs_id, run_num, seconds, cones, wd from run
+where crs_id <> (select crs_id from run where seconds is not null
+                 order by seconds, crs_id limit 1)"""),
     "rekey_drivers": _text("""
 select d.driver_id + 1000000 as driver_id, d.caregiver + 1000000 as caregiver,
        (select nullif(count(*), 0) from run r where r.dr_id = d.driver_id) as runs
