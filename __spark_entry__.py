@@ -239,6 +239,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "registration_receipts": lambda s, d: registration.registration_receipts(
             _registered(s, d)
         ),
+        "append_drivers": lambda s, d: star.driver(s, d).unionByName(
+            registration.new_driver_rows(_registered(s, d), star.driver(s, d))
+        ),
         "assign_ids": lambda s, d: registration.assign_ids(
             star.applicants(s, d).select("applicant_id"), star.driver(s, d)
         ),

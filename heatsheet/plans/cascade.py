@@ -16,9 +16,12 @@ FOLLOWERS = {
 KEYS = {"car": "car_num", "driver": "driver_id", "course": "course_id"}
 
 
-def _without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    gone = broadcast_if_small(keys.select(F.col(keys.columns[0]).alias("_gone")).distinct())
-    return rows.join(gone, F.col(column) == F.col("_gone"), "left_anti")
+def _key_set(keys: DataFrame) -> DataFrame:
+    return keys.select(F.col(keys.columns[0]).alias("key")).distinct()
+
+
+def _without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    return rows.join(gone, F.col(column) == F.col("key"), "left_anti")
 
 
 def blocked_keys(driver: DataFrame, root: str, keys: DataFrame) -> DataFrame:
@@ -29,16 +32,15 @@ def blocked_keys(driver: DataFrame, root: str, keys: DataFrame) -> DataFrame:
     caregivers are then blocked too, so the rule is repeated until nothing changes:
     as many rounds as caregivers of caregivers are deep (one, under the age rules).
     """
-    wanted = keys.select(F.col(keys.columns[0]).alias("key")).distinct()
+    wanted = _key_set(keys)
     wards = driver.filter(F.col("caregiver").isNotNull()).select(
         "caregiver", F.col(root).alias("ward_root")
     )
     guardians = driver.select(
         F.col("driver_id").alias("guardian"), F.col(root).alias("guardian_root")
-    ).join(wanted, F.col("guardian_root") == F.col("key"), "left_semi")
+    ).join(broadcast_if_small(wanted), F.col("guardian_root") == F.col("key"), "left_semi")
     links = stable(
-        wards.distinct()
-        .join(guardians, F.col("caregiver") == F.col("guardian"))
+        wards.join(guardians, F.col("caregiver") == F.col("guardian"))
         .filter(F.col("ward_root") != F.col("guardian_root"))
         .select("ward_root", "guardian_root")
         .distinct()
@@ -61,20 +63,23 @@ def delete_cascade(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables without the given keys of ``table`` and everything under them, and the blocked keys."""
     kept = dict(tables)
+    keys = stable(_key_set(keys))
     if table == "course":
-        wanted = keys.select(F.col(keys.columns[0]).alias("key")).distinct()
-        kept["course"] = _without(tables["course"], "course_id", wanted)
-        kept["run"] = _without(tables["run"], "crs_id", wanted)
-        return kept, wanted.filter(F.lit(False))
+        gone = broadcast_if_small(keys)
+        kept["course"] = _without(tables["course"], "course_id", gone)
+        kept["run"] = _without(tables["run"], "crs_id", gone)
+        return kept, keys.filter(F.lit(False))
     root = {"car": "car", "driver": "driver_id"}[table]
     blocked = blocked_keys(tables["driver"], root, keys)
-    wanted = keys.select(F.col(keys.columns[0]).alias("key")).distinct()
-    deleted = stable(wanted.join(blocked, "key", "left_anti"))
+    gone = broadcast_if_small(stable(keys.join(blocked, "key", "left_anti")))
     if table == "car":
-        kept["car"] = _without(tables["car"], "car_num", deleted)
-    kept["driver"] = _without(tables["driver"], root, deleted)
-    under = tables["driver"].join(deleted, F.col(root) == F.col("key"), "left_semi")
-    kept["run"] = _without(tables["run"], "dr_id", under.select("driver_id"))
+        kept["car"] = _without(tables["car"], "car_num", gone)
+    kept["driver"] = _without(tables["driver"], root, gone)
+    gone_drivers = gone
+    if root != "driver_id":
+        under = tables["driver"].join(gone, F.col(root) == F.col("key"), "left_semi")
+        gone_drivers = broadcast_if_small(under.select(F.col("driver_id").alias("key")))
+    kept["run"] = _without(tables["run"], "dr_id", gone_drivers)
     return kept, blocked
 
 

@@ -432,6 +432,13 @@ select driver_id, first_name, surname,
 from registered""",
         APPLICANTS,
     ),
+    "append_drivers": _text(
+        """
+select driver_id, first_name, surname, date_of_birth, age, caregiver, car from driver
+union all
+select driver_id, first_name, surname, date_of_birth, age, caregiver, car from registered""",
+        APPLICANTS,
+    ),
     "assign_ids": """
 select c_custkey as applicant_id,
        (select max(c_custkey) from customer) + row_number() over (order by c_custkey) as driver_id
@@ -490,10 +497,10 @@ select unnest(['dr_id', 'crs_id', 'run_num', 'wd', 'seconds', 'cones']) as "colu
                count(*) - count(wd), count(*) - count(seconds), count(*) - count(cones)]) as nulls
 from run"""),
     "audit_length": _text("""
-select car_num, 'model' as "column", 8 as allowed, length(model) as actual
+select car_num, 'model' as "column", 8 as allowed, cast(length(model) as int) as actual
 from car where length(model) > 8
 union all
-select car_num, 'drive_class', 3, length(drive_class) from car where length(drive_class) > 3"""),
+select car_num, 'drive_class', 3, cast(length(drive_class) as int) from car where length(drive_class) > 3"""),
     "fill_defaults": _text("""
 select dr_id, crs_id, run_num, seconds, coalesce(cones, 0) as cones, coalesce(wd, 0) as wd
 from run"""),
