@@ -76,7 +76,11 @@ def _deleted_drivers(spark, d):
 def _deleted_courses(spark, d):
     """Runs left when the course that holds the fastest attempt is deleted."""
     t = star.tables(spark, d)
-    fastest = t["run"].agg(F.min_by("crs_id", F.struct("seconds", "crs_id")).alias("course_id"))
+    fastest = (
+        t["run"]
+        .filter(F.col("seconds").isNotNull())
+        .agg(F.min_by("crs_id", F.struct("seconds", "crs_id")).alias("course_id"))
+    )
     kept, _ = cascade.delete_cascade(t, "course", fastest)
     return kept["run"]
 
