@@ -211,6 +211,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "driver_search": lambda s, d: search.driver_search(
             star.driver(s, d), star.car(s, d), star.run(s, d), STAGES, TERM
         ),
+        "driver_search_word": lambda s, d: search.driver_search(
+            star.driver(s, d), star.car(s, d), star.run(s, d), STAGES, "00012"
+        ),
         "name_match": lambda s, d: star.driver(s, d)
         .filter(search.name_matches("99"))
         .select("driver_id", "first_name", "surname"),

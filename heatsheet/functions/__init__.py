@@ -1 +1,43 @@
-from heatsheet.functions.columns import *  # noqa: F401,F403
+from heatsheet.functions.columns import (
+    BIRTH_DATE_FORMS,
+    CAREGIVER_AGES,
+    CONE_PENALTY,
+    JUNIOR_AGES,
+    NOT_QUALIFIED,
+    NO_STAGE_RESULT,
+    WD_PENALTY,
+    attempt_total,
+    birth_date,
+    completed_years,
+    edited,
+    full_name,
+    id_label,
+    image_path,
+    junior_highlight,
+    junior_tagged,
+    sum_all,
+    text_or,
+    wd_label,
+)
+
+__all__ = [
+    "BIRTH_DATE_FORMS",
+    "CAREGIVER_AGES",
+    "CONE_PENALTY",
+    "JUNIOR_AGES",
+    "NOT_QUALIFIED",
+    "NO_STAGE_RESULT",
+    "WD_PENALTY",
+    "attempt_total",
+    "birth_date",
+    "completed_years",
+    "edited",
+    "full_name",
+    "id_label",
+    "image_path",
+    "junior_highlight",
+    "junior_tagged",
+    "sum_all",
+    "text_or",
+    "wd_label",
+]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heatsheet.operators.lineage import stable
 
 # Most rows of one group that a single task may have to sort in number_within.
-CHUNK_KEYS = 1 << 22
+CHUNK_KEYS = 1 << 24
 
 # monotonically_increasing_id keeps the partition in the upper bits and the row in these.
 _ROW_BITS = 33

@@ -159,30 +159,28 @@ def registration_receipts(registered: DataFrame) -> DataFrame:
     )
 
 
-def blank_slots(run: DataFrame) -> DataFrame:
-    """Every course that has a run with every run number that occurs.
+def _splits(df: DataFrame, rows: int | None = None) -> int:
+    """Grid rows for ``pair_all``: the shuffle parallelism, or the row count if that is less."""
+    parallelism = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parallelism if rows is None else max(1, min(parallelism, rows))
 
-    Courses and run numbers come from one grouped scan of ``run``. A course id is one
-    character, so the course ids fit an array; the run numbers stay distributed.
-    """
-    used = run.select("crs_id", "run_num").distinct()
-    courses = used.agg(F.sort_array(F.collect_set("crs_id")).alias("ids")).scalar()
-    return used.select("run_num").distinct().select(F.explode(courses).alias("crs_id"), "run_num")
+
+def blank_slots(run: DataFrame) -> DataFrame:
+    """Every course that has a run with every run number that occurs."""
+    numbers = run.select("run_num").distinct()
+    courses = run.select("crs_id").distinct()
+    return pair_all(numbers, courses, _splits(run), right_splits=1).select("crs_id", "run_num")
 
 
 def blank_runs(new_drivers: DataFrame, run: DataFrame) -> DataFrame:
     """An untimed run for each new driver on every slot, as rows of ``run``.
 
-    The result is a product by definition. It is made on a grid of tasks that follows
-    the shuffle parallelism, with no more rows of cells than there are new drivers.
+    The result is a product by definition, made on a grid of tasks.
     """
-    spark = new_drivers.sparkSession
-    parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits = max(1, min(parallelism, new_drivers.count()))
     ids = new_drivers.select(F.col("driver_id").alias("dr_id"))
     types = {f.name: f.dataType for f in run.schema}
     blank = {"seconds": F.lit(None), "cones": F.lit(None), "wd": F.lit(0)}
-    return pair_all(ids, blank_slots(run), splits).select(
+    return pair_all(ids, blank_slots(run), _splits(ids, ids.count())).select(
         F.col("dr_id").cast(types["dr_id"]).alias("dr_id"),
         "crs_id",
         "run_num",

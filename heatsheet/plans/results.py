@@ -68,14 +68,15 @@ def stage_bests(run: DataFrame, stages: list[str]) -> DataFrame:
     )
 
 
-def with_overall(bests: DataFrame, stages: list[str]) -> DataFrame:
-    """Add the overall sum (NULL when a stage has no result) and round everything."""
+def scored(stages: list[str]) -> list[Column]:
+    """Rounded stage bests, the overall sum (NULL when a stage has no result) and a flag."""
     names = stage_columns(stages)
-    return (
-        bests.withColumn("overall", F.round(sum_all(names), 2))
-        .withColumns({n: F.round(F.col(n), 2) for n in names})
-        .withColumn("qualified", F.col("overall").isNotNull())
-    )
+    total = sum_all(names)
+    return [
+        *[F.round(F.col(n), 2).alias(n) for n in names],
+        F.round(total, 2).alias("overall"),
+        total.isNotNull().alias("qualified"),
+    ]
 
 
 def stage_results(
@@ -85,15 +86,10 @@ def stage_results(
 
     Runs are aggregated before the join, so the join sees one row per driver.
     """
-    entered = driver.select("driver_id", "first_name", "surname", "age", "car").join(
-        car.select("car_num", "model"), F.col("car") == F.col("car_num")
-    )
+    equipped = driver.join(car, F.col("car") == F.col("car_num"))
     bests = stage_bests(run, stages)
-    return with_overall(
-        entered.join(bests, F.col("driver_id") == F.col("dr_id"), "left"), stages
-    ).select(
-        "driver_id", "first_name", "surname", "age", "model", *stage_columns(stages), "overall",
-        "qualified",
+    return equipped.join(bests, F.col("driver_id") == F.col("dr_id"), "left").select(
+        "driver_id", "first_name", "surname", "age", "model", *scored(stages)
     )
 
 

@@ -68,7 +68,7 @@ def numbered_orders(spark: SparkSession, folder: str) -> DataFrame:
         "o_custkey as dr_id",
         "substr(o_orderpriority, 1, 1) as crs_id",
         "cast(run_num as int) as run_num",
-        """case when o_orderkey % 8 <> 0 then cast(round(o_totalprice * 100) as bigint) % 11000
+        """case when o_orderkey % 8 <> 0 then cast(rint(o_totalprice * 100) as bigint) % 11000
            / cast(100 as double) + 10 end as seconds""",
         "case when o_orderkey % 10 = 0 then cast(o_orderkey % 7 as int) end as cones",
         "case when o_orderkey % 18 = 0 then 1 else 0 end as wd",

@@ -187,6 +187,20 @@ select 'blocked', count(*), cast(sum(key) as bigint) from blocked""",
     )
 
 
+def _search(first: str, last: str) -> str:
+    return _text(
+        f"""
+select p.driver_id, p.first_name, p.surname, d.date_of_birth, p.age,
+       g.first_name || ' ' || g.surname as caregiver_name, c.car_num, c.model, c.drive_class,
+       course_1, course_2, course_3, course_4, course_5, overall, overall is not null as qualified
+from placed p join driver d on d.driver_id = p.driver_id join car c on c.car_num = d.car
+left join driver g on g.driver_id = d.caregiver
+where p.first_name ilike '%{first}%' or p.surname ilike '%{first}%'
+   or p.first_name ilike '%{last}%' or p.surname ilike '%{last}%'""",
+        SCORED,
+    )
+
+
 TEXTS = {
     "list_courses": _text(
         "select course_id, name, image, 'static/' || image as image_path from course"
@@ -326,17 +340,8 @@ from attempt where total is not null group by dr_id""",
 select driver_id, case when age >= 12 and age <= 25 then first_name || ' ' || surname || '(J)'
                        else first_name || ' ' || surname end as driver_name
 from driver"""),
-    "driver_search": _text(
-        """
-select p.driver_id, p.first_name, p.surname, d.date_of_birth, p.age,
-       g.first_name || ' ' || g.surname as caregiver_name, c.car_num, c.model, c.drive_class,
-       course_1, course_2, course_3, course_4, course_5, overall, overall is not null as qualified
-from placed p join driver d on d.driver_id = p.driver_id join car c on c.car_num = d.car
-left join driver g on g.driver_id = d.caregiver
-where p.first_name ilike '%customer%' or p.surname ilike '%customer%'
-   or p.first_name ilike '%0001%' or p.surname ilike '%0001%'""",
-        SCORED,
-    ),
+    "driver_search": _search("customer", "0001"),
+    "driver_search_word": _search("00012", "00012"),
     "name_match": _text("""
 select driver_id, first_name, surname from driver
 where first_name ilike '%99%' or surname ilike '%99%'"""),

@@ -43,6 +43,9 @@ def oracle():
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_matches_sql(spark, oracle, name):
     df = registry.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for slow in ("Python", "Pandas", "NestedLoop", "Cartesian"):
+        assert slow not in plan
     ours = _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     result = oracle.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in result.description]

@@ -80,10 +80,3 @@ def test_scans_read_only_needed_columns(tables):
     }
     header = _plan(listings.run_header(tables["driver"], tables["run"], tables["car"], 7))
     assert "o_totalprice" not in header
-
-
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_no_python_and_no_nested_loops(spark, name):
-    plan = _plan(registry.queries()[name](spark, SF_DIR))
-    for bad in ("Python", "Pandas", "NestedLoop", "Cartesian"):
-        assert bad not in plan
