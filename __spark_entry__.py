@@ -16,6 +16,7 @@ from heatsheet.functions import (
     full_name,
     junior_tagged,
     sum_all,
+    wd_label,
 )
 from heatsheet.plans import cascade, edits, listings, quality, registration, results, search
 from heatsheet.sources import star
@@ -178,6 +179,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_details": lambda s, d: listings.run_details(
             star.driver(s, d), star.run(s, d), star.course(s, d), star.car(s, d), DRIVER_ID
         ),
+        "run_details_shown": lambda s, d: listings.shown(
+            listings.run_details(
+                star.driver(s, d), star.run(s, d), star.course(s, d), star.car(s, d), DRIVER_ID
+            ).withColumn("wd", wd_label(F.col("wd"))),
+            ["seconds", "cones", "run_total"],
+        ),
         "run_header": lambda s, d: listings.run_header(
             star.driver(s, d), star.run(s, d), star.car(s, d), DRIVER_ID
         ),
@@ -214,6 +221,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "driver_search_word": lambda s, d: search.driver_search(
             star.driver(s, d), star.car(s, d), star.run(s, d), STAGES, "00012"
         ),
+        "driver_search_shown": lambda s, d: listings.shown(
+            results.result_labels(
+                search.driver_search(
+                    star.driver(s, d), star.car(s, d), star.run(s, d), STAGES, TERM
+                ),
+                STAGES,
+            ),
+            ["date_of_birth", "age", "caregiver_name"],
+        ),
         "name_match": lambda s, d: star.driver(s, d)
         .filter(search.name_matches("99"))
         .select("driver_id", "first_name", "surname"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from heatsheet import schemas
+from heatsheet.operators import broadcast_if_small
 
 
 def read_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -54,10 +55,15 @@ def append(df: DataFrame, folder: str, table: str) -> None:
 
 
 def append_once(df: DataFrame, folder: str, table: str) -> None:
-    """Append the rows whose key is not stored yet, so a repeated write adds nothing."""
+    """Append the rows whose key is not stored yet, so a repeated write adds nothing.
+
+    The stored table is first reduced to the keys at hand; for a small batch that is
+    a broadcast, and the stored rows are scanned in place instead of shuffled.
+    """
     keys = schemas.PRIMARY_KEYS[table]
     stored = read_parquet(df.sparkSession, folder, table).select(*keys)
-    append(df.join(stored, keys, "left_anti"), folder, table)
+    present = stored.join(broadcast_if_small(df.select(*keys)), keys, "left_semi")
+    append(df.join(present, keys, "left_anti"), folder, table)
 
 
 def overwrite(df: DataFrame, folder: str, table: str) -> None:

@@ -152,6 +152,14 @@ def _text(query: str, *extra: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}" + ",\n".join([*BASE, *extra]) + "\n" + query
 
 
+RUN_DETAILS = """
+select d.driver_id, d.first_name, d.surname, c.model, c.drive_class, s.name as course_name,
+       a.run_num, a.seconds, a.cones, a.wd, round(sum(a.total), 2) as run_total
+from driver d join attempt a on a.dr_id = d.driver_id join course s on s.course_id = a.crs_id
+join car c on c.car_num = d.car
+where d.driver_id = 7
+group by all"""
+
 RUNS_FOR_EDIT = """
 select r.dr_id, d.first_name, d.surname, c.course_id, c.name as course_name,
        r.run_num as run_number, r.seconds as time, r.cones,
@@ -188,17 +196,14 @@ select 'blocked', count(*), cast(sum(key) as bigint) from blocked""",
 
 
 def _search(first: str, last: str) -> str:
-    return _text(
-        f"""
+    return f"""
 select p.driver_id, p.first_name, p.surname, d.date_of_birth, p.age,
        g.first_name || ' ' || g.surname as caregiver_name, c.car_num, c.model, c.drive_class,
        course_1, course_2, course_3, course_4, course_5, overall, overall is not null as qualified
 from placed p join driver d on d.driver_id = p.driver_id join car c on c.car_num = d.car
 left join driver g on g.driver_id = d.caregiver
 where p.first_name ilike '%{first}%' or p.surname ilike '%{first}%'
-   or p.first_name ilike '%{last}%' or p.surname ilike '%{last}%'""",
-        SCORED,
-    )
+   or p.first_name ilike '%{last}%' or p.surname ilike '%{last}%'"""
 
 
 TEXTS = {
@@ -243,14 +248,15 @@ select d.driver_id, d.first_name, d.surname,
        coalesce(g.first_name || ' ' || g.surname, 'N/A') as caregiver_name
 from driver d left join driver g on d.caregiver = g.driver_id
 where d.age >= 12 and d.age <= 25"""),
-    "run_details": _text(
-        """
-select d.driver_id, d.first_name, d.surname, c.model, c.drive_class, s.name as course_name,
-       a.run_num, a.seconds, a.cones, a.wd, round(sum(a.total), 2) as run_total
-from driver d join attempt a on a.dr_id = d.driver_id join course s on s.course_id = a.crs_id
-join car c on c.car_num = d.car
-where d.driver_id = 7
-group by all""",
+    "run_details": _text(RUN_DETAILS, SCORED),
+    "run_details_shown": _text(
+        f"""
+select driver_id, first_name, surname, model, drive_class, course_name, run_num,
+       coalesce(cast(seconds as varchar), '') as seconds,
+       coalesce(cast(cones as varchar), '') as cones,
+       case when wd = 1 then 'wd' else '' end as wd,
+       coalesce(cast(run_total as varchar), '') as run_total
+from ({RUN_DETAILS})""",
         SCORED,
     ),
     "run_header": _text("""
@@ -340,8 +346,22 @@ from attempt where total is not null group by dr_id""",
 select driver_id, case when age >= 12 and age <= 25 then first_name || ' ' || surname || '(J)'
                        else first_name || ' ' || surname end as driver_name
 from driver"""),
-    "driver_search": _search("customer", "0001"),
-    "driver_search_word": _search("00012", "00012"),
+    "driver_search": _text(_search("customer", "0001"), SCORED),
+    "driver_search_word": _text(_search("00012", "00012"), SCORED),
+    "driver_search_shown": _text(
+        f"""
+select driver_id, first_name, surname, coalesce(cast(date_of_birth as varchar), '') as date_of_birth,
+       coalesce(cast(age as varchar), '') as age, coalesce(caregiver_name, '') as caregiver_name,
+       car_num, model, drive_class,
+       coalesce(cast(course_1 as varchar), 'dnf') as course_1,
+       coalesce(cast(course_2 as varchar), 'dnf') as course_2,
+       coalesce(cast(course_3 as varchar), 'dnf') as course_3,
+       coalesce(cast(course_4 as varchar), 'dnf') as course_4,
+       coalesce(cast(course_5 as varchar), 'dnf') as course_5,
+       coalesce(cast(overall as varchar), 'NQ') as overall, qualified
+from ({_search("customer", "0001")})""",
+        SCORED,
+    ),
     "name_match": _text("""
 select driver_id, first_name, surname from driver
 where first_name ilike '%99%' or surname ilike '%99%'"""),

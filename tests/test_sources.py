@@ -1,10 +1,12 @@
 """Reading, appending and replacing tables."""
 
+from datetime import date
+
 import pytest
 
 from heatsheet import schemas
 from heatsheet.operators.lineage import _use_checkpoint_dir
-from heatsheet.plans import edits
+from heatsheet.plans import edits, quality, registration, results, updates
 from heatsheet.sources import tables
 
 
@@ -34,6 +36,30 @@ def test_rows_append_and_replace(spark, seed, tmp_path):
     assert (row.seconds, row.cones, row.wd) == (44.5, None, 1)
 
 
+def test_registration_and_edits_reach_the_stored_tables(spark, seed, tmp_path):
+    folder, staging = str(tmp_path / "db"), str(tmp_path / "staging")
+    for name, df in seed.items():
+        tables.overwrite(df, folder, name)
+    stored = lambda name: tables.read_parquet(spark, folder, name)
+    applicants = spark.createDataFrame(
+        [(1, "Ann", "Adult", "11", None, None, None), (2, "Kay", "Kid", "18", "on", "2010-01-01", "135")],
+        schemas.APPLICANTS,
+    )
+    registered = registration.register_drivers(applicants, stored("driver"), date(2024, 1, 1))
+    for _ in range(2):
+        updates.store_registration(registered, folder)
+        assert stored("driver").count() == 11 and stored("run").count() == 132
+    assert quality.audit_foreign_keys({n: stored(n) for n in seed}).count() == 0
+    batch = spark.createDataFrame(
+        [(i, "138", stage, "1", "30", None, "1") for i, stage in enumerate("ABCDEF")], schemas.EDITS
+    )
+    updates.store_edits(batch, folder, staging)
+    assert stored("run").count() == 132
+    scored = results.stage_results(stored("driver"), stored("car"), stored("run"), list("ABCDEF"))
+    assert results.top_n(scored, 1).first().best_driver == "138 Ann Adult"
+    assert scored.filter("driver_id = 138").first().overall == 240.0
+
+
 def test_malformed_csv_raises(spark, tmp_path):
     path = tmp_path / "car.csv"
     path.write_text("car_num,model,drive_class\nx,Mini,FWD\n")
