@@ -15,6 +15,7 @@ from heatsheet.functions.columns import (
     image_path,
     junior_highlight,
     junior_tagged,
+    refused,
     sum_all,
     text_or,
     wd_label,
@@ -37,6 +38,7 @@ __all__ = [
     "image_path",
     "junior_highlight",
     "junior_tagged",
+    "refused",
     "sum_all",
     "text_or",
     "wd_label",

@@ -95,3 +95,14 @@ def edited(text: Column, current: Column, kind: str) -> Column:
     return F.when(text == "", F.lit(None).cast(kind)).otherwise(
         F.coalesce(text.try_cast(kind), current)
     )
+
+
+def refused(checks: dict[str, Column]) -> Column:
+    """Names of the checks that do not hold, joined by commas; to be selected as a column.
+
+    ``explode`` of one value yields that value. It keeps a filter on the result above this
+    column; pushed below, the filter would evaluate every check a second time, in
+    generated code too long to be compiled.
+    """
+    names = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]
+    return F.explode(F.array(F.concat_ws(",", *names)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _use_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,6 +21,11 @@ def _use_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder, so later reads all see the same rows."""
+    """``df`` written once to the checkpoint folder, so later reads all see the same rows.
+
+    The columns are aliased, because a checkpoint keeps the identity of the columns it
+    was made from and could not be joined to its own source.
+    """
     _use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    return written.select(*[F.col(c).alias(c) for c in written.columns])

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatsheet.functions import edited
+from heatsheet.functions import edited, refused
 from heatsheet.operators import broadcast_if_small, lookup_join
 
 RUN_KEY = ["dr_id", "crs_id", "run_num"]
 
 # What the edit form accepts.
 SECONDS_RANGE = (10, 120)
-SECONDS_STEP = "0.01"
+SECONDS_DECIMALS = 2
 CONES_RANGE = (0, 25)
 WD_VALUES = ["0", "1"]
 
@@ -72,24 +72,17 @@ def validate_edits(edits: DataFrame) -> DataFrame:
     NULL (keep) is always allowed, empty text (clear) for time and cones only.
     """
     seconds = F.col("time").try_cast("decimal(18,6)")
-    cones = F.col("cones").try_cast("int")
-    on_step = seconds % F.lit(SECONDS_STEP).cast("decimal(18,6)") == 0
-
-    def refused(column, accepted, or_empty=True):
-        given = F.col(column).isNotNull()
-        if or_empty:
-            given = given & (F.col(column) != "")
-        return F.when(given & ~F.coalesce(accepted, F.lit(False)), F.lit(column))
-
-    reasons = [
-        F.when(F.col("dr_id").try_cast("bigint").isNull(), F.lit("dr_id")),
-        F.when(F.col("crs_id").isNull(), F.lit("crs_id")),
-        F.when(F.col("run_num").try_cast("int").isNull(), F.lit("run_num")),
-        refused("time", seconds.between(*SECONDS_RANGE) & on_step),
-        refused("cones", cones.between(*CONES_RANGE)),
-        refused("wd", F.col("wd").isin(WD_VALUES), or_empty=False),
-    ]
-    return edits.withColumn("reason", F.concat_ws(",", *reasons)).filter(F.col("reason") != "")
+    cleared = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    checks = {
+        "dr_id": F.col("dr_id").try_cast("bigint").isNotNull(),
+        "crs_id": F.col("crs_id").isNotNull(),
+        "run_num": F.col("run_num").try_cast("int").isNotNull(),
+        "time": cleared("time")
+        | (seconds.between(*SECONDS_RANGE) & (seconds == F.round(seconds, SECONDS_DECIMALS))),
+        "cones": cleared("cones") | F.col("cones").try_cast("int").between(*CONES_RANGE),
+        "wd": F.col("wd").isNull() | F.col("wd").isin(WD_VALUES),
+    }
+    return edits.select("*", refused(checks).alias("reason")).filter(F.col("reason") != "")
 
 
 def edit_receipts(edits: DataFrame, driver: DataFrame, course: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from heatsheet.functions import (
     birth_date,
     completed_years,
     full_name,
+    refused,
     text_or,
 )
 from heatsheet.operators import lookup_join, number_rows, pair_all
@@ -190,19 +191,13 @@ def blank_runs(new_drivers: DataFrame, run: DataFrame) -> DataFrame:
 
 def validate_applicants(applicants: DataFrame) -> DataFrame:
     """Applicants the form would refuse, with the offending fields in ``reason``."""
-    born = birth_date(F.col("date_of_birth"))
-
-    def refused(column, accepted):
-        return F.when(~F.coalesce(accepted, F.lit(False)), F.lit(column))
-
-    no_date = F.coalesce(F.col("date_of_birth"), F.lit("")) == ""
-    earliest, latest = [F.to_date(F.lit(d)) for d in BIRTH_DATE_RANGE]
-    reasons = [
-        refused("first_name", F.col("first_name").rlike(NAME_PATTERN)),
-        refused("surname", F.col("surname").rlike(NAME_PATTERN)),
-        refused("car_num", F.col("car_num").try_cast("int").isNotNull()),
-        refused("date_of_birth", no_date | born.between(earliest, latest)),
-    ]
-    return applicants.withColumn("reason", F.concat_ws(",", *reasons)).filter(
-        F.col("reason") != ""
-    )
+    earliest, latest = [F.lit(date.fromisoformat(d)) for d in BIRTH_DATE_RANGE]
+    checks = {
+        "first_name": F.col("first_name").rlike(NAME_PATTERN),
+        "surname": F.col("surname").rlike(NAME_PATTERN),
+        "car_num": F.col("car_num").try_cast("int").isNotNull(),
+        "date_of_birth": F.col("date_of_birth").isNull()
+        | (F.col("date_of_birth") == "")
+        | birth_date(F.col("date_of_birth")).between(earliest, latest),
+    }
+    return applicants.select("*", refused(checks).alias("reason")).filter(F.col("reason") != "")

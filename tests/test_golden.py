@@ -264,7 +264,9 @@ def test_delete_course(spark, seed):
     assert blocked.count() == 0
 
 
-def test_caregiver_blocks_delete(spark, seed):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_caregiver_blocks_delete(spark, seed, conf, adaptive):
+    conf("spark.sql.adaptive.enabled", adaptive)
     keys = spark.createDataFrame([(135,), (121,)], "driver_id int")
     kept, blocked = cascade.delete_cascade(seed, "driver", keys)
     assert [r.key for r in blocked.collect()] == [135]
