@@ -31,13 +31,13 @@ TERM = "customer 0001"
 
 def _results(spark, d):
     return results.stage_results(
-        star.driver(spark, d), star.car(spark, d), star.run(spark, d), STAGES
+        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), STAGES
     )
 
 
 def _overall(spark, d):
     return results.overall_results(
-        star.driver(spark, d), star.car(spark, d), star.run(spark, d), STAGES
+        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), STAGES
     )
 
 
@@ -186,7 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ["seconds", "cones", "run_total"],
         ),
         "run_header": lambda s, d: listings.run_header(
-            star.driver(s, d), star.run(s, d), star.car(s, d), DRIVER_ID
+            star.driver(s, d), star.attempts(s, d), star.car(s, d), DRIVER_ID
         ),
         "runs_by_driver": lambda s, d: listings.runs_to_edit(
             star.run(s, d), star.driver(s, d), star.course(s, d), dr_id=DRIVER_ID
@@ -204,8 +204,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_n": lambda s, d: results.top_n(_results(s, d)),
         "chart_series": _chart,
         "run_totals": lambda s, d: results.run_totals(star.run(s, d)),
-        "stage_bests": lambda s, d: results.stage_bests(star.run(s, d), STAGES),
-        "stage_sums": lambda s, d: results.stage_bests(star.run(s, d), STAGES).select(
+        "stage_bests": lambda s, d: results.stage_bests(star.attempts(s, d), STAGES),
+        "stage_sums": lambda s, d: results.stage_bests(star.attempts(s, d), STAGES).select(
             "dr_id", F.round(sum_all(results.stage_columns(STAGES)), 2).alias("overall")
         ),
         "attempt_total": lambda s, d: star.run(s, d).select(
@@ -216,15 +216,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # Search
         "driver_search": lambda s, d: search.driver_search(
-            star.driver(s, d), star.car(s, d), star.run(s, d), STAGES, TERM
+            star.driver(s, d), star.car(s, d), star.attempts(s, d), STAGES, TERM
         ),
         "driver_search_word": lambda s, d: search.driver_search(
-            star.driver(s, d), star.car(s, d), star.run(s, d), STAGES, "00012"
+            star.driver(s, d), star.car(s, d), star.attempts(s, d), STAGES, "00012"
         ),
         "driver_search_shown": lambda s, d: listings.shown(
             results.result_labels(
                 search.driver_search(
-                    star.driver(s, d), star.car(s, d), star.run(s, d), STAGES, TERM
+                    star.driver(s, d), star.car(s, d), star.attempts(s, d), STAGES, TERM
                 ),
                 STAGES,
             ),

@@ -72,14 +72,17 @@ def validate_edits(edits: DataFrame) -> DataFrame:
     NULL (keep) is always allowed, empty text (clear) for time and cones only.
     """
     seconds = F.col("time").try_cast("decimal(18,6)")
-    cleared = lambda c: F.col(c).isNull() | (F.col(c) == "")
+
+    def not_given(column):
+        return F.col(column).isNull() | (F.col(column) == "")
+
     checks = {
         "dr_id": F.col("dr_id").try_cast("bigint").isNotNull(),
         "crs_id": F.col("crs_id").isNotNull(),
         "run_num": F.col("run_num").try_cast("int").isNotNull(),
-        "time": cleared("time")
+        "time": not_given("time")
         | (seconds.between(*SECONDS_RANGE) & (seconds == F.round(seconds, SECONDS_DECIMALS))),
-        "cones": cleared("cones") | F.col("cones").try_cast("int").between(*CONES_RANGE),
+        "cones": not_given("cones") | F.col("cones").try_cast("int").between(*CONES_RANGE),
         "wd": F.col("wd").isNull() | F.col("wd").isin(WD_VALUES),
     }
     return edits.select("*", refused(checks).alias("reason")).filter(F.col("reason") != "")

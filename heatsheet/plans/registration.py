@@ -67,14 +67,15 @@ def decide(applicants: DataFrame, driver: DataFrame, as_of: date | None = None)
     candidates = driver.filter(F.col("age").isNull()).select(
         F.col("driver_id").cast("bigint").alias("guardian_id"),
         full_name().alias("caregiver_name"),
+        F.lit(True).alias("is_candidate"),
     )
     chosen = classified.withColumn(
         "chosen", F.when(needs & (F.col("caregiver") != ""), F.col("caregiver"))
     ).withColumn("guardian_key", F.col("chosen").try_cast("bigint"))
     outcome = (
-        F.when(needs & F.col("chosen").isNotNull() & F.col("caregiver_name").isNull(), REJECT_CAREGIVER)
-        .when(needs & F.col("chosen").isNotNull(), INSERT_WITH_CAREGIVER)
-        .otherwise(F.col("outcome"))
+        F.when(F.col("chosen").isNull(), F.col("outcome"))
+        .when(F.col("is_candidate"), INSERT_WITH_CAREGIVER)
+        .otherwise(REJECT_CAREGIVER)
     )
     junior = F.col("outcome").isin(INSERT_JUNIOR, INSERT_WITH_CAREGIVER)
     return (
@@ -99,12 +100,19 @@ def decide(applicants: DataFrame, driver: DataFrame, as_of: date | None = None)
 def assign_ids(accepted: DataFrame, driver: DataFrame, partitions: int | None = None) -> DataFrame:
     """Accepted applicants with the next free ``driver_id``s, in order of application.
 
-    The result is checkpointed: drivers, blank runs and receipts made from it agree,
-    and a rerun that repeats a write uses the same ids.
+    The last used id is checkpointed with the numbered rows, so drivers, blank runs and
+    receipts made from the result agree even after some of them have been stored.
     """
-    last_id = driver.agg(F.coalesce(F.max("driver_id"), F.lit(0)).alias("last_id")).scalar()
-    numbered = number_rows(accepted, [F.col("applicant_id").asc()], "_number", partitions)
-    return numbered.withColumn("driver_id", F.col("_number") + last_id).drop("_number")
+    last_id = driver.agg(F.coalesce(F.max("driver_id"), F.lit(0))).scalar()
+    numbered = number_rows(
+        accepted.select("*", last_id.alias("_last_id")),
+        [F.col("applicant_id").asc()],
+        "_number",
+        partitions,
+    )
+    return numbered.withColumn("driver_id", F.col("_last_id") + F.col("_number")).drop(
+        "_last_id", "_number"
+    )
 
 
 def register_drivers(

@@ -107,6 +107,13 @@ def test_register(spark, seed, partitions):
     ]
 
 
+def test_ids_do_not_depend_on_later_inserts(spark, seed):
+    rows = [(1, "Ann", "Adult", "11", None, None, None)]
+    registered = registration.register_drivers(_applicants(spark, rows), seed["driver"])
+    plan = registered._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Subquery" not in plan
+
+
 def test_first_driver_gets_id_one(spark, seed):
     rows = [(1, "Ann", "Adult", "11", None, None, None)]
     registered = registration.register_drivers(
