@@ -19,6 +19,7 @@ def number_rows(
 ) -> DataFrame:
     """Add ``name``: 1, 2, 3, ... over the whole of ``df`` in the given order.
 
+    The order must be total (end in a unique column): equal rows cannot be split.
     Rows are range-partitioned and sorted inside each partition, then numbered as
     (rows in earlier partitions) + (row inside the partition). Only the per-partition
     counts meet in one task: one row for each shuffle partition. The sorted rows are

@@ -75,13 +75,24 @@ class _Reader:
         return url, table, options
 
 
-def test_jdbc_reads_in_key_ranges():
-    url, table, options = tables.read_jdbc(
-        _Reader(), "jdbc:mysql://db/club", "run", {"user": "u"}, bounds=(1, 900), partitions=6
+def test_jdbc_reads_even_slices_of_the_key():
+    _, table, options = tables.read_jdbc(
+        _Reader(), "jdbc:mysql://db/club", "run", {"user": "u"}, partitions=3
     )
-    assert (table, options["column"], options["numPartitions"]) == ("run", "dr_id", 6)
-    _, _, plain = tables.read_jdbc(_Reader(), "jdbc:mysql://db/club", "course", bounds=(1, 9))
-    assert "column" not in plain
+    assert table == "run" and options["properties"] == {"user": "u"}
+    assert options["predicates"] == [
+        f"mod(crc32(concat_ws('|', dr_id, crs_id, run_num)), 3) = {i}" for i in range(3)
+    ]
+    _, _, plain = tables.read_jdbc(_Reader(), "jdbc:mysql://db/club", "course")
+    assert "predicates" not in plain
+
+
+def test_key_slices_hold_every_row_once_even_for_one_hot_driver(spark):
+    run = spark.range(3000).selectExpr(
+        "case when id % 3 = 0 then 7 else id end as dr_id", "'A' as crs_id", "id as run_num"
+    )
+    sizes = [run.filter(condition).count() for condition in tables.key_slices("run", 4)]
+    assert sum(sizes) == 3000 and max(sizes) < 900
 
 
 class _Context:
