@@ -13,7 +13,7 @@ from heatsheet.operators import (
     number_within,
     pair_all,
 )
-from heatsheet.plans import edits, listings
+from heatsheet.plans import cascade, edits, listings, results
 
 
 def _plan(df):
@@ -165,3 +165,33 @@ def test_hot_driver_is_split_in_receipts(spark, conf, hot):
     assert len(rows) == 30_000
     assert sum(r.first_name == "First7" for r in rows) >= 10_000
     assert "skew=true" in _plan(receipts)
+
+
+def test_hot_driver_is_reduced_before_the_shuffle(spark, conf, hot):
+    _shuffle_everything(conf)
+    bests = results.stage_bests(hot["run"], ["A"])
+    found = {r.dr_id: r.course_A for r in bests.collect()}
+    expected = {}
+    for i in range(30_000):
+        driver = 7 if i % 3 == 0 else i
+        expected[driver] = min(expected.get(driver, 1e9), i % 90 + 10.5 + 5)
+    assert found == expected
+    assert "partial_min" in _plan(bests)
+
+
+def test_hot_keys_are_split_when_rekeyed_and_deleted(spark, conf, hot):
+    _shuffle_everything(conf)
+    mapping = hot["driver"].select(
+        F.col("driver_id").alias("old"), (F.col("driver_id") + 100_000).alias("new")
+    )
+    changed = cascade.rekey_cascade(hot, "driver", mapping)
+    runs = changed["run"]
+    assert runs.filter("dr_id = 100007").count() == 10_001
+    assert changed["driver"].filter("caregiver = 100007").count() == 10_000
+    assert len(runs.collect()) == 30_000 and "skew=true" in _plan(runs)
+    keys = hot["driver"].filter("driver_id % 2 = 1").select("driver_id")
+    kept, blocked = cascade.delete_cascade(hot, "driver", keys)
+    assert [r.key for r in blocked.collect()] == [7]
+    left = kept["run"]
+    gone = sum(1 for i in range(30_000) if i % 3 and i % 2 and i != 7)
+    assert len(left.collect()) == 30_000 - gone and "skew=true" in _plan(left)
