@@ -22,6 +22,11 @@ from heatsheet.plans import cascade, edits, listings, quality, registration, res
 from heatsheet.sources import star
 from oracle_texts import TEXTS
 
+try:
+    from heatsheet.llm import queries as llm
+except ImportError:  # the package works without its training-data operators
+    llm = None
+
 AS_OF = date(2024, 1, 1)
 STAGES = star.STAGES
 DRIVER_ID = 7
@@ -156,6 +161,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return core_queries() | (llm.queries() if llm else {})
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # Listings
         "list_courses": lambda s, d: listings.list_courses(star.course(s, d)),
@@ -302,4 +311,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(TEXTS)
+    return TEXTS | (llm.oracle_sql() if llm else {})

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from oracle_texts import TEXTS
 
 SF_DIR = os.environ.get("HEATSHEET_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -40,14 +41,14 @@ def oracle():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.core_queries()))
 def test_matches_sql(spark, oracle, name):
-    df = registry.queries()[name](spark, SF_DIR)
+    df = registry.core_queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for slow in ("Python", "Pandas", "NestedLoop", "Cartesian"):
         assert slow not in plan
     ours = _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
-    result = oracle.execute(registry.oracle_sql()[name])
+    result = oracle.execute(TEXTS[name])
     columns = [c[0] for c in result.description]
     theirs = _sorted_rows(columns, result.fetchall())
     assert ours[0] == theirs[0]
@@ -57,4 +58,4 @@ def test_matches_sql(spark, oracle, name):
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.core_queries()) == set(TEXTS)
