@@ -63,10 +63,10 @@ def items(benchmark: DataFrame) -> DataFrame:
         words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w"),
     ).distinct()
     sized = (
-        listed.withColumn("hashes", F.array_sort(_hashes("w")))
+        listed.filter(F.size("w") > 0)
+        .withColumn("hashes", F.array_sort(_hashes("w")))
         .withColumn("shingles", _strings("w"))
         .withColumn("n_item", F.size("shingles"))
-        .filter("n_item > 0")
     )
     need = F.ceil(F.col("n_item") * CONTAINED_PERCENT / 100).cast("int")
     return sized.select(
@@ -89,7 +89,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select(
             "doc_id",
             F.size("hashes").alias("n_doc"),
-            F.explode(F.filter("hashes", lambda h: h <= F.lit(largest))).alias("hash"),
+            # The outer form: the filter that Spark infers from a plain explode would be pushed
+            # below and take the words apart anew for every shingle. The join drops NULLs.
+            F.explode_outer(F.filter("hashes", lambda h: h <= F.lit(largest))).alias("hash"),
         )
     )
     probe = F.broadcast(minima) if size <= BROADCAST_MINIMA else minima
@@ -103,8 +105,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return (
         checked.withColumn("w", words(F.col("text")))
         .select("doc_id", "item_id", "n_item", shared.alias("n_shared"))
+        .groupBy("doc_id", "item_id", "n_item")
+        .agg(F.max("n_shared").alias("n_shared"))
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * CONTAINED_PERCENT)
-        .distinct()
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))
     )
 

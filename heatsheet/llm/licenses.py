@@ -68,8 +68,12 @@ def _grams(spark: SparkSession, of: list) -> DataFrame:
     rows = [
         (n, k, q, " ".join(w[q : q + k])) for n, _, _, k, w in of for q in range(len(w) - k + 1)
     ]
-    return spark.createDataFrame(rows, "template int, k int, q int, gram string").withColumn(
-        "hash", F.xxhash64("k", "gram")
+    hashed = F.transform(F.split("gram", " "), lambda w: F.xxhash64(w))
+    grams = spark.createDataFrame(rows, "template int, k int, q int, gram string")
+    gram = F.when(F.col("k") == 2, F.xxhash64("k", F.get("v", F.lit(0)), F.get("v", F.lit(1))))
+    return grams.withColumn("v", hashed).select(
+        "template", "k", "q",
+        gram.otherwise(F.xxhash64("k", *[F.get("v", F.lit(j)) for j in range(3)])).alias("hash"),
     )
 
 
@@ -87,20 +91,17 @@ def words(text) -> F.Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), NO_WORD), lambda w: w != "")
 
 
-def _rolling(k: int) -> F.Column:
-    """Hash and position of every k consecutive words of ``w``."""
-    w, n = F.col("w"), F.size("w")
-    hashed = F.transform(
-        F.sequence(F.lit(0), n - k),
-        lambda p: F.struct(
-            F.xxhash64(
-                F.lit(k),
-                F.concat_ws(" ", *[F.element_at(w, p + 1 + j) for j in range(k)]),
-            ).alias("hash"),
-            p.cast("int").alias("p"),
-        ),
+def _rolling(k: int, wanted: list[int]) -> F.Column:
+    """Hash and position of every k consecutive words, of which ``v`` has the hashes. Those
+    that no template has are left out here already, so that the join gets only rows it keeps."""
+
+    def gram(p):
+        return F.xxhash64(F.lit(k), *[F.get("v", p + j) for j in range(k)])
+
+    places = F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size("v") - k, F.lit(0))), lambda p: gram(p).isin(wanted)
     )
-    return F.when(n >= k, hashed)
+    return F.transform(places, lambda p: F.struct(gram(p).alias("hash"), p.alias("p")))
 
 
 def _spans(diagonals: DataFrame) -> DataFrame:
@@ -128,13 +129,22 @@ def license_scan(docs: DataFrame) -> DataFrame:
     plain = common.texts(docs)
     rows = plain.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
     kinds = sorted({k for _, _, _, k, _ in of})
-    grams = rows.select(
-        "doc_id", "row",
-        F.explode(F.concat(*[F.coalesce(_rolling(k), F.array().cast("array<struct<hash:bigint,p:int>>")) for k in kinds])).alias("g"),
-    ).select("doc_id", "row", "g.hash", "g.p")
+    template_grams = _grams(spark, of)
+    wanted = template_grams.select("k", "hash").distinct().collect()
+    grams = (
+        rows.select("doc_id", "row", F.transform("w", lambda w: F.xxhash64(w)).alias("v"))
+        .select(
+            "doc_id", "row",
+            # The outer form, lest an inferred filter takes the words apart anew for every k-gram.
+            F.explode_outer(
+                F.concat(*[_rolling(k, [r["hash"] for r in wanted if r["k"] == k]) for k in kinds])
+            ).alias("g"),
+        )
+        .select("doc_id", "row", "g.hash", "g.p")
+    )
     # The templates are a constant of this module: some two hundred rows.
     hits = (
-        grams.join(F.broadcast(_grams(spark, of).select("template", "q", "hash")), "hash")
+        grams.join(F.broadcast(template_grams.select("template", "q", "hash")), "hash")
         .select("doc_id", "row", "template", "p", "q", (F.col("p") - F.col("q")).alias("diagonal"))
         .distinct()
     )
@@ -150,18 +160,23 @@ def license_scan(docs: DataFrame) -> DataFrame:
     )
     found = (
         text.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("row_") == F.col("row")))
-        .withColumn("w", words(F.col("text")))
         .join(names.select("template", "label", "base", "k", "grams"), "template")
+        .withColumn(
+            "span",
+            F.slice(words(F.col("text")), F.col("low") + 1, F.col("high") - F.col("low") + F.col("k")),
+        )
     )
     ours = F.transform(
-        F.sequence(F.col("low"), F.col("high")),
-        lambda p: F.array_join(F.slice(F.col("w"), p + 1, F.col("k")), " "),
+        F.sequence(F.lit(1), F.size("span") - F.col("k") + 1),
+        lambda p: F.array_join(F.slice(F.col("span"), p, F.col("k")), " "),
     )
     cover = F.size(F.array_intersect("grams", ours)) / F.size("grams")
+    key = ["doc_id", "row", "template", "label", "base", "low", "high"]
     checked = (
-        found.select("doc_id", "row", "template", "label", "base", "low", "high", cover.alias("cover"))
+        found.select(*key, cover.alias("cover"))
+        .groupBy(*key)
+        .agg(F.max("cover").alias("cover"))
         .filter((F.col("cover") >= COVERED_PERCENT / 100) & (~F.col("base") | (F.col("cover") == 1)))
-        .distinct()
     )
     per_row = checked.groupBy("doc_id", "row").agg(
         F.count_if("base").alias("n_base"),
