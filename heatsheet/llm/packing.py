@@ -4,9 +4,9 @@
    ``CAPACITY`` tokens, the first of which may be shorter.
 2. Pieces are dealt to groups of about ``GROUP`` and packed there by best-fit decreasing.
 3. Dual-feasible functions turn the lengths of a group into lower bounds on its bins. A group
-   that meets its bound is certified: no better packing of these pieces exists, and only its
-   emptiest bin is given up, whose room is lost to rounding. A group with a gap gives up its
-   emptiest bins, four for each bin of the gap besides.
+   that meets its bound is certified: no better packing of these pieces exists alone. Every
+   group gives up its emptiest bin, whose room is lost to rounding, and a fiftieth of its bins,
+   the emptiest again; a group with a gap gives up four more for each bin of the gap.
 4. Groups exchange what was given up: those pieces are dealt anew to as many groups as they
    need and packed again, round after round, until they fit one group or nothing more is saved.
 
@@ -142,7 +142,7 @@ def _pack(frame: pd.DataFrame, capacity: int, turn: int, last: bool) -> pd.DataF
     gap = len(rooms) - least_bins(lengths, capacity)
     given = np.zeros(len(rooms), bool)
     if not last:
-        given[loose[: 1 + 4 * gap]] = True
+        given[loose[: 1 + 4 * gap + len(rooms) // 50]] = True
     group = int(frame["group"].iloc[0])
     out = frame[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
     out["sequence_id"] = (turn << 56) + (group << 24) + bins
