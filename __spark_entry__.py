@@ -15,7 +15,6 @@ from heatsheet.functions import (
     completed_years,
     full_name,
     junior_tagged,
-    sum_all,
     wd_label,
 )
 from heatsheet.plans import cascade, edits, listings, quality, registration, results, search
@@ -28,7 +27,8 @@ except ImportError:  # the package works without its training-data operators
     llm = None
 
 AS_OF = date(2024, 1, 1)
-STAGES = star.STAGES
+#: Stages shown as columns; overall results count every course there is.
+STAGES = ["1", "2", "3", "4", "5"]
 DRIVER_ID = 7
 COURSE_ID = "2"
 TERM = "customer 0001"
@@ -36,13 +36,13 @@ TERM = "customer 0001"
 
 def _results(spark, d):
     return results.stage_results(
-        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), STAGES
+        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), star.course(spark, d), STAGES
     )
 
 
 def _overall(spark, d):
     return results.overall_results(
-        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), STAGES
+        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), star.course(spark, d), STAGES
     )
 
 
@@ -56,7 +56,9 @@ def _chart(spark, d):
 
 
 def _registered(spark, d):
-    return registration.register_drivers(star.applicants(spark, d), star.driver(spark, d), AS_OF)
+    return registration.register_drivers(
+        star.applicants(spark, d), star.driver(spark, d), star.car(spark, d), AS_OF
+    )
 
 
 def _deleted(spark, d):
@@ -71,7 +73,7 @@ def _deleted_drivers(spark, d):
     """What is left when the drivers who did not qualify are deleted, and who is blocked."""
     t = star.tables(spark, d)
     keys = (
-        results.stage_results(t["driver"], t["car"], t["run"], STAGES)
+        results.stage_results(t["driver"], t["car"], t["run"], t["course"], STAGES)
         .filter(~F.col("qualified"))
         .select("driver_id")
     )
@@ -214,9 +216,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chart_series": _chart,
         "run_totals": lambda s, d: results.run_totals(star.run(s, d)),
         "stage_bests": lambda s, d: results.stage_bests(star.attempts(s, d), STAGES),
-        "stage_sums": lambda s, d: results.stage_bests(star.attempts(s, d), STAGES).select(
-            "dr_id", F.round(sum_all(results.stage_columns(STAGES)), 2).alias("overall")
-        ),
+        "stage_sums": lambda s, d: results.overall_sums(star.attempts(s, d), star.course(s, d)),
         "attempt_total": lambda s, d: star.run(s, d).select(
             "dr_id", "crs_id", "run_num", F.round(attempt_total(), 2).alias("total")
         ),
@@ -225,15 +225,15 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # Search
         "driver_search": lambda s, d: search.driver_search(
-            star.driver(s, d), star.car(s, d), star.attempts(s, d), STAGES, TERM
+            star.driver(s, d), star.car(s, d), star.attempts(s, d), star.course(s, d), STAGES, TERM
         ),
         "driver_search_word": lambda s, d: search.driver_search(
-            star.driver(s, d), star.car(s, d), star.attempts(s, d), STAGES, "00012"
+            star.driver(s, d), star.car(s, d), star.attempts(s, d), star.course(s, d), STAGES, "00012"
         ),
         "driver_search_shown": lambda s, d: listings.shown(
             results.result_labels(
                 search.driver_search(
-                    star.driver(s, d), star.car(s, d), star.attempts(s, d), STAGES, TERM
+                    star.driver(s, d), star.car(s, d), star.attempts(s, d), star.course(s, d), STAGES, TERM
                 ),
                 STAGES,
             ),
@@ -263,10 +263,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ).select("applicant_id", "age", "outcome"),
         "register_drivers": _registered,
         "register_with_caregiver": lambda s, d: registration.register_with_caregiver(
-            star.applicants(s, d), star.driver(s, d), AS_OF
+            star.applicants(s, d), star.driver(s, d), star.car(s, d), AS_OF
         ),
         "rejected_applicants": lambda s, d: registration.rejected_applicants(
-            star.applicants(s, d), star.driver(s, d), AS_OF
+            star.applicants(s, d), star.driver(s, d), star.car(s, d), AS_OF
         ),
         "registration_receipts": lambda s, d: registration.registration_receipts(
             _registered(s, d)

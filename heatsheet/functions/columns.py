@@ -91,10 +91,12 @@ def completed_years(born: Column, as_of: Column) -> Column:
 
 
 def edited(text: Column, current: Column, kind: str) -> Column:
-    """Tri-state edit: empty text clears, NULL (or unreadable text) keeps, else replaces."""
-    return F.when(text == "", F.lit(None).cast(kind)).otherwise(
-        F.coalesce(text.try_cast(kind), current)
-    )
+    """Tri-state edit: empty text clears, NULL (or unreadable text) keeps, else replaces.
+
+    A double is read by way of a decimal, which knows no ``NaN`` and no ``Infinity``.
+    """
+    given = text.try_cast("decimal(18,6)").cast(kind) if kind == "double" else text.try_cast(kind)
+    return F.when(text == "", F.lit(None).cast(kind)).otherwise(F.coalesce(given, current))
 
 
 def refused(checks: dict[str, Column]) -> Column:

@@ -1,10 +1,8 @@
-from heatsheet.operators.joins import broadcast_if_small, fits, lookup_join, pair_all
+from heatsheet.operators.joins import lookup_join, pair_all
 from heatsheet.operators.lineage import stable
 from heatsheet.operators.numbering import number_rows, number_within
 
 __all__ = [
-    "broadcast_if_small",
-    "fits",
     "lookup_join",
     "number_rows",
     "number_within",

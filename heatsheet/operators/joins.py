@@ -5,23 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast hints are given only to sides counted at or below this many rows.
-BROADCAST_ROWS = 10_000
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows. Counts them, one number per task."""
-    return df.count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when its counted size allows, else unchanged.
-
-    Without the hint the join is an ordinary shuffled one, where adaptive execution
-    splits hot partitions and still broadcasts if the measured bytes are few.
-    """
-    return F.broadcast(df) if fits(df, max_rows) else df
-
 
 def lookup_join(
     rows: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heatsheet.operators.lineage import stable
 
 # Most rows of one group that a single task may have to sort in number_within.
-CHUNK_KEYS = 1 << 24
+CHUNK_KEYS = 1 << 20
 
 # monotonically_increasing_id keeps the partition in the upper bits and the row in these.
 _ROW_BITS = 33
@@ -54,16 +54,10 @@ def number_within(
 ) -> DataFrame:
     """Add ``name``: 1, 2, 3, ... inside each group, ordered by a unique integer key.
 
-    The range of the key is read first. If it spans at most ``chunk_keys`` values, no
-    group can have more rows than that and a plain window is enough. Otherwise the range
-    is cut into chunks: rows are numbered inside (group, chunk), at most ``chunk_keys``
-    of them even when one group has a third of the table, and shifted by the
-    pre-aggregated size of the group's earlier chunks.
+    The key's range is cut into chunks: rows are numbered inside (group, chunk), at most
+    ``chunk_keys`` of them even when one group has a third of the table, and shifted by the
+    pre-aggregated size of the group's earlier chunks. No job runs while the plan is made.
     """
-    smallest, largest = df.agg(F.min(key), F.max(key)).first()
-    if smallest is None or largest - smallest < chunk_keys:
-        whole = Window.partitionBy(*group).orderBy(key)
-        return df.withColumn(name, F.row_number().over(whole).cast("bigint"))
     chunked = df.withColumn("_chunk", F.col(key) - F.pmod(F.col(key), F.lit(chunk_keys)))
     inside = Window.partitionBy(*group, "_chunk").orderBy(key)
     earlier = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatsheet.operators import broadcast_if_small, lookup_join, stable
+from heatsheet.operators import lookup_join, stable
 
 # (child table, column) pairs that follow a key of each table.
 FOLLOWERS = {
@@ -38,10 +38,10 @@ def blocked_keys(driver: DataFrame, root: str, keys: DataFrame) -> DataFrame:
     )
     guardians = driver.select(
         F.col("driver_id").alias("guardian"), F.col(root).alias("guardian_root")
-    ).join(broadcast_if_small(wanted), F.col("guardian_root") == F.col("key"), "left_semi")
+    ).join(wanted, F.col("guardian_root") == F.col("key"), "left_semi")
     links = stable(
         wards.join(guardians, F.col("caregiver") == F.col("guardian"))
-        .filter(F.col("ward_root") != F.col("guardian_root"))
+        .filter(~F.col("ward_root").eqNullSafe(F.col("guardian_root")))
         .select("ward_root", "guardian_root")
         .distinct()
     )
@@ -65,20 +65,20 @@ def delete_cascade(
     kept = dict(tables)
     keys = stable(_key_set(keys))
     if table == "course":
-        gone = broadcast_if_small(keys)
+        gone = keys
         kept["course"] = _without(tables["course"], "course_id", gone)
         kept["run"] = _without(tables["run"], "crs_id", gone)
         return kept, keys.filter(F.lit(False))
     root = {"car": "car", "driver": "driver_id"}[table]
     blocked = blocked_keys(tables["driver"], root, keys)
-    gone = broadcast_if_small(stable(keys.join(blocked, "key", "left_anti")))
+    gone = stable(keys.join(blocked, "key", "left_anti"))
     if table == "car":
         kept["car"] = _without(tables["car"], "car_num", gone)
     kept["driver"] = _without(tables["driver"], root, gone)
     gone_drivers = gone
     if root != "driver_id":
         under = tables["driver"].join(gone, F.col(root) == F.col("key"), "left_semi")
-        gone_drivers = broadcast_if_small(under.select(F.col("driver_id").alias("key")))
+        gone_drivers = under.select(F.col("driver_id").alias("key"))
     kept["run"] = _without(tables["run"], "dr_id", gone_drivers)
     return kept, blocked
 
@@ -90,7 +90,7 @@ def rekey_cascade(
 
     ``mapping`` has one row per ``old`` key.
     """
-    lookup = broadcast_if_small(
+    lookup = (
         mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
     )
     changed = dict(tables)

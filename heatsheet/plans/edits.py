@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatsheet.functions import edited, refused
-from heatsheet.operators import broadcast_if_small, lookup_join
+from heatsheet.operators import lookup_join
 
 RUN_KEY = ["dr_id", "crs_id", "run_num"]
 
@@ -62,8 +62,16 @@ def apply_run_edits(run: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def unmatched_edits(edits: DataFrame, run: DataFrame) -> DataFrame:
-    """Folded edits whose run does not exist: applying them changes nothing."""
-    return fold_edits(edits).join(run.select(*RUN_KEY), RUN_KEY, "left_anti")
+    """Edits, folded by their key as given, whose run does not exist: applying them changes
+    nothing. A key that is NULL or no number matches no run and is reported too."""
+    given = edits.groupBy(*RUN_KEY).agg(_last_given("time"), _last_given("cones"), _last_given("wd"))
+    runs = run.select(*[F.col(c).alias(f"_{c}") for c in RUN_KEY])
+    same = (
+        (F.col("dr_id").try_cast("bigint") == F.col("_dr_id"))
+        & (F.col("crs_id") == F.col("_crs_id"))
+        & (F.col("run_num").try_cast("int") == F.col("_run_num"))
+    )
+    return given.join(runs, same, "left_anti")
 
 
 def validate_edits(edits: DataFrame) -> DataFrame:
@@ -91,7 +99,7 @@ def validate_edits(edits: DataFrame) -> DataFrame:
 def edit_receipts(edits: DataFrame, driver: DataFrame, course: DataFrame) -> DataFrame:
     """What is confirmed for each edit: who, where, and the submitted values as shown."""
     names = driver.select(F.col("driver_id").alias("_driver"), "first_name", "surname")
-    courses = broadcast_if_small(
+    courses = (
         course.select(F.col("course_id").alias("_course"), F.col("name").alias("course_name"))
     )
     keyed = edits.withColumn("dr_id", F.col("dr_id").try_cast("bigint"))

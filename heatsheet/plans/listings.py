@@ -15,7 +15,7 @@ from heatsheet.functions import (
     text_or,
     wd_label,
 )
-from heatsheet.operators import broadcast_if_small, lookup_join
+from heatsheet.operators import lookup_join
 
 
 def list_courses(course: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def run_details(
     (driver, course, run number) is unique, so each total is of a single row and the
     runs are not regrouped: they stay where the scan puts them until the final sort.
     """
-    courses = broadcast_if_small(course.select("course_id", F.col("name").alias("course_name")))
+    courses = course.select("course_id", F.col("name").alias("course_name"))
     return (
         run.filter(F.col("dr_id") == driver_id)
         .join(
@@ -165,7 +165,7 @@ def runs_by_driver(
     run: DataFrame, driver: DataFrame, course: DataFrame, dr_id: int
 ) -> DataFrame:
     """Runs of one driver for editing, by course and run number."""
-    courses = broadcast_if_small(course.select("course_id", F.col("name").alias("course_name")))
+    courses = course.select("course_id", F.col("name").alias("course_name"))
     names = _one_driver(driver, dr_id).select("driver_id", "first_name", "surname")
     return (
         run.filter(F.col("dr_id") == dr_id)

@@ -23,6 +23,8 @@ INSERT_ADULT = "insert_adult"
 INSERT_JUNIOR = "insert_junior"
 INSERT_WITH_CAREGIVER = "insert_with_caregiver"
 NEEDS_CAREGIVER = "needs_caregiver"
+REJECT_FORM = "reject_form"
+REJECT_CAR = "reject_car"
 REJECT_NO_DOB = "reject_no_dob"
 REJECT_TOO_YOUNG = "reject_too_young"
 REJECT_CAREGIVER = "reject_caregiver"
@@ -56,13 +58,29 @@ def classify_applicants(applicants: DataFrame, as_of: date | None = None) -> Dat
     )
 
 
-def decide(applicants: DataFrame, driver: DataFrame, as_of: date | None = None) -> DataFrame:
+def decide(
+    applicants: DataFrame, driver: DataFrame, car: DataFrame, as_of: date | None = None
+) -> DataFrame:
     """Final outcome per applicant, with the values that would be stored.
 
-    A chosen caregiver must be a driver without a stored age. Only applicants who need
+    What the form refuses, or a car that does not exist, comes before the age rules: the
+    tables could not hold such a driver. A chosen caregiver must be a driver without a stored age. Only applicants who need
     one look one up; all others, and those who chose none, are spread by their own id.
     """
-    classified = classify_applicants(applicants, as_of)
+    known = car.select(
+        F.col("car_num").cast("bigint").alias("_known_car"), F.lit(True).alias("has_car")
+    )
+    fields = classify_applicants(applicants, as_of).withColumns(
+        {"_car": F.col("car_num").try_cast("bigint"), "reason": refused(form_checks())}
+    )
+    classified = lookup_join(
+        fields, known, "_car", "_known_car", spread_by="applicant_id"
+    ).withColumn(
+        "outcome",
+        F.when(F.col("reason") != "", REJECT_FORM)
+        .when(F.col("has_car").isNull(), REJECT_CAR)
+        .otherwise(F.col("outcome")),
+    )
     needs = F.col("outcome") == NEEDS_CAREGIVER
     candidates = driver.filter(F.col("age").isNull()).select(
         F.col("driver_id").cast("bigint").alias("guardian_id"),
@@ -118,32 +136,34 @@ def assign_ids(accepted: DataFrame, driver: DataFrame, partitions: int | None =
 def register_drivers(
     applicants: DataFrame,
     driver: DataFrame,
+    car: DataFrame,
     as_of: date | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Accepted applicants with their ids and stored values."""
-    accepted = decide(applicants, driver, as_of).filter(F.col("outcome").isin(INSERTS))
+    accepted = decide(applicants, driver, car, as_of).filter(F.col("outcome").isin(INSERTS))
     return assign_ids(accepted, driver, partitions).select("driver_id", *_DECISION)
 
 
 def register_with_caregiver(
     applicants: DataFrame,
     driver: DataFrame,
+    car: DataFrame,
     as_of: date | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Only the applicants who needed a caregiver and chose a valid one."""
-    accepted = decide(applicants, driver, as_of).filter(
+    accepted = decide(applicants, driver, car, as_of).filter(
         F.col("outcome") == INSERT_WITH_CAREGIVER
     )
     return assign_ids(accepted, driver, partitions).select("driver_id", *_DECISION)
 
 
 def rejected_applicants(
-    applicants: DataFrame, driver: DataFrame, as_of: date | None = None
+    applicants: DataFrame, driver: DataFrame, car: DataFrame, as_of: date | None = None
 ) -> DataFrame:
     """Applicants not registered, with the outcome that says why."""
-    return decide(applicants, driver, as_of).filter(~F.col("outcome").isin(INSERTS)).select(
+    return decide(applicants, driver, car, as_of).filter(~F.col("outcome").isin(INSERTS)).select(
         "applicant_id", "first_name", "surname", "outcome"
     )
 
@@ -197,10 +217,10 @@ def blank_runs(new_drivers: DataFrame, run: DataFrame) -> DataFrame:
     )
 
 
-def validate_applicants(applicants: DataFrame) -> DataFrame:
-    """Applicants the form would refuse, with the offending fields in ``reason``."""
+def form_checks() -> dict:
+    """What the form asks of each field."""
     earliest, latest = [F.lit(date.fromisoformat(d)) for d in BIRTH_DATE_RANGE]
-    checks = {
+    return {
         "first_name": F.col("first_name").rlike(NAME_PATTERN),
         "surname": F.col("surname").rlike(NAME_PATTERN),
         "car_num": F.col("car_num").try_cast("int").isNotNull(),
@@ -208,4 +228,10 @@ def validate_applicants(applicants: DataFrame) -> DataFrame:
         | (F.col("date_of_birth") == "")
         | birth_date(F.col("date_of_birth")).between(earliest, latest),
     }
-    return applicants.select("*", refused(checks).alias("reason")).filter(F.col("reason") != "")
+
+
+def validate_applicants(applicants: DataFrame) -> DataFrame:
+    """Applicants the form would refuse, with the offending fields in ``reason``."""
+    return applicants.select("*", refused(form_checks()).alias("reason")).filter(
+        F.col("reason") != ""
+    )

@@ -11,26 +11,14 @@ from heatsheet.functions import (
     attempt_total,
     full_name,
     junior_tagged,
-    sum_all,
     text_or,
 )
-from heatsheet.operators import fits, number_rows
+from heatsheet.operators import number_rows
 
 # Symbols shown for first place and for the other leaders.
 MEDALS = ("🏆", "🎁")
 LEADERS = 5
 
-# Most stages that a wide result may have; each one becomes a column.
-MAX_STAGES = 1_000
-
-
-def stage_ids(course: DataFrame) -> list[str]:
-    """Sorted course ids, the column plan of the wide results."""
-    ids = course.select("course_id").distinct()
-    if not fits(ids, MAX_STAGES):
-        raise ValueError(f"more than {MAX_STAGES} courses: pass the wanted stages instead")
-    return sorted(row.course_id for row in ids.collect())
-
 
 def stage_column(stage: str) -> str:
     return f"course_{stage}"
@@ -41,11 +29,9 @@ def stage_columns(stages: list[str]) -> list[str]:
 
 
 def run_totals(run: DataFrame) -> DataFrame:
-    """Run total per driver, course and run number."""
-    return (
-        run.select("dr_id", "crs_id", "run_num", attempt_total().alias("total"))
-        .groupBy("dr_id", "crs_id", "run_num")
-        .agg(F.round(F.sum("total"), 2).alias("run_total"))
+    """Run total per driver, course and run number, which is the declared key of ``run``."""
+    return run.select(
+        "dr_id", "crs_id", "run_num", F.round(attempt_total(), 2).alias("run_total")
     )
 
 
@@ -68,28 +54,54 @@ def stage_bests(run: DataFrame, stages: list[str]) -> DataFrame:
     )
 
 
-def scored(stages: list[str]) -> list[Column]:
-    """Rounded stage bests, the overall sum (NULL when a stage has no result) and a flag."""
-    names = stage_columns(stages)
-    total = sum_all(names)
+def driver_scores(run: DataFrame, stages: list[str]) -> DataFrame:
+    """Per driver with a timed run: the sum of the best totals of all courses, the number of
+    courses with one, and the best totals of the named stages.
+
+    Courses stay rows until the sum, so any number of them counts. ``run.crs_id`` refers to
+    ``course``; ``audit_foreign_keys`` reports where it does not.
+    """
+    bests = (
+        run.filter(F.col("seconds").isNotNull())
+        .select("dr_id", "crs_id", attempt_total().alias("total"))
+        .groupBy("dr_id", "crs_id")
+        .agg(F.min("total").alias("best"))
+    )
+    return bests.groupBy("dr_id").agg(
+        F.sum("best").alias("total"),
+        F.count("*").alias("raced"),
+        *[F.min(F.when(F.col("crs_id") == s, F.col("best"))).alias(stage_column(s)) for s in stages],
+    )
+
+
+def scored(course: DataFrame, stages: list[str]) -> list[Column]:
+    """Rounded bests of the named stages, the overall sum (NULL when any course has no
+    result) and a flag. Which stages are named changes neither."""
+    courses = course.agg(F.count("course_id")).scalar()
+    qualified = F.coalesce(F.col("raced") == courses, F.lit(False))
     return [
-        *[F.round(F.col(n), 2).alias(n) for n in names],
-        F.round(total, 2).alias("overall"),
-        total.isNotNull().alias("qualified"),
+        *[F.round(F.col(n), 2).alias(n) for n in stage_columns(stages)],
+        F.when(qualified, F.round("total", 2)).alias("overall"),
+        qualified.alias("qualified"),
     ]
 
 
+def overall_sums(run: DataFrame, course: DataFrame) -> DataFrame:
+    """Overall result of every driver with a timed run."""
+    return driver_scores(run, []).select("dr_id", *scored(course, [])).drop("qualified")
+
+
 def stage_results(
-    driver: DataFrame, car: DataFrame, run: DataFrame, stages: list[str]
+    driver: DataFrame, car: DataFrame, run: DataFrame, course: DataFrame, stages: list[str]
 ) -> DataFrame:
-    """One row per driver, with stage bests, overall and car model; unordered.
+    """One row per driver, with the bests of the named stages, overall and car model; unordered.
 
     Runs are aggregated before the join, so the join sees one row per driver.
     """
     equipped = driver.join(car, F.col("car") == F.col("car_num"))
-    bests = stage_bests(run, stages)
-    return equipped.join(bests, F.col("driver_id") == F.col("dr_id"), "left").select(
-        "driver_id", "first_name", "surname", "age", "model", *scored(stages)
+    scores = driver_scores(run, stages)
+    return equipped.join(scores, F.col("driver_id") == F.col("dr_id"), "left").select(
+        "driver_id", "first_name", "surname", "age", "model", *scored(course, stages)
     )
 
 
@@ -108,10 +120,10 @@ def leader_medals(results: DataFrame) -> DataFrame:
 
 
 def overall_results(
-    driver: DataFrame, car: DataFrame, run: DataFrame, stages: list[str]
+    driver: DataFrame, car: DataFrame, run: DataFrame, course: DataFrame, stages: list[str]
 ) -> DataFrame:
     """Results page: tagged name, stage bests, overall and medal, in ranking order."""
-    results = stage_results(driver, car, run, stages)
+    results = stage_results(driver, car, run, course, stages)
     return (
         results.join(F.broadcast(leader_medals(results)), "driver_id", "left")
         .select(

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heatsheet.operators import number_within
 
-STAGES = ["1", "2", "3", "4", "5"]
-
 # Columns used here. Naming them spares the job that would read them from a file.
 _COLUMNS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
@@ -107,9 +105,13 @@ def edits(spark: SparkSession, folder: str) -> DataFrame:
             "cast(dr_id as string) as dr_id",
             "crs_id",
             """case when pass = 1 and o_orderkey % 97 = 0 then '999'
+               when pass = 1 and o_orderkey % 89 = 0 then 'first'
+               when pass = 1 and o_orderkey % 83 = 0 then null
                else cast(run_num as string) end as run_num""",
             f"""case when (o_orderkey + pass) % 4 = 0 then null
                 when (o_orderkey + pass) % 4 = 1 then ''
+                when o_orderkey % 47 = 0 then 'NaN'
+                when o_orderkey % 53 = 0 then 'Infinity'
                 when o_orderkey % 31 = 0 then '9.99'
                 when o_orderkey % 37 = 0 then '120.01'
                 when o_orderkey % 41 = 0 then '45.505'
@@ -134,7 +136,8 @@ def applicants(spark: SparkSession, folder: str) -> DataFrame:
         "c_custkey as applicant_id",
         "case when c_custkey % 17 = 0 then ' ' else c_mktsegment end as first_name",
         "case when c_custkey % 11 = 0 then c_name else 'Customer' end as surname",
-        "case when c_custkey % 19 <> 0 then cast(c_nationkey as string) end as car_num",
+        """case when c_custkey % 31 = 0 then '999'
+           when c_custkey % 19 <> 0 then cast(c_nationkey as string) end as car_num""",
         "case when c_custkey % 4 <> 0 then 'on' end as junior_driver",
         f"""case when c_custkey % 7 = 0 then null
             when c_custkey % 23 = 0 then concat('31-02-', {year})

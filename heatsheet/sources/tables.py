@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from heatsheet import schemas
-from heatsheet.operators import broadcast_if_small
 
 
 def read_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -60,7 +59,7 @@ def append_once(df: DataFrame, folder: str, table: str) -> None:
     """
     keys = schemas.PRIMARY_KEYS[table]
     stored = read_parquet(df.sparkSession, folder, table).select(*keys)
-    present = stored.join(broadcast_if_small(df.select(*keys)), keys, "left_semi")
+    present = stored.join(df.select(*keys), keys, "left_semi")
     append(df.join(present, keys, "left_anti"), folder, table)
 
 

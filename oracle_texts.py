@@ -47,22 +47,28 @@ scored as (
          round(b1.best, 2) as course_1, round(b2.best, 2) as course_2,
          round(b3.best, 2) as course_3, round(b4.best, 2) as course_4,
          round(b5.best, 2) as course_5,
-         round(b1.best + b2.best + b3.best + b4.best + b5.best, 2) as overall
+         case when w.raced = (select count(*) from course) then round(w.total, 2) end as overall
   from driver d join car c on d.car = c.car_num
   left join best b1 on b1.dr_id = d.driver_id and b1.crs_id = '1'
   left join best b2 on b2.dr_id = d.driver_id and b2.crs_id = '2'
   left join best b3 on b3.dr_id = d.driver_id and b3.crs_id = '3'
   left join best b4 on b4.dr_id = d.driver_id and b4.crs_id = '4'
-  left join best b5 on b5.dr_id = d.driver_id and b5.crs_id = '5'),
+  left join best b5 on b5.dr_id = d.driver_id and b5.crs_id = '5'
+  left join (select dr_id, sum(best) as total, count(best) as raced from best group by dr_id) w
+    on w.dr_id = d.driver_id),
 placed as (
   select *, row_number() over (order by overall nulls last, driver_id) as position from scored)"""
 
 EDITS = """edits as (
   select o_orderkey * 2 + p.pass as seq, cast(dr_id as varchar) as dr_id, crs_id,
          case when p.pass = 1 and o_orderkey % 97 = 0 then '999'
+              when p.pass = 1 and o_orderkey % 89 = 0 then 'first'
+              when p.pass = 1 and o_orderkey % 83 = 0 then null
               else cast(run_num as varchar) end as run_num,
          case when (o_orderkey + p.pass) % 4 = 0 then null
               when (o_orderkey + p.pass) % 4 = 1 then ''
+              when o_orderkey % 47 = 0 then 'NaN'
+              when o_orderkey % 53 = 0 then 'Infinity'
               when o_orderkey % 31 = 0 then '9.99'
               when o_orderkey % 37 = 0 then '120.01'
               when o_orderkey % 41 = 0 then '45.505'
@@ -76,17 +82,24 @@ EDITS = """edits as (
               else cast(o_orderkey % 2 as varchar) end as wd
   from run_keyed, (values (0), (1)) p(pass)),
 folded as (
-  select cast(dr_id as bigint) as dr_id, crs_id, cast(run_num as int) as run_num,
+  select cast(dr_id as bigint) as dr_id, crs_id, try_cast(run_num as int) as run_num,
          arg_max(time, seq) filter (where time is not null) as time,
          arg_max(cones, seq) filter (where cones is not null) as cones,
          arg_max(wd, seq) filter (where wd is not null) as wd
-  from edits group by all)"""
+  from edits where try_cast(run_num as int) is not null group by all),
+folded_as_given as (
+  select dr_id, crs_id, run_num,
+         arg_max(time, seq) filter (where time is not null) as time,
+         arg_max(cones, seq) filter (where cones is not null) as cones,
+         arg_max(wd, seq) filter (where wd is not null) as wd
+  from edits group by dr_id, crs_id, run_num)"""
 
 APPLICANTS = """applicants as (
   select c_custkey as applicant_id,
          case when c_custkey % 17 = 0 then ' ' else c_mktsegment end as first_name,
          case when c_custkey % 11 = 0 then c_name else 'Customer' end as surname,
-         case when c_custkey % 19 <> 0 then cast(c_nationkey as varchar) end as car_num,
+         case when c_custkey % 31 = 0 then '999'
+              when c_custkey % 19 <> 0 then cast(c_nationkey as varchar) end as car_num,
          case when c_custkey % 4 <> 0 then 'on' end as junior_driver,
          case when c_custkey % 7 = 0 then null
               when c_custkey % 23 = 0 then '31-02-' || cast(1990 + c_custkey % 36 as varchar)
@@ -125,7 +138,13 @@ classed as (
   from aged),
 decided as (
   select c.*, g.driver_id as guardian, g.first_name || ' ' || g.surname as guardian_name,
-         case when class <> 'needs_caregiver' then class
+         case when not regexp_full_match(c.first_name, '[A-Za-z ]*[A-Za-z][A-Za-z ]*')
+                or not regexp_full_match(c.surname, '[A-Za-z ]*[A-Za-z][A-Za-z ]*')
+                or c.car_num is null
+                or c.date_of_birth <> '' and (born is null or born < date '1940-01-01'
+                                              or born > date '2023-12-31') then 'reject_form'
+              when cast(c.car_num as int) not in (select car_num from car) then 'reject_car'
+              when class <> 'needs_caregiver' then class
               when c.caregiver is null or c.caregiver = '' then class
               when g.driver_id is null then 'reject_caregiver'
               else 'insert_with_caregiver' end as outcome
@@ -331,12 +350,9 @@ from attempt where total is not null group by dr_id""",
     ),
     "stage_sums": _text(
         """
-select dr_id, round(min(case when crs_id = '1' then total end)
-       + min(case when crs_id = '2' then total end)
-       + min(case when crs_id = '3' then total end)
-       + min(case when crs_id = '4' then total end)
-       + min(case when crs_id = '5' then total end), 2) as overall
-from attempt where total is not null group by dr_id""",
+select dr_id, case when count(best) = (select count(*) from course) then round(sum(best), 2) end
+         as overall
+from best where best is not null group by dr_id""",
         SCORED,
     ),
     "attempt_total": _text(
@@ -378,7 +394,7 @@ from terms""",
     "apply_run_edits": _text(
         """
 select r.dr_id, r.crs_id, r.run_num,
-       case when f.time = '' then null else coalesce(try_cast(f.time as double), r.seconds) end
+       case when f.time = '' then null else coalesce(cast(try_cast(f.time as decimal(18, 6)) as double), r.seconds) end
          as seconds,
        case when f.cones = '' then null else coalesce(try_cast(f.cones as int), r.cones) end
          as cones,
@@ -389,18 +405,19 @@ from run r left join folded f using (dr_id, crs_id, run_num)""",
     "fold_edits": _text("select dr_id, crs_id, run_num, time, cones, wd from folded", EDITS),
     "unmatched_edits": _text(
         """
-select dr_id, crs_id, run_num, time, cones, wd from folded f
-where not exists (select 1 from run r where r.dr_id = f.dr_id and r.crs_id = f.crs_id
-                  and r.run_num = f.run_num)""",
+select dr_id, crs_id, run_num, time, cones, wd from folded_as_given f
+where not exists (select 1 from run r where r.dr_id = try_cast(f.dr_id as bigint)
+                  and r.crs_id = f.crs_id and r.run_num = try_cast(f.run_num as int))""",
         EDITS,
     ),
     "validate_edits": _text(
         """
 select * from (
   select *, concat_ws(',',
-    case when time <> '' and not (cast(time as decimal(18, 6)) between 10 and 120
-              and cast(time as decimal(18, 6)) * 100 = floor(cast(time as decimal(18, 6)) * 100))
-         then 'time' end,
+    case when try_cast(run_num as int) is null then 'run_num' end,
+    case when time <> '' and not coalesce(cast(time as decimal(18, 6)) between 10 and 120
+              and cast(time as decimal(18, 6)) * 100 = floor(cast(time as decimal(18, 6)) * 100),
+              false) then 'time' end,
     case when cones <> '' and not (cast(nullif(cones, '') as int) between 0 and 25)
          then 'cones' end,
     case when wd not in ('0', '1') then 'wd' end) as reason
@@ -445,7 +462,8 @@ from stored where outcome = 'insert_with_caregiver'""",
     "rejected_applicants": _text(
         """
 select applicant_id, first_name, surname, outcome from stored
-where outcome in ('reject_no_dob', 'reject_too_young', 'reject_caregiver', 'needs_caregiver')""",
+where outcome in ('reject_form', 'reject_car', 'reject_no_dob', 'reject_too_young',
+                  'reject_caregiver', 'needs_caregiver')""",
         APPLICANTS,
     ),
     "registration_receipts": _text(

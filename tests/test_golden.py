@@ -22,15 +22,26 @@ OVERALL = [
 
 
 def _scored(seed):
-    return results.stage_results(seed["driver"], seed["car"], seed["run"], STAGES)
+    return results.stage_results(seed["driver"], seed["car"], seed["run"], seed["course"], STAGES)
 
 
-def test_stage_ids(seed):
-    assert results.stage_ids(seed["course"]) == STAGES
+def test_nobody_qualifies_while_a_course_is_unrun(spark, seed):
+    more = seed["course"].unionByName(
+        spark.createDataFrame([("G", "Seventh", None)], seed["course"].schema)
+    )
+    unrun = results.stage_results(seed["driver"], seed["car"], seed["run"], more, STAGES)
+    assert unrun.filter("qualified or overall is not null").isEmpty()
+    seventh = seed["run"].filter("crs_id = 'A'").withColumn("crs_id", F.lit("G"))
+    run = seed["run"].unionByName(seventh)
+    rows = results.stage_results(seed["driver"], seed["car"], run, more, []).filter("qualified")
+    before = {r.driver_id: r for r in _scored(seed).filter("qualified").collect()}
+    assert {r.driver_id: r.overall for r in rows.collect()} == {
+        i: round(r.overall + r.course_A, 2) for i, r in before.items()
+    }
 
 
 def test_overall_results(seed):
-    rows = results.overall_results(seed["driver"], seed["car"], seed["run"], STAGES).collect()
+    rows = results.overall_results(seed["driver"], seed["car"], seed["run"], seed["course"], STAGES).collect()
     shown = [
         (r.driver_id, r.driver_name, r.model, [r[f"course_{s}"] for s in STAGES], r.overall, r.medal)
         for r in rows
@@ -125,7 +136,7 @@ def test_driver_without_runs_has_no_details(seed):
     assert listings.run_details(t["driver"], none, t["course"], t["car"], 129).count() == 0
     assert listings.run_header(t["driver"], none, t["car"], 129).count() == 0
     row = (
-        results.stage_results(t["driver"], t["car"], none, STAGES)
+        results.stage_results(t["driver"], t["car"], none, t["course"], STAGES)
         .filter("driver_id = 129")
         .first()
     )
@@ -156,11 +167,11 @@ def test_runs_to_edit(seed):
     ],
 )
 @pytest.mark.parametrize("few", [True, False])
-def test_driver_search(seed, monkeypatch, term, expected, few):
+def test_driver_search(seed, conf, term, expected, few):
     if not few:
-        monkeypatch.setattr(search, "SEARCH_BROADCAST_ROWS", 0)
+        conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     t = seed
-    rows = search.driver_search(t["driver"], t["car"], t["run"], STAGES, term).collect()
+    rows = search.driver_search(t["driver"], t["car"], t["run"], t["course"], STAGES, term).collect()
     assert [r.driver_id for r in rows] == expected
     by_id = {row[0]: row for row in OVERALL}
     for r in rows:
@@ -176,7 +187,7 @@ def test_apply_one_edit(spark, seed):
     batch = _edits(spark, (1, "129", "F", "1", "45.5", "1", "0"))
     changed = edits.apply_run_edits(seed["run"], batch)
     assert changed.schema.names == seed["run"].schema.names
-    rows = results.overall_results(seed["driver"], seed["car"], changed, STAGES).collect()
+    rows = results.overall_results(seed["driver"], seed["car"], changed, seed["course"], STAGES).collect()
     assert (rows[5].driver_id, rows[5].course_F, rows[5].overall) == (129, 50.5, 285.75)
     assert changed.count() == 108
 
@@ -197,7 +208,7 @@ def test_fold_then_apply(spark, seed):
         .first()
     )
     assert (row.seconds, row.cones, row.wd) == (None, None, 0)
-    assert [r.run_num for r in edits.unmatched_edits(batch, seed["run"]).collect()] == [9]
+    assert [r.run_num for r in edits.unmatched_edits(batch, seed["run"]).collect()] == ["9"]
 
 
 def test_edit_checks_and_receipts(spark, seed):
@@ -231,7 +242,7 @@ def test_blank_runs(spark, seed):
     applicant = spark.createDataFrame(
         [(1, "New", "Driver", "11", None, None, None)], schemas.APPLICANTS
     )
-    registered = registration.register_drivers(applicant, seed["driver"])
+    registered = registration.register_drivers(applicant, seed["driver"], seed["car"])
     assert [r.driver_id for r in registered.collect()] == [138]
     drivers = registration.new_driver_rows(registered, seed["driver"])
     assert drivers.schema.simpleString() == seed["driver"].schema.simpleString()

@@ -6,8 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatsheet.operators import (
-    broadcast_if_small,
-    fits,
     lookup_join,
     number_rows,
     number_within,
@@ -73,14 +71,6 @@ def test_pair_all(spark, conf, left_splits, right_splits):
     assert "NestedLoop" not in _plan(paired) and "Cartesian" not in _plan(paired)
 
 
-def test_only_small_sides_are_broadcast(spark, conf):
-    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
-    side, rows = spark.range(11), spark.range(100)
-    assert fits(side, 11) and not fits(side, 10)
-    assert "BroadcastHashJoin" in _plan(rows.join(broadcast_if_small(side, 11), "id"))
-    assert "SortMergeJoin" in _plan(rows.join(broadcast_if_small(side, 10), "id"))
-
-
 @pytest.mark.parametrize("big", [True, False])
 def test_lookup_join_spreads_nulls_and_matches_only_keys(spark, conf, big):
     if big:

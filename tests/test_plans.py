@@ -9,7 +9,7 @@ from heatsheet.plans import listings, results, search
 from heatsheet.sources import star
 
 SF_DIR = "/root/testdata/sf0.001"
-STAGES = star.STAGES
+STAGES = registry.STAGES
 
 
 def _plan(df):
@@ -34,9 +34,24 @@ def test_stage_bests_shuffle_once_after_partial_aggregation(tables, static):
     assert "partial_min" in plan and "Window" not in plan
 
 
+def test_run_totals_need_no_second_shuffle(tables, static):
+    assert _plan(results.run_totals(tables["run"])).count("Aggregate") <= _plan(tables["run"]).count("Aggregate")
+
+
+def test_no_job_runs_while_a_plan_is_made(spark):
+    context = spark.sparkContext
+    context.setJobGroup("planning", "plans only")
+    try:
+        for name in ("run_details", "runs_by_course", "runs_by_driver", "driver_search", "edit_receipts"):
+            registry.core_queries()[name](spark, SF_DIR)
+        assert not context.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_leaders_are_taken_without_a_sort_and_share_the_aggregation(tables, static):
     plan = _plan(
-        results.overall_results(tables["driver"], tables["car"], tables["run"], STAGES)
+        results.overall_results(tables["driver"], tables["car"], tables["run"], tables["course"], STAGES)
     )
     assert "TakeOrderedAndProject(limit=5" in plan
     assert plan.count("ReusedExchange") >= 1
@@ -45,7 +60,7 @@ def test_leaders_are_taken_without_a_sort_and_share_the_aggregation(tables, stat
 def test_top_n(tables, static):
     plan = _plan(
         results.top_n(
-            results.stage_results(tables["driver"], tables["car"], tables["run"], STAGES)
+            results.stage_results(tables["driver"], tables["car"], tables["run"], tables["course"], STAGES)
         )
     )
     assert "TakeOrderedAndProject(limit=5" in plan and "rangepartitioning" not in plan
@@ -54,7 +69,7 @@ def test_top_n(tables, static):
 def test_search_filters_below_the_aggregation(tables, static):
     plan = _plan(
         search.driver_search(
-            tables["driver"], tables["car"], tables["run"], STAGES, registry.TERM
+            tables["driver"], tables["car"], tables["run"], tables["course"], STAGES, registry.TERM
         )
     )
     lines = plan.splitlines()

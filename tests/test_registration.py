@@ -74,9 +74,14 @@ def test_register(spark, seed, partitions):
         (16, "Tot", "Kid", "18", "on", "2020-01-01", "135"),
         (17, "Old", "Adult", "20", "on", "1980-01-01", "135"),
         (18, "Ken", "Kid", "18", "on", "2010-01-01", ""),
+        (19, "Ann", "Adult", "999", None, None, None),
+        (20, "Ann", "Adult", None, None, None, None),
+        (21, "Ann", "Adult", "x", "on", "2010-01-01", "135"),
+        (22, " ", "Adult", "11", None, None, None),
+        (23, "Ann", "Adult", "11", None, "2024-01-01", None),
     ]
     registered = registration.register_drivers(
-        _applicants(spark, rows), seed["driver"], AS_OF, partitions
+        _applicants(spark, rows), seed["driver"], seed["car"], AS_OF, partitions
     )
     stored = {
         r.applicant_id: (r.driver_id, r.date_of_birth, r.age, r.caregiver, r.car, r.outcome)
@@ -93,15 +98,20 @@ def test_register(spark, seed, partitions):
     assert (receipts[138].date_of_birth, receipts[138].age, receipts[138].caregiver) == (
         "N/A", "N/A", "N/A",
     )
-    refused = registration.rejected_applicants(_applicants(spark, rows), seed["driver"], AS_OF)
+    refused = registration.rejected_applicants(_applicants(spark, rows), seed["driver"], seed["car"], AS_OF)
     assert {r.applicant_id: r.outcome for r in refused.collect()} == {
         13: "reject_caregiver",
         14: "reject_caregiver",
         15: "needs_caregiver",
         16: "reject_too_young",
         18: "needs_caregiver",
+        19: "reject_car",
+        20: "reject_form",
+        21: "reject_form",
+        22: "reject_form",
+        23: "reject_form",
     }
-    cared = registration.register_with_caregiver(_applicants(spark, rows), seed["driver"], AS_OF)
+    cared = registration.register_with_caregiver(_applicants(spark, rows), seed["driver"], seed["car"], AS_OF)
     assert [(r.driver_id, r.applicant_id, r.caregiver_name) for r in cared.collect()] == [
         (138, 12, "Maggie Atwood")
     ]
@@ -109,7 +119,7 @@ def test_register(spark, seed, partitions):
 
 def test_ids_do_not_depend_on_later_inserts(spark, seed):
     rows = [(1, "Ann", "Adult", "11", None, None, None)]
-    registered = registration.register_drivers(_applicants(spark, rows), seed["driver"])
+    registered = registration.register_drivers(_applicants(spark, rows), seed["driver"], seed["car"])
     plan = registered._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" not in plan and "Subquery" not in plan
 
@@ -117,7 +127,7 @@ def test_ids_do_not_depend_on_later_inserts(spark, seed):
 def test_first_driver_gets_id_one(spark, seed):
     rows = [(1, "Ann", "Adult", "11", None, None, None)]
     registered = registration.register_drivers(
-        _applicants(spark, rows), seed["driver"].filter("false")
+        _applicants(spark, rows), seed["driver"].filter("false"), seed["car"]
     )
     assert [r.driver_id for r in registered.collect()] == [1]
 

@@ -45,7 +45,9 @@ def test_registration_and_edits_reach_the_stored_tables(spark, seed, tmp_path):
         [(1, "Ann", "Adult", "11", None, None, None), (2, "Kay", "Kid", "18", "on", "2010-01-01", "135")],
         schemas.APPLICANTS,
     )
-    registered = registration.register_drivers(applicants, stored("driver"), date(2024, 1, 1))
+    registered = registration.register_drivers(
+        applicants, stored("driver"), stored("car"), date(2024, 1, 1)
+    )
     for _ in range(2):
         updates.store_registration(registered, folder)
         assert stored("driver").count() == 11 and stored("run").count() == 132
@@ -55,7 +57,7 @@ def test_registration_and_edits_reach_the_stored_tables(spark, seed, tmp_path):
     )
     updates.store_edits(batch, folder, staging)
     assert stored("run").count() == 132
-    scored = results.stage_results(stored("driver"), stored("car"), stored("run"), list("ABCDEF"))
+    scored = results.stage_results(stored("driver"), stored("car"), stored("run"), stored("course"), list("ABCDEF"))
     assert results.top_n(scored, 1).first().best_driver == "138 Ann Adult"
     assert scored.filter("driver_id = 138").first().overall == 240.0
 
