@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from heatsheet.llm import common, ragged
 
 LENGTH = 50
 SEED = 25
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 
 _U = np.uint64
@@ -97,6 +98,24 @@ def samples(text: _Text, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return seeds[chosen], ragged.mix(extent), low, high, row[first]
 
 
+def _squeeze(name: str, x: np.ndarray) -> bytes:
+    """A column of a pack: documents as differences, bytes of equal weight side by side."""
+    x = x.astype(_KINDS[name])
+    if name == "doc":
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = x.view(np.uint8).reshape(len(x), -1).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _open(name: str, raw: bytes) -> np.ndarray:
+    dtype = np.dtype(_KINDS[name])
+    if not raw:
+        return np.empty(0, dtype)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(dtype.itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if name == "doc" else x
+
+
 def _packs(kind: int, buckets: int, by: np.ndarray, **columns: np.ndarray) -> Iterator[dict]:
     """Rows of the exchange, one for each bucket; the order inside a bucket is kept."""
     if not len(by):
@@ -106,8 +125,8 @@ def _packs(kind: int, buckets: int, by: np.ndarray, **columns: np.ndarray) -> It
     edge = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, edge):
         row = {"kind": kind, "bucket": kind * buckets + int(bucket[part[0]])}
-        for name, dtype in _KINDS.items():
-            row[name] = columns[name][part].astype(dtype).tobytes() if name in columns else b""
+        for name in _KINDS:
+            row[name] = _squeeze(name, columns[name][part]) if name in columns else b""
         yield row
 
 
@@ -168,7 +187,8 @@ def _first_pass(buckets: int):
             keep = keep[np.lexsort((low[keep],))]
             rows += _packs(
                 SAMPLES, buckets, seed[keep],
-                a=seed[keep], b=np.where(mixed, _U(0), extent)[keep], doc=doc[keep], text=mark[keep],
+                # Seeds that agree in 32 bits alone are compared by their windows like any tie.
+                a=seed[keep] >> _U(32), b=np.where(mixed, _U(0), extent)[keep] >> _U(16), doc=doc[keep], text=mark[keep],
                 at=start[keep], more=np.where(mixed, 255, high - low)[keep],
             )
             own = np.flatnonzero(mixed)
@@ -187,8 +207,8 @@ def _first_pass(buckets: int):
 def _columns(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     rows = table.filter(pc.equal(table.column("kind"), kind))
     return {
-        name: np.frombuffer(b"".join(rows.column(name).to_pylist()), dtype)
-        for name, dtype in _KINDS.items()
+        name: np.concatenate([_open(name, raw) for raw in rows.column(name).to_pylist()])
+        for name in _KINDS
     }
 
 
@@ -323,37 +343,55 @@ def _release(spark) -> None:
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
-    plain = common.texts(docs).select(
-        F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), F.xxhash64("text").alias("row"), "text"
-    )
+    plain = _identified(docs)
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    by_bucket = lambda frame, work: frame.groupBy("bucket").applyInArrow(work, PACK)
-    runs_of = "doc_id long, row long, runs binary"
-
-    packs = common.map_batches(plain, PACK, _first_pass(buckets))
-    ranked = common.written(by_bucket(packs, _rank(buckets)), "ranked")
+    ranked = _ranked(plain, buckets)
     _release(spark)
-    wanted = (
-        common.map_batches(ranked.filter(F.col("kind") == WANTED), runs_of, _by_document)
-        .groupBy("doc_id", "row")
-        .agg(F.collect_list("runs").alias("runs"))
+    found = _resolved(plain, ranked, buckets)
+    _release(spark)
+    runs = _collected(ranked.unionByName(found), RUNS)
+    return common.map_batches(
+        plain.join(runs, ["doc_id", "row"], "left"),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+        _apply,
     )
-    listed = common.map_batches(
-        plain.join(wanted, ["doc_id", "row"]), PACK, _list_windows(buckets)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """Documents with ``row``, which is 0 where a doc_id is alone and tells the texts of a
+    repeated one apart."""
+    plain = common.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE)))
+    repeated = common.written(
+        plain.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice")),
+        "repeated",
     )
-    windows = ranked.filter(F.col("kind") == WINDOWS).unionByName(listed)
-    found = common.written(by_bucket(windows, _least_windows(buckets)), "windows")
-    _release(spark)
-    runs = (
+    row = F.when(F.col("twice").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    return plain.join(repeated, F.col("doc_id") == F.col("twice"), "left").select(
+        "doc_id", row.alias("row"), "text"
+    )
+
+
+def _ranked(plain: DataFrame, buckets: int) -> DataFrame:
+    packs = common.map_batches(plain, PACK, _first_pass(buckets))
+    return common.written(packs.groupBy("bucket").applyInArrow(_rank(buckets), PACK), "ranked")
+
+
+def _collected(packs: DataFrame, kind: int) -> DataFrame:
+    """doc_id, row and the packed (start, size) pairs of one kind."""
+    return (
         common.map_batches(
-            ranked.unionByName(found).filter(F.col("kind") == RUNS), runs_of, _by_document
+            packs.filter(F.col("kind") == kind), "doc_id long, row long, runs binary", _by_document
         )
         .groupBy("doc_id", "row")
         .agg(F.collect_list("runs").alias("runs"))
     )
-    return common.map_batches(
-        plain.join(runs, ["doc_id", "row"], "left"),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
-        _apply,
+
+
+def _resolved(plain: DataFrame, ranked: DataFrame, buckets: int) -> DataFrame:
+    wanted = _collected(ranked, WANTED)
+    listed = common.map_batches(plain.join(wanted, ["doc_id", "row"]), PACK, _list_windows(buckets))
+    windows = ranked.filter(F.col("kind") == WINDOWS).unionByName(listed)
+    return common.written(
+        windows.groupBy("bucket").applyInArrow(_least_windows(buckets), PACK), "windows"
     )
