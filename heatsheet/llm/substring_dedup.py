@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -335,9 +336,11 @@ def _apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _release(spark) -> None:
     """Let Spark delete the shuffle files of finished steps; it does so when their frames are
-    collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collected as garbage, which takes Python, the JVM and the cleaner a moment each."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
