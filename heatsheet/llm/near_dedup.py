@@ -242,9 +242,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signatures = common.written(
         firsts.join(met, "doc_id").select("doc_id", "met", "n_shingles", "signature"), "signatures"
     )
-    texts = common.written(
-        plain.join(signatures.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates"
-    )
+    # The ids grow with the input, so they are never broadcast: one plan at every size.
+    wanted = signatures.select("doc_id").distinct().hint("merge")
+    texts = common.written(plain.join(wanted, "doc_id", "left_semi"), "candidates")
     hubs = (
         buckets.select("doc_id", "band")
         .join(signatures.select("doc_id", "met"), "doc_id")
