@@ -37,6 +37,9 @@ SIMILAR_PERCENT = 85
 #: standard deviations of 320 draws.
 MARGIN = 0.09
 BLOCK = 256
+#: What a row of a block is: a member of the bucket's largest component, any other member, or
+#: such a member on the side of the strays.
+MAIN, MEMBER, STRAY = 0, 1, 2
 
 _draw = np.random.Generator(np.random.PCG64(20))
 _A = _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -143,7 +146,8 @@ def _fit(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block. Pairs between a block of members and a block of strays of
-    one bucket that lie in different components and whose sizes and signatures agree."""
+    one bucket that lie in different components and whose sizes and signatures agree. A pair
+    that shares several buckets comes from the first of them alone, and once."""
     kept: list[pa.RecordBatch] = []
     for batch in itertools.chain(batches, [None]):
         if batch is not None and not batch.num_rows:
@@ -162,18 +166,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles", "role")
         )
         signatures = _signatures(table.column("signature").chunk(0))
+        bands = table.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
         found: list[np.ndarray] = []
         for low, high in zip(whole[:-1], whole[1:]):
-            left = low + np.flatnonzero(role[low:high] == 0)
-            right = low + np.flatnonzero(role[low:high] == 1)
+            left = low + np.flatnonzero(role[low:high] != STRAY)
+            right = low + np.flatnonzero(role[low:high] == STRAY)
             if not len(left) or not len(right):
                 continue
             near = roots[left][:, None] != roots[right][None, :]
             near &= _fit(sizes[left][:, None], sizes[right][None, :])
+            near &= (role[left] == MAIN)[:, None] | (ids[left][:, None] < ids[right][None, :])
             i, j = np.nonzero(near)
             for at in range(0, len(i), 1 << 14):
                 x, y = left[i[at : at + (1 << 14)]], right[j[at : at + (1 << 14)]]
-                ok = _agree(signatures[x], signatures[y]) >= SIMILAR_PERCENT / 100 - MARGIN
+                shared = (bands[x] == bands[y]).argmax(axis=1)
+                ok = bands[x, shared] == cell[0][low]
+                ok &= _agree(signatures[x], signatures[y]) >= SIMILAR_PERCENT / 100 - MARGIN
                 found.append(np.stack([ids[x[ok]], ids[y[ok]]], axis=1))
         if found:
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
@@ -205,12 +213,11 @@ def _across(buckets: DataFrame, roots: DataFrame, signatures: DataFrame) -> Data
     open_rows = named.join(per_band, "band").join(signatures, "doc_id")
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    common_columns = ["band", "doc_id", "root", "n_shingles", "signature"]
-    left = open_rows.select(
-        *common_columns, spot("rows").alias("i"), every("cols").alias("j"), F.lit(0).alias("role")
-    )
+    common_columns = ["band", "doc_id", "root", "n_shingles", "signature", "bands"]
+    kind = F.when(F.col("root") == F.col("main"), MAIN).otherwise(MEMBER).alias("role")
+    left = open_rows.select(*common_columns, spot("rows").alias("i"), every("cols").alias("j"), kind)
     right = open_rows.filter(F.col("root") != F.col("main")).select(
-        *common_columns, every("rows").alias("i"), spot("cols").alias("j"), F.lit(1).alias("role")
+        *common_columns, every("rows").alias("i"), spot("cols").alias("j"), F.lit(STRAY).alias("role")
     )
     return (
         left.unionByName(right)
@@ -240,7 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = common.written(members.join(sizes, "band"), "buckets")
     met = buckets.groupBy("doc_id").agg(F.sum("members").alias("met"))
     signatures = common.written(
-        firsts.join(met, "doc_id").select("doc_id", "met", "n_shingles", "signature"), "signatures"
+        firsts.join(met, "doc_id").select("doc_id", "met", "n_shingles", "signature", "bands"),
+        "signatures",
     )
     # The ids grow with the input, so they are never broadcast: one plan at every size.
     wanted = signatures.select("doc_id").distinct().hint("merge")
@@ -259,10 +267,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b"))
         .distinct()
     )
-    signatures = signatures.select("doc_id", "n_shingles", "signature")
-    links = common.written(_verified(pairs, signatures, texts), "links")
+    compared = signatures.select("doc_id", "n_shingles", "signature")
+    links = common.written(_verified(pairs, compared, texts), "links")
     roots = components(links)
-    more = _verified(_across(buckets.select("doc_id", "band"), roots, signatures), signatures, texts)
+    across = _across(buckets.select("doc_id", "band"), roots, signatures.drop("met"))
+    more = _verified(across, compared, texts)
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = components(common.written(joined, "links"))
 
