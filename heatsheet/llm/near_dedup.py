@@ -125,17 +125,20 @@ def _confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield common.batch(a=a[keep], b=b[keep])
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _beside(frame: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    renamed = [F.col(c).alias(f"{c}_{name}") for c in table.columns if c != "doc_id"]
+    return frame.join(table.select(F.col("doc_id").alias(name), *renamed), name)
+
 
-    def beside(frame, table, name):
-        renamed = [F.col(c).alias(f"{c}_{name}") for c in table.columns if c != "doc_id"]
-        return frame.join(table.select(F.col("doc_id").alias(name), *renamed), name)
+def _likely_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures do not speak against a link."""
+    both = _beside(_beside(pairs, signatures, "b"), signatures, "a")
+    return common.map_batches(both, "a long, b long", _likely).distinct()
 
-    likely = common.map_batches(
-        beside(beside(pairs, signatures, "b"), signatures, "a"), "a long, b long", _likely
-    ).distinct()
-    both = beside(beside(likely, texts, "b"), texts, "a")
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both = _beside(_beside(pairs, texts, "b"), texts, "a")
     return common.map_batches(both, "a long, b long", _confirm).distinct()
 
 
@@ -268,10 +271,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     compared = signatures.select("doc_id", "n_shingles", "signature")
-    links = common.written(_verified(pairs, compared, texts), "links")
+    links = common.written(_verified(_likely_pairs(pairs, compared), texts), "links")
     roots = components(links)
     across = _across(buckets.select("doc_id", "band"), roots, signatures.drop("met"))
-    more = _verified(across, compared, texts)
+    more = _verified(across, texts)
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = components(common.written(joined, "links"))
 
