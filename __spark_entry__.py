@@ -119,6 +119,22 @@ def _rekeyed(table, mapping):
     return job
 
 
+def _refused_mapping(spark, d):
+    """New driver ids of which some exist, some are given twice and some drivers get two."""
+    drivers = star.driver(spark, d)
+    mapping = drivers.selectExpr(
+        "driver_id as old",
+        """case when driver_id % 10 = 0 then driver_id + 1
+           when driver_id % 10 = 2 then 3000000 + driver_id div 20
+           else 1000000 + driver_id end as new""",
+    ).unionByName(
+        drivers.filter("driver_id % 10 = 3").selectExpr(
+            "driver_id as old", "2000000 + driver_id as new"
+        )
+    )
+    return cascade.rekey_refused({"driver": drivers}, "driver", mapping)
+
+
 def _rekeyed_drivers(spark, d):
     changed = _rekeyed(
         "driver",
@@ -291,7 +307,13 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.driver(s, d).withColumn("driver_id", F.col("driver_id").cast("string")),
             "driver_id",
         ),
-        "audit_foreign_keys": lambda s, d: quality.audit_foreign_keys(star.tables(s, d)),
+        "audit_foreign_keys": lambda s, d: quality.audit_foreign_keys(star.flawed(s, d)),
+        "audit_primary_keys": lambda s, d: quality.audit_primary_keys(star.flawed(s, d)),
+        "audit_not_nulls": lambda s, d: quality.audit_not_nulls(star.flawed(s, d)),
+        "audit_lengths": lambda s, d: quality.audit_lengths(star.flawed(s, d)),
+        "fill_car_defaults": lambda s, d: quality.fill_defaults(
+            star.flawed(s, d)["car"], schemas.DEFAULTS["car"]
+        ),
         "audit_not_null": lambda s, d: quality.audit_not_null(
             star.run(s, d), schemas.required_columns("run") + ["seconds", "cones"]
         ),
@@ -304,6 +326,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delete_cars": _deleted,
         "delete_drivers": _deleted_drivers,
         "delete_courses": _deleted_courses,
+        "rekey_refused": _refused_mapping,
         "rekey_drivers": _rekeyed_drivers,
         "rekey_courses": _rekeyed_courses,
         "rekey_cars": _rekeyed_cars,

@@ -29,8 +29,9 @@ def blocked_keys(driver: DataFrame, root: str, keys: DataFrame) -> DataFrame:
 
     ``root`` is the driver column that holds the deleted key: ``driver_id`` when drivers
     are deleted, ``car`` when cars are. A blocked key keeps its drivers, whose own
-    caregivers are then blocked too, so the rule is repeated until nothing changes:
-    as many rounds as caregivers of caregivers are deep (one, under the age rules).
+    caregivers are then blocked too, until nothing changes. A driver has one caregiver, so for
+    drivers every round doubles the length of the jumps from ward to caregiver and the rounds
+    follow the logarithm of the depth. A car has many drivers: there each round takes one step.
     """
     wanted = _key_set(keys)
     wards = driver.filter(F.col("caregiver").isNotNull()).select(
@@ -45,17 +46,28 @@ def blocked_keys(driver: DataFrame, root: str, keys: DataFrame) -> DataFrame:
         .select("ward_root", "guardian_root")
         .distinct()
     )
-    deletable = wanted
+    stays = links.join(wanted, F.col("ward_root") == F.col("key"), "left_anti")
+    blocked = stable(stays.select(F.col("guardian_root").alias("key")).distinct())
+    jumps = links.join(wanted, F.col("ward_root") == F.col("key"), "left_semi")
     while True:
-        blocked = stable(
-            links.join(deletable, F.col("guardian_root") == F.col("key"), "left_semi")
-            .join(deletable, F.col("ward_root") == F.col("key"), "left_anti")
+        more = stable(
+            jumps.join(blocked, F.col("ward_root") == F.col("key"), "left_semi")
             .select(F.col("guardian_root").alias("key"))
             .distinct()
+            .join(blocked, "key", "left_anti")
         )
-        if blocked.isEmpty():
-            return wanted.join(deletable, "key", "left_anti")
-        deletable = stable(deletable.join(blocked, "key", "left_anti"))
+        if more.isEmpty():
+            return blocked
+        blocked = stable(blocked.unionByName(more))
+        if root == "driver_id":
+            onward = jumps.select(
+                F.col("ward_root").alias("middle"), F.col("guardian_root").alias("end")
+            )
+            jumps = stable(
+                jumps.join(onward, F.col("guardian_root") == F.col("middle")).select(
+                    "ward_root", F.col("end").alias("guardian_root")
+                )
+            )
 
 
 def delete_cascade(
@@ -83,16 +95,47 @@ def delete_cascade(
     return kept, blocked
 
 
+def _judged(tables: dict[str, DataFrame], table: str, mapping: DataFrame) -> DataFrame:
+    """``mapping`` with the ``reason`` to refuse a row, or NULL. Keys are counted before the
+    joins, so a key given very often reaches them as one row."""
+    olds = mapping.groupBy(F.col("old").alias("_o")).agg(F.count("*").alias("_olds"))
+    news = mapping.groupBy(F.col("new").alias("_n")).agg(F.count("*").alias("_news"))
+    keys = tables[table].select(F.col(KEYS[table]).alias("_k")).distinct()
+    old, new = F.col("old"), F.col("new")
+    return (
+        mapping.select("old", "new")
+        .join(olds, old == F.col("_o"), "left")
+        .join(news, new == F.col("_n"), "left")
+        .join(keys, new == F.col("_k"), "left")
+        .select(
+            "old",
+            "new",
+            F.when(old.isNull() | new.isNull(), "missing key")
+            .when(F.col("_olds") > 1, "old given twice")
+            .when(F.col("_news") > 1, "new given twice")
+            .when(F.col("_k").isNotNull() & (old != new), "new exists")
+            .alias("reason"),
+        )
+    )
+
+
+def rekey_refused(
+    tables: dict[str, DataFrame], table: str, mapping: DataFrame
+) -> DataFrame:
+    """Rows of ``mapping`` that ``rekey_cascade`` does not apply, with the reason: a missing key,
+    an old or a new key given twice, or a new key that the table has already."""
+    return _judged(tables, table, mapping).filter(F.col("reason").isNotNull())
+
+
 def rekey_cascade(
     tables: dict[str, DataFrame], table: str, mapping: DataFrame
 ) -> dict[str, DataFrame]:
     """Tables after changing keys of ``table`` from ``old`` to ``new`` wherever they occur.
 
-    ``mapping`` has one row per ``old`` key.
+    Rows listed by ``rekey_refused`` change nothing; so each ``old`` key has one ``new``.
     """
-    lookup = (
-        mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-    )
+    accepted = _judged(tables, table, mapping).filter(F.col("reason").isNull())
+    lookup = accepted.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
     changed = dict(tables)
     for name, column in [(table, KEYS[table]), *FOLLOWERS[table]]:
         rows = changed[name]

@@ -15,6 +15,40 @@ def audit_primary_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
+def _key_text(keys: list[str]):
+    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
+
+
+def _each_table(audits: dict[str, DataFrame]) -> DataFrame:
+    named = [df.select(F.lit(name).alias("table"), "*") for name, df in audits.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def audit_primary_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """Repeated values of the declared keys of the four tables."""
+    return _each_table({
+        name: audit_primary_key(tables[name], keys).select(_key_text(keys), "copies")
+        for name, keys in schemas.PRIMARY_KEYS.items()
+    })
+
+
+def audit_not_nulls(tables: dict[str, DataFrame]) -> DataFrame:
+    """Number of NULLs in every required column of the four tables."""
+    return _each_table({
+        name: audit_not_null(tables[name], schemas.required_columns(name)) for name in schemas.TABLES
+    })
+
+
+def audit_lengths(tables: dict[str, DataFrame]) -> DataFrame:
+    """Texts of the four tables that are longer than declared."""
+    return _each_table({
+        name: audit_length(tables[name], schemas.PRIMARY_KEYS[name], limits).select(
+            _key_text(schemas.PRIMARY_KEYS[name]), "column", "allowed", "actual"
+        )
+        for name, limits in schemas.MAX_LENGTHS.items()
+    })
+
+
 def audit_foreign_key(
     child: DataFrame, column: str, parent: DataFrame, parent_column: str
 ) -> DataFrame:

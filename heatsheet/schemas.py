@@ -62,7 +62,14 @@ APPLICANTS = StructType(
 )
 TERMS = StructType([_field("term_id", LongType, required=True), _field("search_term", StringType)])
 
+# Which driver each application became; applicant ids are never used again.
+REGISTERED = StructType([
+    _field("applicant_id", LongType, required=True),
+    _field("driver_id", IntegerType, required=True),
+])
+
 TABLES = {"car": CAR, "driver": DRIVER, "course": COURSE, "run": RUN}
+STORED = TABLES | {"registered": REGISTERED}
 
 PRIMARY_KEYS = {
     "car": ["car_num"],

@@ -94,6 +94,44 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def flawed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The four tables with repeated keys, orphans, NULLs and over-long texts, for audits."""
+    t = tables(spark, folder)
+    changed = {
+        "car": {
+            "model": "case when car_num % 10 = 0 then concat(model, ' second edition') else model end",
+            "drive_class": "case when car_num % 7 <> 0 then drive_class end",
+        },
+        "driver": {
+            "surname": """case when driver_id % 47 = 0 then repeat(surname, 3)
+               when driver_id % 59 <> 0 then surname end""",
+            "caregiver": "case when driver_id % 41 = 0 then -caregiver else caregiver end",
+            "car": "case when driver_id % 40 = 1 then 99 when driver_id % 45 <> 2 then car end",
+        },
+        "course": {
+            "name": "case when course_id <> '3' then name end",
+            "image": "case when course_id = '4' then repeat(image, 5) else image end",
+        },
+        "run": {
+            "dr_id": "case when dr_id % 53 = 0 then dr_id + 10000000 else dr_id end",
+            "crs_id": "case when dr_id % 50 = 7 then '99' else crs_id end",
+            "wd": "case when dr_id % 9 <> 0 or run_num <> 2 then wd end",
+        },
+    }
+    again = {
+        "car": "car_num % 6 = 0",
+        "driver": "driver_id % 50 = 0",
+        "course": "course_id = '5'",
+        "run": "run_num = 1 and dr_id % 61 = 0",
+    }
+    return {
+        name: df.unionByName(df.filter(again[name])).selectExpr(
+            *[f"{changed[name].get(c, c)} as {c}" for c in df.columns]
+        )
+        for name, df in t.items()
+    }
+
+
 def edits(spark: SparkSession, folder: str) -> DataFrame:
     """Two edits for every run, some out of range and some for runs that do not exist."""
     number = "concat(10 + o_orderkey % 110, '.', lpad(cast(o_orderkey % 100 as string), 2, '0'))"

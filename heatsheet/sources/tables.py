@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -9,7 +10,17 @@ from heatsheet import schemas
 
 
 def read_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.schema(schemas.TABLES[table]).parquet(f"{folder}/{table}")
+    return spark.read.schema(schemas.STORED[table]).parquet(f"{folder}/{table}")
+
+
+def read_or_empty(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A stored table, or no rows where nothing has been stored yet."""
+    try:
+        return read_parquet(spark, folder, table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return from_rows(spark, [], table)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -19,7 +30,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def from_rows(spark: SparkSession, rows: list[tuple], table: str) -> DataFrame:
     """A table from literal rows, for seed data."""
-    return spark.createDataFrame(rows, schemas.TABLES[table])
+    return spark.createDataFrame(rows, schemas.STORED[table])
 
 
 def key_slices(table: str, partitions: int) -> list[str]:

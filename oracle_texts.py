@@ -38,6 +38,27 @@ RUN = """run_keyed as (
 run as (
   select dr_id, crs_id, run_num, seconds, cones, wd from run_keyed)"""
 
+FLAWED = """flawed_car as (
+  select car_num, case when car_num % 10 = 0 then model || ' second edition' else model end as model,
+         case when car_num % 7 = 0 then null else drive_class end as drive_class
+  from (select * from car union all select * from car where car_num % 6 = 0)),
+flawed_driver as (
+  select driver_id, first_name,
+         case when driver_id % 47 = 0 then surname || surname || surname
+              when driver_id % 59 = 0 then null else surname end as surname,
+         case when driver_id % 41 = 0 then 0 - caregiver else caregiver end as caregiver,
+         case when driver_id % 40 = 1 then 99 when driver_id % 45 = 2 then null else car end as car
+  from (select * from driver union all select * from driver where driver_id % 50 = 0)),
+flawed_course as (
+  select course_id, case when course_id = '3' then null else name end as name,
+         case when course_id = '4' then repeat(image, 5) else image end as image
+  from (select * from course union all select * from course where course_id = '5')),
+flawed_run as (
+  select case when dr_id % 53 = 0 then dr_id + 10000000 else dr_id end as dr_id,
+         case when dr_id % 50 = 7 then '99' else crs_id end as crs_id, run_num,
+         case when dr_id % 9 = 0 and run_num = 2 then null else wd end as wd
+  from (select * from run union all select * from run where run_num = 1 and dr_id % 61 = 0))"""
+
 SCORED = """attempt as (
   select *, seconds + 5 * coalesce(cones, 0) + 10 * coalesce(wd, 0) as total from run),
 best as (
@@ -522,18 +543,103 @@ where a.caregiver is not null and d.driver_id is null
 group by a.caregiver""",
         APPLICANTS,
     ),
-    "audit_foreign_keys": _text("""
-select 'driver.car' as reference, cast(car as varchar) as value, count(*) as orphans
-from driver where car not in (select car_num from car) group by car
+    "audit_foreign_keys": _text(
+        """
+select 'driver.car' as reference, cast(c.car as varchar) as value, count(*) as orphans
+from flawed_driver c left join flawed_car p on c.car = p.car_num
+where c.car is not null and p.car_num is null group by c.car
+union all
+select 'driver.caregiver', cast(c.caregiver as varchar), count(*)
+from flawed_driver c left join flawed_driver p on c.caregiver = p.driver_id
+where c.caregiver is not null and p.driver_id is null group by c.caregiver
+union all
+select 'run.dr_id', cast(c.dr_id as varchar), count(*)
+from flawed_run c left join flawed_driver p on c.dr_id = p.driver_id
+where p.driver_id is null group by c.dr_id
+union all
+select 'run.crs_id', c.crs_id, count(*)
+from flawed_run c left join flawed_course p on c.crs_id = p.course_id
+where p.course_id is null group by c.crs_id""",
+        FLAWED,
+    ),
+    "audit_primary_keys": _text(
+        """
+select 'car' as "table", cast(car_num as varchar) as key, count(*) as copies
+from flawed_car group by car_num having count(*) > 1
+union all
+select 'driver', cast(driver_id as varchar), count(*)
+from flawed_driver group by driver_id having count(*) > 1
+union all
+select 'course', course_id, count(*) from flawed_course group by course_id having count(*) > 1
+union all
+select 'run', dr_id || '|' || crs_id || '|' || run_num, count(*)
+from flawed_run group by dr_id, crs_id, run_num having count(*) > 1""",
+        FLAWED,
+    ),
+    "audit_not_nulls": _text(
+        """
+select 'car' as "table", unnest(['car_num', 'model', 'drive_class']) as "column",
+       unnest([count(*) - count(car_num), count(*) - count(model),
+               count(*) - count(drive_class)]) as nulls from flawed_car
+union all
+select 'driver', unnest(['driver_id', 'first_name', 'surname', 'car']),
+       unnest([count(*) - count(driver_id), count(*) - count(first_name),
+               count(*) - count(surname), count(*) - count(car)]) from flawed_driver
+union all
+select 'course', unnest(['course_id', 'name']),
+       unnest([count(*) - count(course_id), count(*) - count(name)]) from flawed_course
+union all
+select 'run', unnest(['dr_id', 'crs_id', 'run_num', 'wd']),
+       unnest([count(*) - count(dr_id), count(*) - count(crs_id), count(*) - count(run_num),
+               count(*) - count(wd)]) from flawed_run""",
+        FLAWED,
+    ),
+    "audit_lengths": _text(
+        """
+select 'car' as "table", cast(car_num as varchar) as key, 'model' as "column", 20 as allowed,
+       cast(length(model) as int) as actual from flawed_car where length(model) > 20
+union all
+select 'car', cast(car_num as varchar), 'drive_class', 3, cast(length(drive_class) as int)
+from flawed_car where length(drive_class) > 3
+union all
+select 'driver', cast(driver_id as varchar), 'first_name', 25, cast(length(first_name) as int)
+from flawed_driver where length(first_name) > 25
 union all
-select 'driver.caregiver', cast(caregiver as varchar), count(*)
-from driver where caregiver not in (select driver_id from driver) group by caregiver
+select 'driver', cast(driver_id as varchar), 'surname', 25, cast(length(surname) as int)
+from flawed_driver where length(surname) > 25
 union all
-select 'run.dr_id', cast(dr_id as varchar), count(*)
-from run where dr_id not in (select driver_id from driver) group by dr_id
+select 'course', course_id, 'course_id', 1, cast(length(course_id) as int)
+from flawed_course where length(course_id) > 1
 union all
-select 'run.crs_id', crs_id, count(*)
-from run where crs_id not in (select course_id from course) group by crs_id"""),
+select 'course', course_id, 'name', 30, cast(length(name) as int)
+from flawed_course where length(name) > 30
+union all
+select 'course', course_id, 'image', 20, cast(length(image) as int)
+from flawed_course where length(image) > 20
+union all
+select 'run', dr_id || '|' || crs_id || '|' || run_num, 'crs_id', 1, cast(length(crs_id) as int)
+from flawed_run where length(crs_id) > 1""",
+        FLAWED,
+    ),
+    "fill_car_defaults": _text(
+        "select car_num, model, coalesce(drive_class, 'RWD') as drive_class from flawed_car", FLAWED
+    ),
+    "rekey_refused": _text(
+        """
+select old, new, reason from (
+  select old, new,
+         case when count(*) over (partition by old) > 1 then 'old given twice'
+              when count(*) over (partition by new) > 1 then 'new given twice'
+              when new in (select driver_id from driver) then 'new exists' end as reason
+  from mapping) where reason is not null""",
+        """mapping as (
+  select driver_id as old, case when driver_id % 10 = 0 then driver_id + 1
+                                when driver_id % 10 = 2 then 3000000 + driver_id // 20
+                                else 1000000 + driver_id end as new
+  from driver
+  union all
+  select driver_id, 2000000 + driver_id from driver where driver_id % 10 = 3)""",
+    ),
     "audit_not_null": _text("""
 select unnest(['dr_id', 'crs_id', 'run_num', 'wd', 'seconds', 'cones']) as "column",
        unnest([count(*) - count(dr_id), count(*) - count(crs_id), count(*) - count(run_num),

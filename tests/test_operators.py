@@ -10,6 +10,7 @@ from heatsheet.operators import (
     number_rows,
     number_within,
     pair_all,
+    stable,
 )
 from heatsheet.plans import cascade, edits, listings, results
 
@@ -185,3 +186,40 @@ def test_hot_keys_are_split_when_rekeyed_and_deleted(spark, conf, hot):
     left = kept["run"]
     gone = sum(1 for i in range(30_000) if i % 3 and i % 2 and i != 7)
     assert len(left.collect()) == 30_000 - gone and "skew=true" in _plan(left)
+
+
+def test_a_long_chain_of_caregivers_takes_few_rounds(spark, monkeypatch):
+    chain = spark.range(1, 66).selectExpr(
+        "id as driver_id", "case when id > 1 then id - 1 end as caregiver", "id as car"
+    )
+    written = []
+
+    def counted(df):
+        written.append(df)
+        return stable(df)
+
+    monkeypatch.setattr(cascade, "stable", counted)
+    keys = spark.range(1, 65).withColumnRenamed("id", "driver_id")
+    blocked = cascade.blocked_keys(chain, "driver_id", keys)
+    assert sorted(r.key for r in blocked.collect()) == list(range(1, 65))
+    assert len(written) <= 2 + 3 * 8
+
+
+def test_mappings_that_would_break_keys_are_refused(spark):
+    course = spark.createDataFrame([("A", "x"), ("B", "y"), ("C", "z")], "course_id string, name string")
+    run = spark.createDataFrame([(1, "A"), (1, "B"), (2, "C")], "dr_id int, crs_id string")
+    tables = {"course": course, "run": run}
+    pairs = [("A", "B"), ("B", "D"), ("B", "E"), ("C", "F"), ("X", "G"), ("Y", "G"), (None, "H")]
+    mapping = spark.createDataFrame(pairs, "old string, new string")
+    refused = cascade.rekey_refused(tables, "course", mapping).collect()
+    assert {(r.old, r.new): r.reason for r in refused} == {
+        ("A", "B"): "new exists",
+        ("B", "D"): "old given twice",
+        ("B", "E"): "old given twice",
+        ("X", "G"): "new given twice",
+        ("Y", "G"): "new given twice",
+        (None, "H"): "missing key",
+    }
+    changed = cascade.rekey_cascade(tables, "course", mapping)
+    assert sorted(r.course_id for r in changed["course"].collect()) == ["A", "B", "F"]
+    assert sorted((r.dr_id, r.crs_id) for r in changed["run"].collect()) == [(1, "A"), (1, "B"), (2, "F")]

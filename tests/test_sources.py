@@ -62,6 +62,38 @@ def test_registration_and_edits_reach_the_stored_tables(spark, seed, tmp_path):
     assert scored.filter("driver_id = 138").first().overall == 240.0
 
 
+def test_registration_is_repeatable_from_fresh_plans(spark, seed, tmp_path, monkeypatch):
+    folder = str(tmp_path / "db")
+    for name, df in seed.items():
+        tables.overwrite(df, folder, name)
+    stored = lambda name: tables.read_parquet(spark, folder, name)
+
+    def batch(*numbers):
+        rows = [(n, "Ann", "Adult", "11", None, None, None) for n in numbers]
+        applicants = spark.createDataFrame(rows, schemas.APPLICANTS)
+        registered = registration.register_drivers(
+            applicants, stored("driver"), stored("car"), date(2024, 1, 1)
+        )
+        updates.store_registration(registered, folder)
+
+    def fail(*_):
+        raise OSError("lost between the tables")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(updates, "blank_runs", fail)
+        with pytest.raises(OSError):
+            batch(1)
+    assert stored("driver").count() == 10 and stored("run").count() == 108
+    for numbers in ((1,), (1,), (1, 2), (2,)):
+        batch(*numbers)
+    ids = {r.applicant_id: r.driver_id for r in stored("registered").collect()}
+    assert sorted(ids) == [1, 2] and len(set(ids.values())) == 2
+    assert stored("registered").count() == 2
+    assert stored("driver").count() == 11 and stored("run").count() == 132
+    for driver_id in ids.values():
+        assert stored("run").filter(f"dr_id = {driver_id}").count() == 12
+
+
 def test_malformed_csv_raises(spark, tmp_path):
     path = tmp_path / "car.csv"
     path.write_text("car_num,model,drive_class\nx,Mini,FWD\n")
