@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes the documents its predecessor kept and is written and reread before the
-next. Rows keep all columns of ``documents``; a NULL ``doc_id`` stays NULL.
+next. Rows keep all columns of ``documents``; a NULL ``doc_id`` stays NULL. Every row is judged
+by itself: stages number their rows and compare these numbers, never ``doc_id``.
 """
 
 from __future__ import annotations
@@ -30,41 +31,62 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return good.select(*_columns(docs))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among those of ``kept``, once each."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return (
-        docs.alias("d")
-        .join(ids, F.col("d.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-        .select(*_columns(docs))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``row``, a number of its own for every row, and the row itself as ``d``. Written, so
+    that every later read sees the same numbers."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    return common.written(docs.select(F.monotonically_increasing_id().alias("row"), whole), "rows")
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    """What the operators judge: every row is a document of its own, whatever its doc_id."""
+    return rows.select(F.col("row").alias("doc_id"), F.col("d.text").alias("text"))
+
+
+def _chosen(rows: DataFrame, groups: DataFrame, choose) -> DataFrame:
+    """The row of each group of ``groups`` (row, group) that ``choose`` takes by doc_id and row."""
+    ids = rows.select("row", F.col("d.doc_id").cast("long").alias("id"))
+    best = (
+        groups.join(ids, "row")
+        .groupBy("group")
+        .agg(choose(F.col("id"), F.col("row")).alias("row"))
+        .select("row")
     )
+    return rows.join(best, "row", "left_semi").select("d.*")
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the row with the largest doc_id. Rows that
-    also share the doc_id are one document, of which one row stays."""
-    kept = exact_dedup.exact_duplicates(docs).filter("kept")
-    return _only(_once(docs), kept)
+def _largest(id_, row) -> F.Column:
+    return F.max(F.struct(id_, row))["row"]
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    return docs.dropDuplicates(["doc_id", "text"])
+def _smallest(id_, row) -> F.Column:
+    return F.min(F.struct(id_.isNull(), id_, row))["row"]
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: one with the largest doc_id, and one without a
+    doc_id only if the whole group has none."""
+    rows = _numbered(docs)
+    judged = exact_dedup.exact_duplicates(_as_documents(rows))
+    groups = judged.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    return _chosen(rows, groups, _largest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id."""
-    return _only(docs, near_dedup.near_duplicates(docs).filter("kept"))
+    """One row of each component of near duplicates: one with the smallest doc_id, and one
+    without a doc_id only if the whole component has none."""
+    rows = _numbered(docs)
+    judged = near_dedup.near_duplicates(_as_documents(rows))
+    groups = judged.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    return _chosen(rows, groups, _smallest)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, common.read(spark, sf_dir, "benchmark"))
-    ids = found.select(F.col("doc_id").alias("found_id")).distinct()
-    return (
-        docs.alias("d")
-        .join(ids, F.col("d.doc_id").cast("long").eqNullSafe(F.col("found_id")), "left_anti")
-        .select(*_columns(docs))
-    )
+    """Rows that hold no benchmark item."""
+    rows = _numbered(docs)
+    found = decontaminate.contaminated(_as_documents(rows), common.read(spark, sf_dir, "benchmark"))
+    leaky = found.select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(leaky, "row", "left_anti").select("d.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from heatsheet.llm import common, queries
 
-from cases import frame
+from cases import frame, prose, sort
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -33,6 +33,34 @@ def test_stages_bear_awkward_rows(spark):
     assert corpus_pipeline.drop_low_quality(spark, docs, SF_DIR).columns == docs.columns
 
 
+def _texts(df):
+    return sort((r.doc_id, r.text) for r in df.collect())
+
+
+def test_stages_judge_rows_without_id_or_sharing_one(spark, tmp_path):
+    item, a, b, c = prose(70, 40), prose(71, 60), prose(72, 60), prose(73, 60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    rows = [
+        (None, f"{a} {item}"), (None, a), (None, b), (None, b.upper()), (None, f"{b} tail"),
+        (5, c), (5, f"{b} {item}"), (6, c), (6, prose(74, 60)), (6, f"{c} tail"), (6, f"{c} tail"),
+    ]
+    docs = frame(spark, rows)
+    clean = [r for r in rows if item not in r[1]]
+    assert _texts(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == sort(clean)
+    # Of equal texts the largest id stays, of rows without one any.
+    kept = _texts(corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path)))
+    low = [(i, t.lower()) for i, t in kept]
+    assert sort(low) == sort((i, t) for i, t in {(i, t.lower()) for i, t in rows} - {(5, c)})
+    # Of near texts the smallest id stays, of rows without one any.
+    kept = _texts(corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)))
+    assert len(kept) == 6 and sum(t.lower().startswith(b) for i, t in kept if i is None) == 1
+    assert {r for r in kept if not r[1].lower().startswith(b) or r[0]} == {
+        rows[0], rows[1], rows[5], rows[6], rows[8]
+    }
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     connection = duckdb.connect()
