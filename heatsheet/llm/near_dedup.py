@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,8 +108,9 @@ def _likely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(ids: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
-    """Sets of every row; rows of the same document that follow one another share one."""
-    first = np.concatenate([[True], ids[1:] != ids[:-1]])
+    """Sets of every row; rows of the same document and text that follow one another share one."""
+    other = pc.not_equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
+    first = np.concatenate([[True], (ids[1:] != ids[:-1]) | other])
     sets: list[np.ndarray] = []
     for _, _, data, offsets in ragged.slices(texts.filter(pa.array(first))):
         sets += ragged.shingles(data, offsets, WIDTH)
@@ -271,7 +273,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     compared = signatures.select("doc_id", "n_shingles", "signature")
-    links = common.written(_verified(_likely_pairs(pairs, compared), texts), "links")
+    # A document with several texts links their classes.
+    several = linked.select("doc_id", *same).distinct().groupBy("doc_id").count().filter("count > 1")
+    own = (
+        linked.join(several.select("doc_id"), "doc_id")
+        .join(classes, same)
+        .select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+        .distinct()
+    )
+    found = _verified(_likely_pairs(pairs, compared), texts).unionByName(own)
+    links = common.written(found, "links")
     roots = components(links)
     across = _across(buckets.select("doc_id", "band"), roots, signatures.drop("met"))
     more = _verified(across, texts)

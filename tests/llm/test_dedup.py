@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from heatsheet.llm import exact_dedup, near_dedup, substring_dedup
@@ -65,6 +67,24 @@ def test_near_chain_across_components(spark):
     assert sort(near_dedup.near_duplicates(frame(spark, rows)).collect()) == sort(_near(rows))
 
 
+def test_second_text_of_a_document_is_judged_by_itself():
+    one, two = prose(40, 60), prose(41, 60)
+    ids = np.array([7, 7, 7])
+    sets = near_dedup._sets(ids, pa.array([one, two, two]))
+    alone = [near_dedup._sets(ids[:1], pa.array([t]))[0] for t in (one, two)]
+    assert [s.tolist() for s in sets] == [alone[i].tolist() for i in (0, 1, 1)]
+
+
+def test_near_documents_with_several_texts(spark):
+    texts = [prose(50 + k, 100) for k in range(6)]
+    rows = [
+        (9, texts[0]), (9, texts[1]), (9, texts[2]), (3, texts[1] + " tail"), (4, texts[2] + " tail"),
+        (5, texts[3]), (8, texts[3]), (8, texts[4]), (7, texts[4]), (6, texts[5]),
+    ]
+    for some in (rows, rows[::-1]):
+        assert sort(near_dedup.near_duplicates(frame(spark, some)).collect()) == sort(_near(some))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(64)] + [(9, 9), (200, 201)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
