@@ -1,8 +1,9 @@
 """Near-duplicate documents by MinHash.
 
-1. Sketch: a document's set of 5-word shingles gives ``BANDS * ROWS`` minima of universal
-   hashes, a key for each band of ``ROWS`` minima, and a fingerprint of the whole set.
-   At the similarity asked for, 0.85, a pair shares no band once in 300 000 pairs.
+1. Sketch: a document's set of 5-word shingles gives ``bands * rows`` minima of universal
+   hashes, a key for each band of ``rows`` minima, and a fingerprint of the whole set.
+   Both follow from the similarity asked for (40 x 8 at 0.85, 54 x 7 at 0.80), at which a pair
+   shares no band once in ``MISSED`` pairs.
 2. Documents with the same set are one class; only its smallest document goes on.
 3. In every band bucket each member is paired with one hub, the member that meets most
    others, and with the smallest member, so a bucket of n members gives at most 2n pairs.
@@ -21,7 +22,10 @@ without ``doc_id``. Rows that share a ``doc_id`` are one document with several t
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,46 +36,72 @@ from pyspark.sql import functions as F
 from heatsheet.llm import common, ragged
 from heatsheet.llm.components import components
 
-BANDS, ROWS, WIDTH = 40, 8, 5
+WIDTH = 5
 SIMILAR_PERCENT = 85
-#: How far the share of equal signature bytes may lie under the similarity asked for: 4.5
-#: standard deviations of 320 draws.
-MARGIN = 0.09
+MISSED, MOST_MINIMA = 300_000, 384
 BLOCK = 256
 #: What a row of a block is: a member of the bucket's largest component, any other member, or
 #: such a member on the side of the strays.
 MAIN, MEMBER, STRAY = 0, 1, 2
 
-_draw = np.random.Generator(np.random.PCG64(20))
-_A = _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+@dataclass(frozen=True)
+class Banding:
+    """The similarity asked for, bands, minima a band, and how far the share of equal signature
+    bytes may lie under the similarity."""
+
+    percent: int
+    bands: int
+    rows: int
+    margin: float
+
+
+def banding(percent: int) -> Banding:
+    """The longest bands that ``MOST_MINIMA`` allow. The margin is 4.5 standard deviations of
+    as many draws, rounded up to a hundredth."""
+    similar = min(percent / 100, 0.999)
+    for rows in range(MOST_MINIMA if similar > 0 else 0, 0, -1):
+        bands = math.ceil(-math.log(MISSED) / math.log1p(-(similar**rows)))
+        if bands * rows <= MOST_MINIMA:
+            spread = math.sqrt(similar * (1 - similar) / (bands * rows))
+            return Banding(percent, bands, rows, math.ceil(450 * spread) / 100)
+    raise ValueError(f"{MOST_MINIMA} minima do not find pairs of similarity {percent} %")
+
+
+@lru_cache
+def _universal(n: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.Generator(np.random.PCG64(20))
+    a = draw.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, draw.integers(0, 1 << 32, n, dtype=np.uint32)
+
 
 SKETCH = "doc_id long, n_shingles long, sum long, fold long, bands array<long>, signature binary"
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of every universal hash over a set of shingles."""
-    least = np.full(len(_A), 0xFFFFFFFF, dtype=np.uint32)
+def minima(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of each of ``n`` universal hashes over a set of shingles."""
+    a, b = _universal(n)
+    least = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 256):
-        np.minimum(least, (x[at : at + 256, None] * _A + _B).min(axis=0), out=least)
+        np.minimum(least, (x[at : at + 256, None] * a + b).min(axis=0), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    parts = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
-    for i in range(ROWS):
+def band_keys(least: np.ndarray, how: Banding) -> np.ndarray:
+    parts = least.reshape(-1, how.bands, how.rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(how.bands, dtype=np.uint64), parts.shape[:2]).copy()
+    for i in range(how.rows):
         h = ragged.mix(h * np.uint64(0x9FB21C651E98DF25) + parts[:, :, i])
     return h
 
 
-def _sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _sketch(how: Banding, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids = batch.column("doc_id")
     for low, high, data, offsets in ragged.slices(batch.column("text")):
         sets = ragged.shingles(data, offsets, WIDTH)
-        least = np.stack([minima(s) for s in sets])
-        keys = band_keys(least).view(np.int64)
+        least = np.stack([minima(s, how.bands * how.rows) for s in sets])
+        keys = band_keys(least, how).view(np.int64)
         yield common.batch(
             doc_id=ids.slice(low, high - low),
             n_shingles=np.array([len(s) for s in sets], np.int64),
@@ -81,7 +111,7 @@ def _sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 np.uint64,
             ).view(np.int64),
             bands=pa.ListArray.from_arrays(
-                np.arange(len(sets) + 1, dtype=np.int32) * BANDS, keys.ravel()
+                np.arange(len(sets) + 1, dtype=np.int32) * how.bands, keys.ravel()
             ),
             signature=pa.array([row.tobytes() for row in (least >> np.uint32(3)).astype(np.uint8)], pa.binary()),
         )
@@ -93,14 +123,15 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return ragged.column(column)[0].reshape(-1, BANDS * ROWS)
+def _signatures(column: pa.Array, how: Banding) -> np.ndarray:
+    return ragged.column(column)[0].reshape(-1, how.bands * how.rows)
 
 
-def _likely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    keep = _agree(_signatures(batch.column("signature_a")), _signatures(batch.column("signature_b")))
-    keep = keep >= SIMILAR_PERCENT / 100 - MARGIN
-    keep &= _fit(batch.column("n_shingles_a").to_numpy(), batch.column("n_shingles_b").to_numpy())
+def _likely(how: Banding, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    a, b = (_signatures(batch.column(c), how) for c in ("signature_a", "signature_b"))
+    keep = _agree(a, b) >= how.percent / 100 - how.margin
+    sizes = (batch.column(c).to_numpy() for c in ("n_shingles_a", "n_shingles_b"))
+    keep &= _fit(*sizes, how.percent)
     keep = pa.array(keep)
     yield pa.RecordBatch.from_arrays(
         [batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"]
@@ -117,12 +148,12 @@ def _sets(ids: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
     return [sets[i] for i in np.cumsum(first) - 1]
 
 
-def _confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _confirm(percent: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
     keep = []
     for x, y in zip(_sets(a, batch.column("text_a")), _sets(b, batch.column("text_b"))):
         both = len(np.intersect1d(x, y, assume_unique=True))
-        keep.append(100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both) > 0)
+        keep.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
     keep = np.array(keep)
     yield common.batch(a=a[keep], b=b[keep])
 
@@ -132,24 +163,24 @@ def _beside(frame: DataFrame, table: DataFrame, name: str) -> DataFrame:
     return frame.join(table.select(F.col("doc_id").alias(name), *renamed), name)
 
 
-def _likely_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+def _likely_pairs(pairs: DataFrame, signatures: DataFrame, how: Banding) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures do not speak against a link."""
     both = _beside(_beside(pairs, signatures, "b"), signatures, "a")
-    return common.map_batches(both, "a long, b long", _likely).distinct()
+    return common.map_batches(both, "a long, b long", partial(_likely, how)).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = _beside(_beside(pairs, texts, "b"), texts, "a")
-    return common.map_batches(both, "a long, b long", _confirm).distinct()
+    return common.map_batches(both, "a long, b long", partial(_confirm, percent)).distinct()
 
 
-def _fit(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def _fit(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes can be similar enough at all."""
-    return 100 * np.minimum(n_a, n_b) >= SIMILAR_PERCENT * np.maximum(n_a, n_b)
+    return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(how: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block. Pairs between a block of members and a block of strays of
     one bucket that lie in different components and whose sizes and signatures agree. A pair
     that shares several buckets comes from the first of them alone, and once."""
@@ -170,8 +201,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, roots, sizes, role = (
             table.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles", "role")
         )
-        signatures = _signatures(table.column("signature").chunk(0))
-        bands = table.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
+        signatures = _signatures(table.column("signature").chunk(0), how)
+        bands = table.column("bands").chunk(0).flatten().to_numpy().reshape(-1, how.bands)
         found: list[np.ndarray] = []
         for low, high in zip(whole[:-1], whole[1:]):
             left = low + np.flatnonzero(role[low:high] != STRAY)
@@ -179,21 +210,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(left) or not len(right):
                 continue
             near = roots[left][:, None] != roots[right][None, :]
-            near &= _fit(sizes[left][:, None], sizes[right][None, :])
+            near &= _fit(sizes[left][:, None], sizes[right][None, :], how.percent)
             near &= (role[left] == MAIN)[:, None] | (ids[left][:, None] < ids[right][None, :])
             i, j = np.nonzero(near)
             for at in range(0, len(i), 1 << 14):
                 x, y = left[i[at : at + (1 << 14)]], right[j[at : at + (1 << 14)]]
                 shared = (bands[x] == bands[y]).argmax(axis=1)
                 ok = bands[x, shared] == cell[0][low]
-                ok &= _agree(signatures[x], signatures[y]) >= SIMILAR_PERCENT / 100 - MARGIN
+                ok &= _agree(signatures[x], signatures[y]) >= how.percent / 100 - how.margin
                 found.append(np.stack([ids[x[ok]], ids[y[ok]]], axis=1))
         if found:
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield common.batch(a=pairs[:, 1].copy(), b=pairs[:, 0].copy())
 
 
-def _across(buckets: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
+def _across(
+    buckets: DataFrame, roots: DataFrame, signatures: DataFrame, how: Banding
+) -> DataFrame:
     """Pairs of members of one bucket in different components. The largest component's
     members are compared with the strays only, in blocks of about ``BLOCK`` by ``BLOCK``."""
     named = buckets.join(
@@ -228,15 +261,17 @@ def _across(buckets: DataFrame, roots: DataFrame, signatures: DataFrame) -> Data
         left.unionByName(right)
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_blocks, "a long, b long")
+        .mapInArrow(partial(_blocks, how), "a long, b long")
         .distinct()
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Documents are
+    linked from a similarity of ``percent`` on."""
+    how = banding(percent)
     plain = common.texts(docs)
-    sketch = common.written(common.map_batches(plain, SKETCH, _sketch), "sketch")
+    sketch = common.written(common.map_batches(plain, SKETCH, partial(_sketch, how)), "sketch")
     same = ["n_shingles", "sum", "fold"]
     linked = sketch.filter("doc_id is not null and n_shingles > 0")
     classes = linked.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
@@ -281,11 +316,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
         .distinct()
     )
-    found = _verified(_likely_pairs(pairs, compared), texts).unionByName(own)
+    found = _verified(_likely_pairs(pairs, compared, how), texts, percent).unionByName(own)
     links = common.written(found, "links")
     roots = components(links)
-    across = _across(buckets.select("doc_id", "band"), roots, signatures.drop("met"))
-    more = _verified(across, texts)
+    across = _across(buckets.select("doc_id", "band"), roots, signatures.drop("met"), how)
+    more = _verified(across, texts, percent)
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = components(common.written(joined, "links"))
 

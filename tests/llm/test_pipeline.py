@@ -1,12 +1,15 @@
 """The pipeline on the smallest tables, stage by stage, and the registered queries' SQL."""
 
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 
 import corpus_pipeline
 from heatsheet.llm import common, queries
 
-from cases import frame, prose, sort
+from cases import frame, lowered, prose, sort
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -61,6 +64,70 @@ def test_stages_judge_rows_without_id_or_sharing_one(spark, tmp_path):
     }
 
 
+def _word_sets(rows, pattern):
+    out = []
+    for _, t in rows:
+        w = re.findall(pattern, lowered(t))
+        out.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    return out
+
+
+def _largest_of_equal(rows):
+    best = {}
+    for i, t in rows:
+        best[lowered(t)] = max((i, t), best.get(lowered(t), (i, t)))
+    return best.values()
+
+
+def _smallest_of_near(rows):
+    sets = _word_sets(rows, r"[^\x20\x09-\x0D]+")
+    root, having = list(range(len(rows))), {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in enumerate(sets):
+        shared = Counter(b for g in s for b in having.get(g, ()))
+        for g in s:
+            having.setdefault(g, []).append(a)
+        for b, both in shared.items():
+            if 100 * both >= 80 * (len(s) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)), key=lambda k: rows[k][0])
+                root[y] = x
+    return [r for k, r in enumerate(rows) if root[k] == k]
+
+
+def _without_items(rows, items):
+    pattern = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+    known = [s for s in _word_sets(items, pattern) if s]
+    return [
+        r
+        for r, d in zip(rows, _word_sets(rows, pattern))
+        if not any(100 * len(s & d) >= 80 * len(s) for s in known)
+    ]
+
+
+def test_stages_keep_the_rows_that_brute_force_keeps(spark):
+    rows = [(r.doc_id, r.text) for r in common.read(spark, SF_DIR, "documents").collect()]
+    items = [(r.item_id, r.text) for r in common.read(spark, SF_DIR, "benchmark").collect()]
+    top, base = max(i for i, _ in rows), prose(80, 104).split()
+    # 90 to 95 of 100 shingles each way: similarities of 0.82 to 0.90, and one of 0.75.
+    rows += [(top + 1, " ".join(base)), (top + 2, " ".join([*base[:94], *prose(81, 10).split()]))]
+    rows += [(top + 3, " ".join([*prose(82, 7).split(), *base[7:], "end"]))]
+    rows += [(top + 4, " ".join([*prose(83, 14).split(), *base[14:]]))]
+    want = {
+        corpus_pipeline.drop_exact_copies: _largest_of_equal(rows),
+        corpus_pipeline.drop_near_copies: _smallest_of_near(rows),
+        corpus_pipeline.drop_contaminated: _without_items(rows, items),
+    }
+    docs = frame(spark, rows, extra=False)
+    for stage, kept in want.items():
+        assert _texts(stage(spark, docs, SF_DIR)) == sort(kept), stage.__name__
+        assert len(kept) < len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     connection = duckdb.connect()
