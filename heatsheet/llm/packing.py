@@ -12,7 +12,7 @@
 
 Groups are bounded by ``GROUP`` in the mean, whatever the input. A NULL or empty text is one
 piece that holds the end id alone. Repeated rows are packed as often as they occur. Rows are
-sorted by length, ``doc_id`` (NULL first) and piece before packing, so that a task that runs
+sorted by length, ``doc_id`` (NULL first), piece and row before packing, so that a task that runs
 again packs the same way. An empty table gives no sequences.
 """
 
@@ -36,7 +36,7 @@ GROUP = 20_000
 ROUNDS = 12
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long, given_up boolean"
+PLACED = PIECES + ", row long, again boolean, sequence_id long, offset long, given_up boolean"
 
 
 def pieces(
@@ -46,10 +46,12 @@ def pieces(
     end: int = END,
     with_ids: bool = False,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of every piece."""
+    """doc_id, piece, start, length, ids_crc32, row and, if asked for, the ids of every piece.
+    ``row`` numbers the rows of ``docs``, so row and piece name a piece whatever its doc_id;
+    two calls agree on it if ``docs`` is a stored table."""
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        docs_ids = batch.column("doc_id")
+        docs_ids, rows = batch.column("doc_id"), batch.column("row")
         for low, high, ids, ends in token_ids.encoded(batch.column("text"), tokenizer):
             size = np.diff(ends) + 1
             ids = np.insert(ids.astype(np.uint32), ends[1:], np.uint32(end))
@@ -68,6 +70,7 @@ def pieces(
                 "start": start,
                 "length": length,
                 "ids_crc32": np.array(crc, np.int64),
+                "row": rows.slice(low, high - low).take(pa.array(row)),
             }
             if with_ids:
                 columns["ids"] = pa.ListArray.from_arrays(
@@ -75,9 +78,8 @@ def pieces(
                 )
             yield common.batch(**columns)
 
-    return common.map_batches(
-        common.texts(docs), PIECES + ", ids array<int>" * with_ids, cut
-    )
+    numbered = common.texts(docs).withColumn("row", F.monotonically_increasing_id())
+    return common.map_batches(numbered, PIECES + ", row long" + ", ids array<int>" * with_ids, cut)
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
@@ -132,7 +134,10 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _pack(frame: pd.DataFrame, capacity: int, turn: int, last: bool) -> pd.DataFrame:
     frame = frame.sort_values(
-        ["length", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable"
+        ["length", "doc_id", "piece", "row"],
+        ascending=[False, True, True, True],
+        na_position="first",
+        kind="stable",
     )
     lengths = frame["length"].to_numpy(np.int64)
     bins, offsets, rooms = best_fit(lengths, capacity)
@@ -144,16 +149,31 @@ def _pack(frame: pd.DataFrame, capacity: int, turn: int, last: bool) -> pd.DataF
     if not last:
         given[loose[: 1 + 4 * gap + len(rooms) // 50]] = True
     group = int(frame["group"].iloc[0])
-    out = frame[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
+    out = frame[["doc_id", "piece", "start", "length", "ids_crc32", "row", "again"]].copy()
     out["sequence_id"] = (turn << 56) + (group << 24) + bins
     out["offset"] = offsets
     out["given_up"] = given[bins]
     return out
 
 
+def _mark(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Whether a piece of the same doc_id and number stands before it in the batch. Such pieces
+    are dealt by their row, so that of a hot or NULL id one piece a batch shares a group at most."""
+    key = batch.select(["doc_id", "piece"]).to_pandas(integer_object_nulls=True)
+    yield batch.append_column("again", pa.array(key.duplicated().to_numpy()))
+
+
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``rows`` of ``pieces`` with sequence_id and offset."""
-    pool = common.written(rows, "pieces")
+    """``rows`` of ``pieces`` with sequence_id and offset. Pieces without ``row`` count as one
+    row each."""
+    if "row" not in rows.columns:
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+    marked = common.map_batches(
+        rows.select("doc_id", "piece", "start", "length", "ids_crc32", "row"),
+        PIECES + ", row long, again boolean",
+        _mark,
+    )
+    pool = common.written(marked, "pieces")
     done = None
     for turn in range(ROUNDS):
         some = pool.agg(F.count("*").alias("n"), F.sum("length").alias("sum")).first()
@@ -162,14 +182,18 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
         last = groups == 1 or turn == ROUNDS - 1
         placed = common.written(
             pool.select(
-                "doc_id", "piece", "start", "length", "ids_crc32",
-                F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).alias("group"),
+                "doc_id", "piece", "start", "length", "ids_crc32", "row", "again",
+                # A NULL leaves the hash as it is.
+                F.pmod(
+                    F.xxhash64("doc_id", "piece", F.lit(turn), F.when(F.col("again"), F.col("row"))),
+                    F.lit(groups),
+                ).alias("group"),
             )
             .groupBy("group")
             .applyInPandas(_packer(capacity, turn, last), PLACED),
             "placed",
         )
-        kept = placed.filter(~F.col("given_up")).drop("given_up")
+        kept = placed.filter(~F.col("given_up")).drop("given_up", "again")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
@@ -185,11 +209,11 @@ def _packer(capacity: int, turn: int, last: bool):
 
 
 def sequences(placed: DataFrame, ids: DataFrame) -> DataFrame:
-    """sequence_id and its token ids, from placed pieces and pieces ``with_ids``. A sequence
-    has at most ``CAPACITY`` ids, so a group is bounded."""
+    """sequence_id and its token ids, from placed pieces and pieces ``with_ids`` of the same
+    stored table. A sequence has at most ``CAPACITY`` ids, so a group is bounded."""
     return (
-        placed.select("doc_id", "piece", "sequence_id", "offset")
-        .join(ids.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
+        placed.select("row", "piece", "sequence_id", "offset")
+        .join(ids.select("row", "piece", "ids"), ["row", "piece"])
         .groupBy("sequence_id")
         .agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
         .select("sequence_id", F.flatten("parts.ids").alias("ids"))
@@ -199,4 +223,4 @@ def sequences(placed: DataFrame, ids: DataFrame) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """One row per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset."""
-    return pack(pieces(docs))
+    return pack(pieces(docs)).drop("row")

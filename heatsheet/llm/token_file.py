@@ -98,7 +98,7 @@ def write(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     plain = common.texts(docs)
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return common.written(
-        plain.repartitionByRange(-(-total // file_bytes) or 1, "doc_id")
+        plain.repartitionByRange(-(-total // file_bytes) or 1, "doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(_write, FILES),
         "token-files",

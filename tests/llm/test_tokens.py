@@ -156,6 +156,31 @@ def test_sequences_hold_the_ids(spark):
         assert _crc(whole[r.sequence_id][r.offset : r.offset + r.length]) == r.ids_crc32
 
 
+def test_sequences_of_rows_without_id_or_sharing_one(spark):
+    rows = [(i, prose(k, 300 + k)) for k, i in enumerate([None, None, 3, 3, 3, 4])] + [(None, prose(9, 3000))]
+    docs = frame(spark, rows)
+    placed = packing.pack(packing.pieces(docs))
+    whole = {r.sequence_id: r.ids for r in packing.sequences(placed, packing.pieces(docs, with_ids=True)).collect()}
+    at = placed.collect()
+    for r in at:
+        assert _crc(whole[r.sequence_id][r.offset : r.offset + r.length]) == r.ids_crc32
+    assert sum(map(len, whole.values())) == sum(r.length for r in at)
+    assert "row" not in packing.packed(docs).columns
+
+
+def test_pieces_of_one_id_are_dealt_to_many_groups(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 1000 + k % 40, 0) for k in range(4000)], packing.PIECES)
+    groups = {r.sequence_id >> 24 for r in packing.pack(rows, group=500).collect()}
+    assert len(groups) >= 8
+
+
+def test_files_split_one_id(spark):
+    docs = frame(spark, [(7, prose(k, 300)) for k in range(30)])
+    files = token_file.write(docs, file_bytes=10_000)
+    assert files.count() > 1
+    assert token_file.digests(files).count() == 30
+
+
 def test_hashes_of_runs_do_not_depend_on_place():
     data, offsets = ragged.column(pa.array(["one two", None, "two", " two one"]))
     starts, ends = ragged.runs(ragged.BLANK_SEPARATED[data], offsets)
