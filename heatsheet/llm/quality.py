@@ -33,6 +33,8 @@ SHARDS = 6
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 THRESHOLD = 0.7
+#: Text bytes turned into features at once; a worker takes some 100 bytes of memory for each.
+SLICE_BYTES = 256 << 10
 
 _CLASSES = np.full(256, 2, np.uint8)
 _CLASSES[:33] = 0
@@ -97,7 +99,9 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray)
 def _train(shard: pd.DataFrame) -> pd.DataFrame:
     labels = shard["label"].to_numpy(np.float64)
     rows = []
-    for _, _, data, offsets in ragged.slices(pa.array(shard["text"], pa.large_string())):
+    for _, _, data, offsets in ragged.slices(
+        pa.array(shard["text"], pa.large_string()), SLICE_BYTES
+    ):
         at, x, ends = features(data, offsets)
         for low, high in zip(ends[:-1], ends[1:]):
             rows.append((np.append(at[low:high], SIZE), np.append(x[low:high], 1.0)))
@@ -134,6 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndar
     return np.mean(found, axis=0) if found else np.zeros(SIZE + 1, np.float32)
 
 
+def _scored(texts: pa.Array, w: np.ndarray) -> np.ndarray:
+    out = [np.empty(0)]
+    for _, _, data, offsets in ragged.slices(texts, SLICE_BYTES):
+        at, x, ends = features(data, offsets)
+        sums = np.concatenate([[0.0], np.cumsum(w[at] * x, dtype=np.float64)])
+        out.append(sums[ends[1:]] - sums[ends[:-1]] + w[-1])
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30)))
+
+
 def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -143,21 +156,27 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out, w = [], shared.value
-            for low, high, data, offsets in ragged.slices(batch.column("text")):
-                at, x, ends = features(data, offsets)
-                sums = np.concatenate([[0.0], np.cumsum(w[at] * x, dtype=np.float64)])
-                out.append(sums[ends[1:]] - sums[ends[:-1]] + w[-1])
-            score = 1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30)))
+            score = pa.array(_scored(batch.column("text"), shared.value), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"]
+                [*batch.columns, score], names=[*batch.schema.names, "score"]
             )
 
     return docs.mapInArrow(score, schema)
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text (a string column) scores ``least`` or more, as they are. A
+    row goes through Arrow once, and rows that are left out do not come back."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = _scored(batch.column(batch.schema.get_field_index("text")), shared.value)
+            yield batch.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(accept, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     weights = train(docs, labels)

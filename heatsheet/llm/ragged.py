@@ -74,18 +74,27 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the hash base and of its inverse, as far as were needed."""
+    """Powers of the hash base and of its inverse. Those of up to ``KEPT`` bytes are remembered,
+    16 bytes of memory for each; a longer text gets its own, which go with it."""
+
+    KEPT = 1 << 21
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    @staticmethod
+    def _made(size: int) -> list[np.ndarray]:
+        return [
+            np.concatenate([[_U(1)], np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64)
+            for b in (_BASE, _INVERSE)
+        ]
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.KEPT:
+            up, down = self._made(n)
+            return up, down
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            self.up, self.down = (
-                np.concatenate([[_U(1)], np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64)
-                for b in (_BASE, _INVERSE)
-            )
+            self.up, self.down = self._made(min(self.KEPT, max(n, 2 * len(self.up))))
         return self.up[:n], self.down[:n]
 
 
