@@ -16,22 +16,13 @@ from heatsheet.llm import common, decontaminate, exact_dedup, near_dedup, packin
 NEAR_PERCENT = 80
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"d.`{c}`") for c in docs.columns]
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold. Learns from all documents that
     are labelled, as op 4 does, and judges those it is given."""
     weights = quality.train(
         common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
     )
-    plain = docs.select(
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
-    )
-    good = quality.scores(plain, weights).filter(F.col("score") >= quality.THRESHOLD)
-    return good.select(*_columns(docs))
+    return quality.accepted(docs, weights)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
