@@ -12,6 +12,7 @@ from heatsheet.llm import (
     decontaminate,
     exact_dedup,
     language,
+    language_model,
     licenses,
     near_dedup,
     packing,
@@ -37,6 +38,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": lambda s, d: near_dedup.near_duplicates(read(s, d, "documents")),
         "op9_packing": lambda s, d: packing.packed(read(s, d, "documents")),
         "op10_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(read(s, d, "documents")),
+        "op13_language_model": lambda s, d: language_model.log_probabilities(
+            read(s, d, "documents")
+        ),
         "pipeline": corpus_pipeline.run,
     }
 
