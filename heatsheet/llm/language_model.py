@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from heatsheet.llm import common, ragged, streams
 
 #: Tokens that the prior weighs as much as.
-PRIOR = 50.0
+PRIOR = 200.0
 #: Tokens that are read one after another; longer texts are read in several lanes at once.
 LANE = 256
 
@@ -84,7 +84,7 @@ def _sliced(docs: DataFrame, parts: int) -> DataFrame:
                 order, ranges = streams.dealt(part)
                 rows = [(streams.STREAM, number, "", -1, stream)]
                 rows += [
-                    (streams.REQUEST, number, "", p, streams.pack_words(words, order[r], counts))
+                    (streams.REQUEST, number, "", p, streams.pack_words(words, order[r], counts[order[r]]))
                     for p, r in ranges
                 ]
                 yield from streams.sent(rows).to_batches()

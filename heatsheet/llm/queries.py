@@ -16,6 +16,7 @@ from heatsheet.llm import (
     licenses,
     near_dedup,
     packing,
+    phrases,
     quality,
     substring_dedup,
     token_count,
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": lambda s, d: near_dedup.near_duplicates(read(s, d, "documents")),
         "op9_packing": lambda s, d: packing.packed(read(s, d, "documents")),
         "op10_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(read(s, d, "documents")),
+        "op11_collocations": lambda s, d: phrases.collocations(read(s, d, "documents")),
         "op13_language_model": lambda s, d: language_model.log_probabilities(
             read(s, d, "documents")
         ),

@@ -29,7 +29,7 @@ from heatsheet.llm import common, ragged
 #: Text bytes of a slice. A worker takes some 30 bytes of memory for each.
 SLICE_BYTES = 8 << 20
 #: Text bytes for each owner, beside the least number that the shuffle parallelism asks for.
-OWNER_BYTES = 32 << 20
+OWNER_BYTES = 16 << 20
 
 ROWS = "slice long, key string, part int, data binary"
 SENT = "kind int, " + ROWS
@@ -85,6 +85,11 @@ def sent(rows: list[tuple]) -> pa.Table:
     return table(rows, [("kind", pa.int32()), *_ROW])
 
 
+def rows(found: list[tuple]) -> pa.Table:
+    """Rows of (slice, key, part, data)."""
+    return table(found, _ROW)
+
+
 def slice_numbers():
     """Numbers for the slices of a task that no other task gives."""
     n = TaskContext.get().partitionId() << 33
@@ -118,10 +123,11 @@ def dealt(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return order, [(p, slice(a, b)) for p, a, b in zip(present.tolist(), first.tolist(), ends)]
 
 
-def pack_words(dictionary: pa.Array, at: np.ndarray, *counts: np.ndarray) -> bytes:
+def pack_words(dictionary: pa.Array, at: np.ndarray, *values: np.ndarray) -> bytes:
+    """The words at these places of a dictionary, with values of each."""
     data, offsets = ragged.column(dictionary)
     size = np.diff(offsets)[at]
-    return pack(data[ragged.spread(offsets[:-1][at], size)], size, *[c[at] for c in counts])
+    return pack(data[ragged.spread(offsets[:-1][at], size)], size, *values)
 
 
 def word_array(data: np.ndarray, size: np.ndarray) -> pa.Array:
