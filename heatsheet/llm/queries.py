@@ -18,6 +18,7 @@ from heatsheet.llm import (
     packing,
     phrases,
     quality,
+    spelling,
     substring_dedup,
     token_count,
     token_file,
@@ -40,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": lambda s, d: packing.packed(read(s, d, "documents")),
         "op10_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(read(s, d, "documents")),
         "op11_collocations": lambda s, d: phrases.collocations(read(s, d, "documents")),
+        "op12_spelling": lambda s, d: spelling.variants(read(s, d, "documents")),
         "op13_language_model": lambda s, d: language_model.log_probabilities(
             read(s, d, "documents")
         ),
