@@ -17,8 +17,20 @@ from heatsheet.functions import (
     junior_tagged,
     wd_label,
 )
-from heatsheet.plans import cascade, edits, listings, quality, registration, results, search
+from heatsheet.operators.lineage import shared_folder
+from heatsheet.plans import (
+    cascade,
+    constraints,
+    edits,
+    listings,
+    quality,
+    registration,
+    results,
+    search,
+    transactions,
+)
 from heatsheet.sources import star
+from heatsheet.sources.store import Store
 from oracle_texts import TEXTS
 
 try:
@@ -61,6 +73,28 @@ def _registered(spark, d):
     )
 
 
+def _store(spark, tables, buckets):
+    store = Store(spark, shared_folder(spark, "store"))
+    transactions.load(store, tables, buckets)
+    return store
+
+
+def _stored_edits(spark, d):
+    """Runs read back from bucketed storage after a batch of edits."""
+    store = _store(spark, {"run": star.run(spark, d)}, {"run": 16})
+    transactions.edit_runs(store, star.edits(spark, d))
+    return store.read("run").withColumn("dr_id", F.col("dr_id").cast("long"))
+
+
+def _stored_receipts(spark, d):
+    """Receipts made from what a registration stored."""
+    t = star.tables(spark, d)
+    store = _store(spark, {n: t[n] for n in ("car", "driver", "run")}, {"driver": 4, "run": 16})
+    return registration.registration_receipts(
+        transactions.register(store, star.applicants(spark, d), AS_OF)
+    ).withColumn("driver_id", F.col("driver_id").cast("long"))
+
+
 def _deleted(spark, d):
     """What is left when the 4WD cars are deleted, and which of them are blocked."""
     t = star.tables(spark, d)
@@ -298,6 +332,11 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_applicants": lambda s, d: registration.validate_applicants(
             star.applicants(s, d)
         ),
+        "stored_receipts": _stored_receipts,
+        "stored_edits": _stored_edits,
+        "judged_drivers": lambda s, d: constraints.judged(
+            star.new_drivers(s, d), "driver", {"driver": star.driver(s, d), "car": star.car(s, d)}
+        ).select("driver_id", "first_name", "surname", "caregiver", "car", "reason"),
         # Audits, defaults and cascades
         "audit_primary_key": lambda s, d: quality.audit_primary_key(
             star.read(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ def _use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, in the checkpoint folder."""
+    _use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder, so later reads all see the same rows.
 

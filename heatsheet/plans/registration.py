@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heatsheet import schemas
 from heatsheet.functions import (
     CAREGIVER_AGES,
     JUNIOR_AGES,
@@ -34,7 +35,7 @@ INSERTS = [INSERT_ADULT, INSERT_JUNIOR, INSERT_WITH_CAREGIVER]
 NAME_PATTERN = r"^(?=.*[A-Za-z])([A-Za-z\s]+)$"
 BIRTH_DATE_RANGE = ("1940-01-01", "2023-12-31")
 
-_DECISION = [
+DECISION = [
     "applicant_id", "first_name", "surname", "date_of_birth", "age", "caregiver", "car",
     "caregiver_name", "outcome",
 ]
@@ -142,7 +143,7 @@ def register_drivers(
 ) -> DataFrame:
     """Accepted applicants with their ids and stored values."""
     accepted = decide(applicants, driver, car, as_of).filter(F.col("outcome").isin(INSERTS))
-    return assign_ids(accepted, driver, partitions).select("driver_id", *_DECISION)
+    return assign_ids(accepted, driver, partitions).select("driver_id", *DECISION)
 
 
 def register_with_caregiver(
@@ -156,7 +157,7 @@ def register_with_caregiver(
     accepted = decide(applicants, driver, car, as_of).filter(
         F.col("outcome") == INSERT_WITH_CAREGIVER
     )
-    return assign_ids(accepted, driver, partitions).select("driver_id", *_DECISION)
+    return assign_ids(accepted, driver, partitions).select("driver_id", *DECISION)
 
 
 def rejected_applicants(
@@ -218,11 +219,13 @@ def blank_runs(new_drivers: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def form_checks() -> dict:
-    """What the form asks of each field."""
+    """What the form asks of each field, and that names fit their columns."""
     earliest, latest = [F.lit(date.fromisoformat(d)) for d in BIRTH_DATE_RANGE]
     return {
-        "first_name": F.col("first_name").rlike(NAME_PATTERN),
-        "surname": F.col("surname").rlike(NAME_PATTERN),
+        **{
+            name: F.col(name).rlike(NAME_PATTERN) & (F.length(name) <= most)
+            for name, most in schemas.MAX_LENGTHS["driver"].items()
+        },
         "car_num": F.col("car_num").try_cast("int").isNotNull(),
         "date_of_birth": F.col("date_of_birth").isNull()
         | (F.col("date_of_birth") == "")

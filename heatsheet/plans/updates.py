@@ -10,13 +10,15 @@ from heatsheet.plans.registration import assign_ids, blank_runs, new_driver_rows
 from heatsheet.sources import tables
 
 
-def store_registration(registered: DataFrame, folder: str) -> None:
+def store_registration(registered: DataFrame, folder: str) -> DataFrame:
     """Append new drivers, then their blank runs.
 
     The table ``registered`` is written first: it holds the driver id of every application
     there has been. Applications in it keep their id, the others get ids above all that are
     stored or promised. Drivers and runs skip keys already stored, so repeating the
     job completes it, also from a new plan and after a failure between the tables.
+    Returns the batch with its stored ids; receipts must be made from that, not from the ids
+    that ``registered`` came with.
     """
     spark = registered.sparkSession
     driver = tables.read_parquet(spark, folder, "driver")
@@ -34,6 +36,7 @@ def store_registration(registered: DataFrame, folder: str) -> None:
     tables.append_once(new_driver_rows(settled, driver), folder, "driver")
     run = tables.read_parquet(spark, folder, "run")
     tables.append_once(blank_runs(settled, run), folder, "run")
+    return settled.select(*registered.columns)
 
 
 def store_edits(edits: DataFrame, folder: str, staging: str) -> None:

@@ -77,6 +77,7 @@ PRIMARY_KEYS = {
     "course": ["course_id"],
     "run": ["dr_id", "crs_id", "run_num"],
 }
+STORED_KEYS = PRIMARY_KEYS | {"registered": ["applicant_id"]}
 
 # (child table, column, parent table, column)
 FOREIGN_KEYS = [

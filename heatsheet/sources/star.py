@@ -172,7 +172,8 @@ def applicants(spark: SparkSession, folder: str) -> DataFrame:
     ]
     return read(spark, folder, "customer").selectExpr(
         "c_custkey as applicant_id",
-        "case when c_custkey % 17 = 0 then ' ' else c_mktsegment end as first_name",
+        """case when c_custkey % 17 = 0 then ' ' when c_custkey % 37 = 0 then repeat(c_mktsegment, 4)
+           else c_mktsegment end as first_name""",
         "case when c_custkey % 11 = 0 then c_name else 'Customer' end as surname",
         """case when c_custkey % 31 = 0 then '999'
            when c_custkey % 19 <> 0 then cast(c_nationkey as string) end as car_num""",
@@ -200,3 +201,20 @@ def terms(spark: SparkSession, folder: str) -> DataFrame:
            when c_custkey % 5 = 2 then concat(c_mktsegment, ' Customer')
            else c_mktsegment end as search_term""",
     )
+
+
+def new_drivers(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows to append to ``driver``, good ones and ones that break every declared constraint."""
+    return driver(spark, folder).selectExpr(
+        """case when driver_id % 97 = 0 then null
+           when driver_id % 10 = 3 then driver_id
+           when driver_id % 10 = 4 then 100000000 + driver_id - driver_id % 20
+           else 100000000 + driver_id end as driver_id""",
+        """case when driver_id % 29 = 0 then null
+           when driver_id % 23 = 0 then repeat(first_name, 6) else first_name end as first_name""",
+        "case when driver_id % 43 = 0 then null else surname end as surname",
+        "date_of_birth",
+        "age",
+        "case when driver_id % 2 = 0 then -caregiver else caregiver end as caregiver",
+        "case when driver_id % 31 = 0 then 99 when driver_id % 37 <> 0 then car end as car",
+    )

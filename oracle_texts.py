@@ -117,7 +117,8 @@ folded_as_given as (
 
 APPLICANTS = """applicants as (
   select c_custkey as applicant_id,
-         case when c_custkey % 17 = 0 then ' ' else c_mktsegment end as first_name,
+         case when c_custkey % 17 = 0 then ' ' when c_custkey % 37 = 0 then repeat(c_mktsegment, 4)
+              else c_mktsegment end as first_name,
          case when c_custkey % 11 = 0 then c_name else 'Customer' end as surname,
          case when c_custkey % 31 = 0 then '999'
               when c_custkey % 19 <> 0 then cast(c_nationkey as varchar) end as car_num,
@@ -161,6 +162,7 @@ decided as (
   select c.*, g.driver_id as guardian, g.first_name || ' ' || g.surname as guardian_name,
          case when not regexp_full_match(c.first_name, '[A-Za-z ]*[A-Za-z][A-Za-z ]*')
                 or not regexp_full_match(c.surname, '[A-Za-z ]*[A-Za-z][A-Za-z ]*')
+                or length(c.first_name) > 25 or length(c.surname) > 25
                 or c.car_num is null
                 or c.date_of_birth <> '' and (born is null or born < date '1940-01-01'
                                               or born > date '2023-12-31') then 'reject_form'
@@ -521,9 +523,9 @@ from registered, (select distinct crs_id from run), (select distinct run_num fro
 select * from (
   select applicant_id, first_name, surname, car_num, junior_driver, date_of_birth, caregiver,
          concat_ws(',',
-           case when not (regexp_full_match(first_name, '[A-Za-z ]+')
+           case when not (regexp_full_match(first_name, '[A-Za-z ]+') and length(first_name) <= 25
                           and regexp_matches(first_name, '[A-Za-z]')) then 'first_name' end,
-           case when not (regexp_full_match(surname, '[A-Za-z ]+')
+           case when not (regexp_full_match(surname, '[A-Za-z ]+') and length(surname) <= 25
                           and regexp_matches(surname, '[A-Za-z]')) then 'surname' end,
            case when car_num is null then 'car_num' end,
            case when date_of_birth <> '' and (born is null or born < date '1940-01-01'
@@ -532,6 +534,34 @@ select * from (
 where reason <> ''""",
         APPLICANTS,
     ),
+    "judged_drivers": _text(
+        """
+select b.driver_id, b.first_name, b.surname, b.caregiver, b.car,
+       concat_ws(',',
+         case when b.driver_id is null then 'null:driver_id' end,
+         case when b.first_name is null then 'null:first_name' end,
+         case when b.surname is null then 'null:surname' end,
+         case when b.car is null then 'null:car' end,
+         case when length(b.first_name) > 25 then 'length:first_name' end,
+         case when length(b.surname) > 25 then 'length:surname' end,
+         case when (select count(*) from batch o where o.driver_id = b.driver_id) > 1 then 'repeated' end,
+         case when b.driver_id in (select driver_id from driver) then 'stored' end,
+         case when b.car not in (select car_num from car) then 'missing:car' end,
+         case when b.caregiver not in (select driver_id from driver) then 'missing:caregiver' end
+       ) as reason
+from batch b""",
+        """batch as (
+  select case when driver_id % 97 = 0 then null
+              when driver_id % 10 = 3 then driver_id
+              when driver_id % 10 = 4 then 100000000 + driver_id - driver_id % 20
+              else 100000000 + driver_id end as driver_id,
+         case when driver_id % 29 = 0 then null
+              when driver_id % 23 = 0 then repeat(first_name, 6) else first_name end as first_name,
+         case when driver_id % 43 = 0 then null else surname end as surname,
+         case when driver_id % 2 = 0 then -caregiver else caregiver end as caregiver,
+         case when driver_id % 31 = 0 then 99 when driver_id % 37 <> 0 then car end as car
+  from driver)""",
+    ),
     "audit_primary_key": """
 select l_orderkey, l_linenumber, count(*) as copies from lineitem
 group by l_orderkey, l_linenumber having count(*) > 1""",
@@ -678,3 +708,7 @@ select dr_id, chr(ascii(crs_id) + 16) as crs_id, run_num, seconds, cones, wd fro
     "rekey_cars": _text("""
 select d.driver_id, c.model, d.car + 100 as car from driver d join car c on c.car_num = d.car"""),
 }
+
+# What is read back from stored tables equals the plain job.
+TEXTS["stored_edits"] = TEXTS["apply_run_edits"]
+TEXTS["stored_receipts"] = TEXTS["registration_receipts"]

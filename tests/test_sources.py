@@ -74,7 +74,7 @@ def test_registration_is_repeatable_from_fresh_plans(spark, seed, tmp_path, monk
         registered = registration.register_drivers(
             applicants, stored("driver"), stored("car"), date(2024, 1, 1)
         )
-        updates.store_registration(registered, folder)
+        return updates.store_registration(registered, folder)
 
     def fail(*_):
         raise OSError("lost between the tables")
@@ -85,7 +85,11 @@ def test_registration_is_repeatable_from_fresh_plans(spark, seed, tmp_path, monk
             batch(1)
     assert stored("driver").count() == 10 and stored("run").count() == 108
     for numbers in ((1,), (1,), (1, 2), (2,)):
-        batch(*numbers)
+        settled = registration.registration_receipts(batch(*numbers))
+        receipts = sorted(r.driver_id for r in settled.collect())
+        ids = {r.applicant_id: r.driver_id for r in stored("registered").collect()}
+        assert receipts == sorted(ids[n] for n in numbers)
+        assert stored("driver").filter(f"driver_id in ({','.join(map(str, receipts))})").count() == len(numbers)
     ids = {r.applicant_id: r.driver_id for r in stored("registered").collect()}
     assert sorted(ids) == [1, 2] and len(set(ids.values())) == 2
     assert stored("registered").count() == 2
