@@ -4,8 +4,9 @@ Words are maximal runs of ``[A-Za-z`` U+00C0 to U+00FF``]``, A-Z lowered. Where
 crc32 of ``<doc_id>:<run>``, h, the run loses its code point h % length. Words of at least
 ``LETTERS`` code points that occur ``LEAST`` times stay.
 
-A word's frequency vector has its number of code points of each letter group: one group for each of a
-to z, and ``OTHERS`` for the rest. The trie arranges words by the counts of one group after another. One
+A word's frequency vector has its number of code points of each letter group: one for each letter of
+``ALONE``, four for the other letters from a to z, two for the rest. The trie arranges words by
+the counts of one group after another, those that tell most apart first. One
 changed letter moves two words' vectors apart by one more in at most one group (surplus) and one
 less in at most one (deficit). So a search goes down the trie with a budget of one each; what it reaches
 at the leaves is verified letter by letter.
@@ -42,9 +43,9 @@ LETTERS = 7
 LEAST = 2
 TIMES = 10
 DROPS = 31
-OTHERS = 6
+ALONE = "etaoinsrhldc"
 COARSE = 4
-GROUPS = 26 + OTHERS
+GROUPS = len(ALONE) + 4 + 2
 #: Words, and searches, that one block of a subtree holds at most on average.
 BLOCK = 100_000
 #: Searches that go down one level of the trie at once.
@@ -58,6 +59,12 @@ PAIRS = "word string, near string, near_n long"
 _CLASSES = np.zeros(256, np.uint8)
 _CLASSES[65:91] = _CLASSES[97:123] = 1
 
+#: The group of a letter; of a letter beyond ASCII, by its second byte.
+_GROUP = len(ALONE) + 4 + np.arange(256) % 2
+_GROUP[97:123] = len(ALONE) + np.arange(26) % 4
+for _i, _letter in enumerate(ALONE):
+    _GROUP[ord(_letter)] = _i
+
 
 def _crc_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
@@ -146,10 +153,9 @@ def vectors(words: pa.Array) -> np.ndarray:
     data, offsets = ragged.column(words)
     row = np.repeat(np.arange(len(words)), np.diff(offsets))
     lead = (data & 0xC0) != 0x80
-    group = data.astype(np.int64) - 97
-    # The second byte tells the letters beyond ASCII apart.
+    group = _GROUP[data]
     second = np.flatnonzero(data == 0xC3) + 1
-    group[second - 1] = 26 + data[second] % OTHERS
+    group[second - 1] = group[second]
     key = row[lead] * GROUPS + group[lead]
     counts = np.bincount(key, minlength=len(words) * GROUPS)
     return counts.reshape(len(words), GROUPS)
@@ -274,6 +280,19 @@ def one_apart(a: str, b: str) -> bool:
     return short[i + (len(short) == len(long)) :] == long[i + 1 :]
 
 
+def _sides(words: pa.Array) -> np.ndarray:
+    """The first and the last three bytes of every word as numbers."""
+    data, offsets = ragged.column(words)
+    data = data.astype(np.int64)
+    first, last = offsets[:-1], offsets[1:]
+    return np.stack(
+        [
+            data[first] << 16 | data[first + 1] << 8 | data[first + 2],
+            data[last - 3] << 16 | data[last - 2] << 8 | data[last - 1],
+        ]
+    )
+
+
 def _met(group: pa.Table) -> pa.Table:
     """The near pairs of one block, both ways round."""
     asks = group.column("asks").to_numpy()
@@ -285,7 +304,11 @@ def _met(group: pa.Table) -> pa.Table:
         down, ordered = (searches.column(c).to_numpy() for c in ("deficit", "ordered"))
         text, asked = word.to_pylist(), near.to_pylist()
         n, asked_n = members.column("n").to_pylist(), searches.column("n").to_pylist()
+        # A changed letter leaves one half of a word as it was, which has three letters at least.
+        sides, asked_sides = _sides(word), _sides(near)
         for search, member, same in trie.search(vectors(near), down.astype(np.int64), ordered.astype(bool)):
+            half = (asked_sides[:, search] == sides[:, member]).any(axis=0)
+            search, member, same = search[half], member[half], same[half]
             for s, m, equal in zip(search.tolist(), member.tolist(), same.tolist()):
                 a, b = asked[s], text[m]
                 if (not equal or a < b) and one_apart(a, b):
