@@ -292,6 +292,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "name_match": lambda s, d: star.driver(s, d)
         .filter(search.name_matches("99"))
         .select("driver_id", "first_name", "surname"),
+        "search_terms": lambda s, d: search.search_terms(star.driver(s, d), star.name_terms(s, d)),
         "validate_search": lambda s, d: search.validate_search(star.terms(s, d)),
         # Edits
         "apply_run_edits": lambda s, d: edits.apply_run_edits(star.run(s, d), star.edits(s, d)),

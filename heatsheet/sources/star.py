@@ -218,3 +218,17 @@ def new_drivers(spark: SparkSession, folder: str) -> DataFrame:
         "case when driver_id % 2 = 0 then -caregiver else caregiver end as caregiver",
         "case when driver_id % 31 = 0 then 99 when driver_id % 37 <> 0 then car end as car",
     )
+
+
+def name_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """A search term for each customer: ends of names, two words, short and blank ones."""
+    return read(spark, folder, "customer").selectExpr(
+        "c_custkey as term_id",
+        """case when c_custkey % 60 = 0 then cast(c_custkey % 7 as string)
+           when c_custkey % 60 = 20 then concat(' ', cast(10 + c_custkey % 89 as string))
+           when c_custkey % 60 = 40 then ' TOMER '
+           when c_custkey % 4 = 0 then concat('  ', substr(c_name, -4), ' ')
+           when c_custkey % 4 = 1 then concat(substr(c_name, -5), ' ', substr(c_mktsegment, 1, 4))
+           when c_custkey % 4 = 2 then concat('nobody ', substr(c_name, -6))
+           when c_custkey % 8 = 3 then '  ' end as search_term""",
+    )

@@ -404,6 +404,28 @@ from ({_search("customer", "0001")})""",
     "name_match": _text("""
 select driver_id, first_name, surname from driver
 where first_name ilike '%99%' or surname ilike '%99%'"""),
+    "search_terms": _text(
+        """
+select term_id, driver_id from parted p, driver d
+where first <> '' and (contains(lower(d.first_name), first) or contains(lower(d.surname), first)
+                       or contains(lower(d.first_name), rest) or contains(lower(d.surname), rest))""",
+        """name_terms as (
+  select c_custkey as term_id,
+         case when c_custkey % 60 = 0 then cast(c_custkey % 7 as varchar)
+              when c_custkey % 60 = 20 then ' ' || cast(10 + c_custkey % 89 as varchar)
+              when c_custkey % 60 = 40 then ' TOMER '
+              when c_custkey % 4 = 0 then '  ' || right(c_name, 4) || ' '
+              when c_custkey % 4 = 1 then right(c_name, 5) || ' ' || substr(c_mktsegment, 1, 4)
+              when c_custkey % 4 = 2 then 'nobody ' || right(c_name, 6)
+              when c_custkey % 8 = 3 then '  ' end as search_term
+  from customer),
+parted as (
+  select term_id, split_part(lower(trim(search_term)), ' ', 1) as first,
+         case when trim(search_term) like '% %'
+              then substr(lower(trim(search_term)), instr(trim(search_term), ' ') + 1)
+              else lower(trim(search_term)) end as rest
+  from name_terms)""",
+    ),
     "validate_search": """
 with terms as (
   select c_custkey as term_id,
