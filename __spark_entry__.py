@@ -280,6 +280,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "driver_search_word": lambda s, d: search.driver_search(
             star.driver(s, d), star.car(s, d), star.attempts(s, d), star.course(s, d), STAGES, "00012"
         ),
+        "driver_search_two_words": lambda s, d: search.driver_search(
+            star.driver(s, d), star.car(s, d), star.attempts(s, d), star.course(s, d), STAGES,
+            "00012 00034",
+        ),
         "driver_search_shown": lambda s, d: listings.shown(
             results.result_labels(
                 search.driver_search(

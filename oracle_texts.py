@@ -387,6 +387,7 @@ select driver_id, case when age >= 12 and age <= 25 then first_name || ' ' || su
 from driver"""),
     "driver_search": _text(_search("customer", "0001"), SCORED),
     "driver_search_word": _text(_search("00012", "00012"), SCORED),
+    "driver_search_two_words": _text(_search("00012", "00034"), SCORED),
     "driver_search_shown": _text(
         f"""
 select driver_id, first_name, surname, coalesce(cast(date_of_birth as varchar), '') as date_of_birth,
