@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heatsheet import schemas
 from heatsheet.functions import (
+    NAME_COLLATION,
     attempt_total,
     birth_date,
     completed_years,
@@ -58,6 +59,40 @@ def _overall(spark, d):
     )
 
 
+def _as_text(bests, value):
+    return F.array_join(
+        F.transform(
+            F.map_entries(bests), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))
+        ),
+        ";",
+    )
+
+
+def _overall_courses(spark, d):
+    """Results with the bests of whatever courses there are, as shown."""
+    course = star.course(spark, d)
+    whole = results.stage_results(
+        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), course
+    )
+    return results.course_labels(whole, course).withColumn(
+        "bests", _as_text("bests", lambda v: v)
+    )
+
+
+def _search_courses(spark, d):
+    return search.driver_search(
+        star.driver(spark, d), star.car(spark, d), star.attempts(spark, d), star.course(spark, d),
+        None, "00012 00034",
+    ).withColumn("bests", _as_text("bests", lambda v: v.cast("string")))
+
+
+def _blocked_cars(spark, d):
+    """Cars that stay because chains of caregivers lead to them from every hundredth car."""
+    drivers = star.chained(spark, d)
+    cars = drivers.select("car").distinct()
+    return cascade.blocked_keys(drivers, "car", cars.filter("car % 100 <> 0"))
+
+
 def _chart(spark, d):
     return results.chart_series(results.top_n(_results(spark, d))).select(
         F.array_join("name_list", ",").alias("name_list"),
@@ -255,7 +290,31 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "runs_by_course": lambda s, d: listings.runs_to_edit(
             star.run(s, d), star.driver(s, d), star.course(s, d), crs_id=COURSE_ID
         ),
+        # Listings with places
+        "list_drivers_numbered": lambda s, d: listings.list_drivers(
+            star.driver(s, d), star.car(s, d), numbered=True
+        ),
+        "list_drivers_collated": lambda s, d: listings.list_drivers(
+            star.accented(s, d), star.car(s, d), NAME_COLLATION, numbered=True
+        ),
+        "junior_list_numbered": lambda s, d: listings.junior_list(
+            star.driver(s, d), numbered=True
+        ),
+        "junior_list_collated": lambda s, d: listings.junior_list(
+            star.accented(s, d), collation=NAME_COLLATION, numbered=True
+        ),
+        "run_details_numbered": lambda s, d: listings.run_details(
+            star.driver(s, d), star.run(s, d), star.course(s, d), star.car(s, d), DRIVER_ID,
+            numbered=True,
+        ),
+        "runs_by_driver_numbered": lambda s, d: listings.runs_to_edit(
+            star.run(s, d), star.driver(s, d), star.course(s, d), dr_id=DRIVER_ID, numbered=True
+        ),
+        "runs_by_course_numbered": lambda s, d: listings.runs_to_edit(
+            star.run(s, d), star.driver(s, d), star.course(s, d), crs_id=COURSE_ID, numbered=True
+        ),
         # Results
+        "overall_courses": _overall_courses,
         "overall_results": _overall,
         "overall_labels": lambda s, d: results.result_labels(_results(s, d), STAGES),
         "overall_positions": lambda s, d: results.positions(
@@ -296,6 +355,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "name_match": lambda s, d: star.driver(s, d)
         .filter(search.name_matches("99"))
         .select("driver_id", "first_name", "surname"),
+        "name_match_collated": lambda s, d: star.accented(s, d)
+        .filter(search.name_matches("JOSÉ oscar0000", NAME_COLLATION))
+        .select("driver_id", "first_name", "surname"),
+        "driver_search_courses": _search_courses,
         "search_terms": lambda s, d: search.search_terms(star.driver(s, d), star.name_terms(s, d)),
         "validate_search": lambda s, d: search.validate_search(star.terms(s, d)),
         # Edits
@@ -368,6 +431,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.run(s, d), {"cones": 0, **schemas.DEFAULTS["run"]}
         ),
         "delete_cars": _deleted,
+        "blocked_cars": _blocked_cars,
         "delete_drivers": _deleted_drivers,
         "delete_courses": _deleted_courses,
         "rekey_refused": _refused_mapping,

@@ -3,11 +3,13 @@ from heatsheet.functions.columns import (
     CAREGIVER_AGES,
     CONE_PENALTY,
     JUNIOR_AGES,
+    NAME_COLLATION,
     NOT_QUALIFIED,
     NO_STAGE_RESULT,
     WD_PENALTY,
     attempt_total,
     birth_date,
+    collated,
     completed_years,
     edited,
     full_name,
@@ -26,11 +28,13 @@ __all__ = [
     "CAREGIVER_AGES",
     "CONE_PENALTY",
     "JUNIOR_AGES",
+    "NAME_COLLATION",
     "NOT_QUALIFIED",
     "NO_STAGE_RESULT",
     "WD_PENALTY",
     "attempt_total",
     "birth_date",
+    "collated",
     "completed_years",
     "edited",
     "full_name",

@@ -25,6 +25,15 @@ BIRTH_DATE_FORMS = [
 ]
 
 
+# Order and match of names that pay no heed to case or accents.
+NAME_COLLATION = "UNICODE_CI_AI"
+
+
+def collated(value: Column, collation: str | None) -> Column:
+    """Text that sorts and matches by ``collation``; by its code points if there is none."""
+    return F.collate(value, collation) if collation else value
+
+
 def attempt_total(cone_penalty: float = CONE_PENALTY, wd_penalty: float = WD_PENALTY) -> Column:
     """Time plus penalties of one attempt; NULL when there is no time."""
     return (

@@ -15,6 +15,9 @@ FOLLOWERS = {
 }
 KEYS = {"car": "car_num", "driver": "driver_id", "course": "course_id"}
 
+#: Longer jumps are made only while they are at most this many times the links of the first step.
+GROWTH = 4
+
 
 def _key_set(keys: DataFrame) -> DataFrame:
     return keys.select(F.col(keys.columns[0]).alias("key")).distinct()
@@ -24,14 +27,44 @@ def _without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return rows.join(gone, F.col(column) == F.col("key"), "left_anti")
 
 
-def blocked_keys(driver: DataFrame, root: str, keys: DataFrame) -> DataFrame:
+def _lengthened(jumps: DataFrame, reached: DataFrame, most: int | None) -> DataFrame:
+    """Jumps of twice the length that do not end in ``reached``, or the same jumps if the longer
+    ones would be more than ``most``. They are counted before they are made, by their middles."""
+    ends = jumps.join(reached, F.col("guardian_root") == F.col("key"), "left_anti").select(
+        F.col("ward_root").alias("middle"), F.col("guardian_root").alias("end")
+    )
+    if most is not None:
+        arriving = jumps.groupBy(F.col("guardian_root").alias("middle")).agg(
+            F.count("*").alias("arriving")
+        )
+        leaving = ends.groupBy("middle").agg(F.count("*").alias("leaving"))
+        pairs = arriving.join(leaving, "middle").agg(F.sum(F.col("arriving") * F.col("leaving")))
+        if (pairs.first()[0] or 0) > most:
+            return jumps
+    return (
+        jumps.join(ends, F.col("guardian_root") == F.col("middle"))
+        .filter(F.col("ward_root") != F.col("end"))
+        .select("ward_root", F.col("end").alias("guardian_root"))
+        .distinct()
+    )
+
+
+def blocked_keys(
+    driver: DataFrame, root: str, keys: DataFrame, growth: int = GROWTH
+) -> DataFrame:
     """Keys that cannot be deleted because a driver under them looks after a survivor.
 
     ``root`` is the driver column that holds the deleted key: ``driver_id`` when drivers
     are deleted, ``car`` when cars are. A blocked key keeps its drivers, whose own
-    caregivers are then blocked too, until nothing changes. A driver has one caregiver, so for
-    drivers every round doubles the length of the jumps from ward to caregiver and the rounds
-    follow the logarithm of the depth. A car has many drivers: there each round takes one step.
+    caregivers are then blocked too, until nothing changes.
+
+    Every round doubles the length of the jumps from ward to caregiver, so the rounds follow the
+    logarithm of the depth. After a round all keys nearer than some distance are known, and this
+    is at least the length of the next jumps: jumps of exactly that length then reach whatever
+    comes next, and those that end in a key known before are of no use. A driver has one caregiver, so
+    jumps between drivers never become more. Cars have many on both sides: where longer jumps
+    would be more than ``growth`` times the links, the round keeps its length, and the rounds
+    that follow take equal steps until doubling is cheap again.
     """
     wanted = _key_set(keys)
     wards = driver.filter(F.col("caregiver").isNotNull()).select(
@@ -49,25 +82,18 @@ def blocked_keys(driver: DataFrame, root: str, keys: DataFrame) -> DataFrame:
     stays = links.join(wanted, F.col("ward_root") == F.col("key"), "left_anti")
     blocked = stable(stays.select(F.col("guardian_root").alias("key")).distinct())
     jumps = links.join(wanted, F.col("ward_root") == F.col("key"), "left_semi")
+    most = None if root == "driver_id" else growth * links.count()
     while True:
+        onward = jumps.join(blocked, F.col("guardian_root") == F.col("key"), "left_anti")
         more = stable(
-            jumps.join(blocked, F.col("ward_root") == F.col("key"), "left_semi")
+            onward.join(blocked, F.col("ward_root") == F.col("key"), "left_semi")
             .select(F.col("guardian_root").alias("key"))
             .distinct()
-            .join(blocked, "key", "left_anti")
         )
         if more.isEmpty():
             return blocked
+        jumps = stable(_lengthened(onward, more, most))
         blocked = stable(blocked.unionByName(more))
-        if root == "driver_id":
-            onward = jumps.select(
-                F.col("ward_root").alias("middle"), F.col("guardian_root").alias("end")
-            )
-            jumps = stable(
-                jumps.join(onward, F.col("guardian_root") == F.col("middle")).select(
-                    "ward_root", F.col("end").alias("guardian_root")
-                )
-            )
 
 
 def delete_cascade(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatsheet.functions import (
     JUNIOR_AGES,
     attempt_total,
+    collated,
     full_name,
     id_label,
     image_path,
@@ -15,7 +16,7 @@ from heatsheet.functions import (
     text_or,
     wd_label,
 )
-from heatsheet.operators import lookup_join
+from heatsheet.operators import lookup_join, number_rows
 
 
 def list_courses(course: DataFrame) -> DataFrame:
@@ -38,13 +39,36 @@ def with_caregiver_name(driver: DataFrame, everyone: DataFrame) -> DataFrame:
     )
 
 
-def list_drivers(driver: DataFrame, car: DataFrame) -> DataFrame:
-    """All drivers with car and caregiver, by surname and first name."""
+def _names(collation: str | None, *columns: str) -> list[Column]:
+    return [collated(F.col(c), collation) for c in columns]
+
+
+def _in_order(rows: DataFrame, order: list[Column], numbered: bool) -> DataFrame:
+    """Rows in an order that ends in a unique column, or with their place in it as ``pos``.
+
+    A sorted table loses its order when it is stored or joined; the place stays. Numbering
+    checkpoints the rows, so it runs a job when the listing is made.
+    """
+    return number_rows(rows, order, "pos") if numbered else rows.orderBy(*order)
+
+
+def _pos(numbered: bool) -> list[str]:
+    return ["pos"] if numbered else []
+
+
+def list_drivers(
+    driver: DataFrame, car: DataFrame, collation: str | None = None, numbered: bool = False
+) -> DataFrame:
+    """All drivers with car and caregiver, by surname and first name.
+
+    Names sort by code points, or as ``collation`` has it; ``numbered`` adds ``pos``.
+    """
     equipped = driver.join(car, F.col("car") == F.col("car_num"))
+    order = [*_names(collation, "surname", "first_name"), F.col("driver_id")]
     return (
-        with_caregiver_name(equipped, driver)
-        .orderBy("surname", "first_name", "driver_id")
+        _in_order(with_caregiver_name(equipped, driver), order, numbered)
         .select(
+            *_pos(numbered),
             "driver_id",
             full_name().alias("driver_name"),
             "date_of_birth",
@@ -99,13 +123,23 @@ def edit_picklists(driver: DataFrame, course: DataFrame) -> DataFrame:
     return drivers.unionByName(courses)
 
 
-def junior_list(driver: DataFrame, ages: tuple[int, int] = JUNIOR_AGES) -> DataFrame:
-    """Drivers of junior age with their caregiver, oldest first."""
+def junior_list(
+    driver: DataFrame,
+    ages: tuple[int, int] = JUNIOR_AGES,
+    collation: str | None = None,
+    numbered: bool = False,
+) -> DataFrame:
+    """Drivers of junior age with their caregiver, oldest first, then by surname."""
     juniors = driver.filter(F.col("age").between(*ages))
-    return (
-        with_caregiver_name(juniors, driver)
-        .orderBy(F.desc("age"), "surname", "driver_id")
-        .select("driver_id", "first_name", "surname", "date_of_birth", "age", "caregiver_name")
+    order = [F.desc("age"), *_names(collation, "surname"), F.col("driver_id")]
+    return _in_order(with_caregiver_name(juniors, driver), order, numbered).select(
+        *_pos(numbered),
+        "driver_id",
+        "first_name",
+        "surname",
+        "date_of_birth",
+        "age",
+        "caregiver_name",
     )
 
 
@@ -122,7 +156,12 @@ def _profile(driver: DataFrame, car: DataFrame, driver_id: int) -> DataFrame:
 
 
 def run_details(
-    driver: DataFrame, run: DataFrame, course: DataFrame, car: DataFrame, driver_id: int
+    driver: DataFrame,
+    run: DataFrame,
+    course: DataFrame,
+    car: DataFrame,
+    driver_id: int,
+    numbered: bool = False,
 ) -> DataFrame:
     """Runs of one driver with course, car and run total, by course and run number.
 
@@ -130,26 +169,26 @@ def run_details(
     runs are not regrouped: they stay where the scan puts them until the final sort.
     """
     courses = course.select("course_id", F.col("name").alias("course_name"))
-    return (
+    rows = (
         run.filter(F.col("dr_id") == driver_id)
         .join(
             F.broadcast(_profile(driver, car, driver_id)), F.col("dr_id") == F.col("driver_id")
         )
         .join(courses, F.col("crs_id") == F.col("course_id"))
-        .orderBy("course_id", "run_num")
-        .select(
-            "driver_id",
-            "first_name",
-            "surname",
-            "model",
-            "drive_class",
-            "course_name",
-            "run_num",
-            "seconds",
-            "cones",
-            "wd",
-            F.round(attempt_total(), 2).alias("run_total"),
-        )
+    )
+    return _in_order(rows, [F.col("course_id"), F.col("run_num")], numbered).select(
+        *_pos(numbered),
+        "driver_id",
+        "first_name",
+        "surname",
+        "model",
+        "drive_class",
+        "course_name",
+        "run_num",
+        "seconds",
+        "cones",
+        "wd",
+        F.round(attempt_total(), 2).alias("run_total"),
     )
 
 
@@ -162,32 +201,33 @@ def run_header(driver: DataFrame, run: DataFrame, car: DataFrame, driver_id: int
 
 
 def runs_by_driver(
-    run: DataFrame, driver: DataFrame, course: DataFrame, dr_id: int
+    run: DataFrame, driver: DataFrame, course: DataFrame, dr_id: int, numbered: bool = False
 ) -> DataFrame:
     """Runs of one driver for editing, by course and run number."""
     courses = course.select("course_id", F.col("name").alias("course_name"))
     names = _one_driver(driver, dr_id).select("driver_id", "first_name", "surname")
-    return (
+    rows = (
         run.filter(F.col("dr_id") == dr_id)
         .join(F.broadcast(names), F.col("dr_id") == F.col("driver_id"))
         .join(courses, F.col("crs_id") == F.col("course_id"))
-        .orderBy("dr_id", "first_name", "surname", "course_id", "run_num")
-        .select(
-            "dr_id",
-            "first_name",
-            "surname",
-            "course_id",
-            "course_name",
-            F.col("run_num").alias("run_number"),
-            F.col("seconds").alias("time"),
-            "cones",
-            wd_label(F.col("wd")).alias("wd"),
-        )
+    )
+    order = [F.col(c) for c in ("dr_id", "first_name", "surname", "course_id", "run_num")]
+    return _in_order(rows, order, numbered).select(
+        *_pos(numbered),
+        "dr_id",
+        "first_name",
+        "surname",
+        "course_id",
+        "course_name",
+        F.col("run_num").alias("run_number"),
+        F.col("seconds").alias("time"),
+        "cones",
+        wd_label(F.col("wd")).alias("wd"),
     )
 
 
 def runs_by_course(
-    run: DataFrame, driver: DataFrame, course: DataFrame, crs_id: str
+    run: DataFrame, driver: DataFrame, course: DataFrame, crs_id: str, numbered: bool = False
 ) -> DataFrame:
     """Runs on one course for editing, by run number and driver."""
     # course_id is the primary key: at most one row, safe to broadcast.
@@ -197,22 +237,23 @@ def runs_by_course(
         )
     )
     names = driver.select("driver_id", "first_name", "surname")
-    return (
+    rows = (
         run.filter(F.col("crs_id") == crs_id)
         .join(names, F.col("dr_id") == F.col("driver_id"))
         .join(chosen, F.col("crs_id") == F.col("course_id"))
-        .orderBy("course_id", "run_num", "dr_id")
-        .select(
-            "course_id",
-            "course_name",
-            F.col("run_num").alias("run_number"),
-            "dr_id",
-            "first_name",
-            "surname",
-            F.col("seconds").alias("time"),
-            "cones",
-            wd_label(F.col("wd")).alias("wd"),
-        )
+    )
+    order = [F.col(c) for c in ("course_id", "run_num", "dr_id")]
+    return _in_order(rows, order, numbered).select(
+        *_pos(numbered),
+        "course_id",
+        "course_name",
+        F.col("run_num").alias("run_number"),
+        "dr_id",
+        "first_name",
+        "surname",
+        F.col("seconds").alias("time"),
+        "cones",
+        wd_label(F.col("wd")).alias("wd"),
     )
 
 
@@ -222,10 +263,11 @@ def runs_to_edit(
     course: DataFrame,
     dr_id: int | None = None,
     crs_id: str | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """Runs of a driver, else of a course, else the choices; the driver wins over the course."""
     if dr_id is not None:
-        return runs_by_driver(run, driver, course, dr_id)
+        return runs_by_driver(run, driver, course, dr_id, numbered)
     if crs_id is not None:
-        return runs_by_course(run, driver, course, crs_id)
+        return runs_by_course(run, driver, course, crs_id, numbered)
     return edit_picklists(driver, course)

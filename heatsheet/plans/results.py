@@ -19,13 +19,16 @@ from heatsheet.operators import number_rows
 MEDALS = ("🏆", "🎁")
 LEADERS = 5
 
+#: Column that maps course ids to best totals where no stages are named.
+BESTS = "bests"
+
 
 def stage_column(stage: str) -> str:
     return f"course_{stage}"
 
 
-def stage_columns(stages: list[str]) -> list[str]:
-    return [stage_column(s) for s in stages]
+def stage_columns(stages: list[str] | None) -> list[str]:
+    return [BESTS] if stages is None else [stage_column(s) for s in stages]
 
 
 def run_totals(run: DataFrame) -> DataFrame:
@@ -54,9 +57,10 @@ def stage_bests(run: DataFrame, stages: list[str]) -> DataFrame:
     )
 
 
-def driver_scores(run: DataFrame, stages: list[str]) -> DataFrame:
+def driver_scores(run: DataFrame, stages: list[str] | None) -> DataFrame:
     """Per driver with a timed run: the sum of the best totals of all courses, the number of
-    courses with one, and the best totals of the named stages.
+    courses with one, and the best totals of the named stages, or of all courses as a map
+    from course id to total where ``stages`` is None. A map has an entry a course at most.
 
     Courses stay rows until the sum, so any number of them counts. ``run.crs_id`` refers to
     ``course``; ``audit_foreign_keys`` reports where it does not.
@@ -67,20 +71,29 @@ def driver_scores(run: DataFrame, stages: list[str]) -> DataFrame:
         .groupBy("dr_id", "crs_id")
         .agg(F.min("total").alias("best"))
     )
+    if stages is None:
+        entries = F.array_sort(F.collect_list(F.struct("crs_id", "best")))
+        wide = [F.map_from_entries(entries).alias(BESTS)]
+    else:
+        wide = [
+            F.min(F.when(F.col("crs_id") == s, F.col("best"))).alias(stage_column(s)) for s in stages
+        ]
     return bests.groupBy("dr_id").agg(
-        F.sum("best").alias("total"),
-        F.count("*").alias("raced"),
-        *[F.min(F.when(F.col("crs_id") == s, F.col("best"))).alias(stage_column(s)) for s in stages],
+        F.sum("best").alias("total"), F.count("*").alias("raced"), *wide
     )
 
 
-def scored(course: DataFrame, stages: list[str]) -> list[Column]:
+def scored(course: DataFrame, stages: list[str] | None) -> list[Column]:
     """Rounded bests of the named stages, the overall sum (NULL when any course has no
     result) and a flag. Which stages are named changes neither."""
     courses = course.agg(F.count("course_id")).scalar()
     qualified = F.coalesce(F.col("raced") == courses, F.lit(False))
+    if stages is None:
+        wide = [F.transform_values(BESTS, lambda _, best: F.round(best, 2)).alias(BESTS)]
+    else:
+        wide = [F.round(F.col(n), 2).alias(n) for n in stage_columns(stages)]
     return [
-        *[F.round(F.col(n), 2).alias(n) for n in stage_columns(stages)],
+        *wide,
         F.when(qualified, F.round("total", 2)).alias("overall"),
         qualified.alias("qualified"),
     ]
@@ -92,7 +105,11 @@ def overall_sums(run: DataFrame, course: DataFrame) -> DataFrame:
 
 
 def stage_results(
-    driver: DataFrame, car: DataFrame, run: DataFrame, course: DataFrame, stages: list[str]
+    driver: DataFrame,
+    car: DataFrame,
+    run: DataFrame,
+    course: DataFrame,
+    stages: list[str] | None = None,
 ) -> DataFrame:
     """One row per driver, with the bests of the named stages, overall and car model; unordered.
 
@@ -120,7 +137,11 @@ def leader_medals(results: DataFrame) -> DataFrame:
 
 
 def overall_results(
-    driver: DataFrame, car: DataFrame, run: DataFrame, course: DataFrame, stages: list[str]
+    driver: DataFrame,
+    car: DataFrame,
+    run: DataFrame,
+    course: DataFrame,
+    stages: list[str] | None = None,
 ) -> DataFrame:
     """Results page: tagged name, stage bests, overall and medal, in ranking order."""
     results = stage_results(driver, car, run, course, stages)
@@ -150,6 +171,27 @@ def result_labels(results: DataFrame, stages: list[str]) -> DataFrame:
     )
 
 
+def course_labels(results: DataFrame, course: DataFrame) -> DataFrame:
+    """Results that have a map of bests, as shown to readers: the map names every course
+    there is, in order of their ids, whether the driver has a result on it or not."""
+    ids = course.agg(F.array_sort(F.collect_set("course_id"))).scalar()
+
+    def label(course_id: Column) -> Column:
+        return text_or(F.try_element_at(F.col(BESTS), course_id), NO_STAGE_RESULT)
+
+    # A lambda may read a column that holds the ids, but not the subquery itself.
+    return (
+        results.withColumn("_ids", ids)
+        .withColumns(
+            {
+                BESTS: F.map_from_arrays("_ids", F.transform("_ids", label)),
+                "overall": text_or(F.col("overall"), NOT_QUALIFIED),
+            }
+        )
+        .drop("_ids")
+    )
+
+
 def positions(results: DataFrame, partitions: int | None = None) -> DataFrame:
     """Results with the position of every driver, at any number of drivers."""
     return number_rows(results, ranking(), "position", partitions)

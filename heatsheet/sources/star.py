@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heatsheet.operators import number_within
 
@@ -34,6 +35,36 @@ def driver(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def accented(spark: SparkSession, folder: str) -> DataFrame:
+    """Drivers whose names differ from each other by case and accents."""
+    return driver(spark, folder).withColumns(
+        {
+            "first_name": F.expr(
+                """case driver_id % 6 when 0 then 'José' when 1 then 'JOSE' when 2 then 'jösé'
+                   when 3 then 'Åsa' when 4 then 'asa' else 'Zoë' end"""
+            ),
+            "surname": F.expr(
+                """concat(case driver_id % 5 when 0 then 'Zed' when 1 then 'de Boer'
+                   when 2 then 'ÉMILE' when 3 then 'emile' else 'Óscar' end,
+                   substr(surname, case when driver_id % 4 = 0 then 5 else 9 end))"""
+            ),
+        }
+    )
+
+
+def chained(spark: SparkSession, folder: str) -> DataFrame:
+    """Drivers with three to a car, in long chains of caregivers that fork and return."""
+    return driver(spark, folder).withColumns(
+        {
+            "caregiver": F.expr(
+                """case when driver_id % 128 = 0 then null when driver_id % 11 = 0 then driver_id - 4
+                   when driver_id % 5 = 0 then driver_id + 7 else driver_id + 1 end"""
+            ),
+            "car": F.expr("driver_id div 3"),
+        }
+    )
+
+
 def car(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "nation").selectExpr(
         "n_nationkey as car_num",

@@ -187,6 +187,33 @@ registered as (
          *
   from stored where outcome in ('insert_adult', 'insert_junior', 'insert_with_caregiver'))"""
 
+ACCENTED = """accented as (
+  select driver_id,
+         case driver_id % 6 when 0 then 'José' when 1 then 'JOSE' when 2 then 'jösé'
+              when 3 then 'Åsa' when 4 then 'asa' else 'Zoë' end as first_name,
+         case driver_id % 5 when 0 then 'Zed' when 1 then 'de Boer' when 2 then 'ÉMILE'
+              when 3 then 'emile' else 'Óscar' end
+           || substr(surname, case when driver_id % 4 = 0 then 5 else 9 end) as surname,
+         date_of_birth, age, caregiver, car
+  from driver),
+plain as (
+  select *, lower(strip_accents(first_name)) as plain_first, lower(strip_accents(surname)) as plain_last
+  from accented)"""
+
+CHAINED = """chained as (
+  select driver_id, driver_id // 3 as car,
+         case when driver_id % 128 = 0 then null when driver_id % 11 = 0 then driver_id - 4
+              when driver_id % 5 = 0 then driver_id + 7 else driver_id + 1 end as caregiver
+  from driver),
+links as (
+  select distinct w.car as ward, g.car as guardian
+  from chained w join chained g on w.caregiver = g.driver_id
+  where w.car <> g.car and g.car % 100 <> 0),
+blocked as (
+  select guardian as key from links where ward % 100 = 0
+  union
+  select l.guardian from links l join blocked b on l.ward = b.key)"""
+
 BASE = [CAR, DRIVER, COURSE, RUN]
 
 
@@ -248,6 +275,28 @@ where p.first_name ilike '%{first}%' or p.surname ilike '%{first}%'
    or p.first_name ilike '%{last}%' or p.surname ilike '%{last}%'"""
 
 
+def _numbered(query: str, order: str, *extra: str) -> str:
+    return _text(f"select row_number() over (order by {order}) as pos, * from ({query})", *extra)
+
+
+def _drivers(source: str, order: str) -> str:
+    return f"""
+select row_number() over (order by {order}) as pos,
+       d.driver_id, d.first_name || ' ' || d.surname as driver_name, d.date_of_birth, d.age,
+       g.first_name || ' ' || g.surname as caregiver_name, c.model, c.drive_class,
+       coalesce(d.age <= 25, false) as junior
+from {source} d join car c on d.car = c.car_num left join {source} g on d.caregiver = g.driver_id"""
+
+
+def _juniors(source: str, order: str) -> str:
+    return f"""
+select row_number() over (order by d.age desc, {order}, d.driver_id) as pos,
+       d.driver_id, d.first_name, d.surname, d.date_of_birth, d.age,
+       g.first_name || ' ' || g.surname as caregiver_name
+from {source} d left join {source} g on d.caregiver = g.driver_id
+where d.age >= 12 and d.age <= 25"""
+
+
 TEXTS = {
     "list_courses": _text(
         "select course_id, name, image, 'static/' || image as image_path from course"
@@ -735,3 +784,52 @@ select d.driver_id, c.model, d.car + 100 as car from driver d join car c on c.ca
 # What is read back from stored tables equals the plain job.
 TEXTS["stored_edits"] = TEXTS["apply_run_edits"]
 TEXTS["stored_receipts"] = TEXTS["registration_receipts"]
+TEXTS |= {
+    "list_drivers_numbered": _text(_drivers("driver", "d.surname, d.first_name, d.driver_id")),
+    "list_drivers_collated": _text(
+        _drivers("plain", "d.plain_last, d.plain_first, d.driver_id"), ACCENTED
+    ),
+    "junior_list_numbered": _text(_juniors("driver", "d.surname")),
+    "junior_list_collated": _text(_juniors("plain", "d.plain_last"), ACCENTED),
+    "run_details_numbered": _text(
+        f"""
+select row_number() over (order by course_id, run_num) as pos, r.*
+from ({RUN_DETAILS}) r join course s on s.name = r.course_name""",
+        SCORED,
+    ),
+    "runs_by_driver_numbered": _numbered(
+        RUNS_FOR_EDIT.format(choice="r.dr_id = 7"), "course_id, run_number"
+    ),
+    "runs_by_course_numbered": _numbered(
+        RUNS_FOR_EDIT.format(choice="r.crs_id = '2'"), "run_number, dr_id"
+    ),
+    "overall_courses": _text(
+        """
+select s.driver_id, s.first_name, s.surname, s.age, s.model,
+       string_agg(c.course_id || '=' || coalesce(cast(round(b.best, 2) as varchar), 'dnf'), ';'
+                  order by c.course_id) as bests,
+       coalesce(cast(s.overall as varchar), 'NQ') as overall, s.overall is not null as qualified
+from scored s cross join course c
+left join best b on b.dr_id = s.driver_id and b.crs_id = c.course_id
+group by s.driver_id, s.first_name, s.surname, s.age, s.model, s.overall""",
+        SCORED,
+    ),
+    "driver_search_courses": _text(
+        f"""
+select f.driver_id, f.first_name, f.surname, f.date_of_birth, f.age, f.caregiver_name, f.car_num,
+       f.model, f.drive_class, f.overall, f.qualified, b.bests
+from ({_search("00012", "00034")}) f
+left join (select dr_id, string_agg(crs_id || '=' || cast(round(best, 2) as varchar), ';'
+                                    order by crs_id) as bests
+           from best where best is not null group by dr_id) b on b.dr_id = f.driver_id""",
+        SCORED,
+    ),
+    "name_match_collated": _text(
+        """
+select driver_id, first_name, surname from plain
+where contains(plain_first, 'jose') or contains(plain_last, 'jose')
+   or contains(plain_first, 'oscar0000') or contains(plain_last, 'oscar0000')""",
+        ACCENTED,
+    ),
+    "blocked_cars": _text("select key from blocked", CHAINED, recursive=True),
+}

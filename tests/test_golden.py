@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatsheet import schemas
+from heatsheet.functions import NAME_COLLATION
 from heatsheet.plans import cascade, edits, listings, quality, registration, results, search
 
 STAGES = list("ABCDEF")
@@ -339,3 +340,81 @@ def test_search_terms(spark):
     terms = spark.createDataFrame(rows, schemas.TERMS)
     valid = {r.term_id: r.valid for r in search.validate_search(terms).collect()}
     assert valid == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
+
+
+def _entrants(spark):
+    names = [(1, "José", "Zed"), (2, "JOSE", "de Boer"), (3, "Zoë", "Émile"), (4, "Ann", "Eck"), (5, "Ann", "émile")]
+    return spark.createDataFrame(
+        [(i, f, s, None, 15, None, 1) for i, f, s in names], schemas.DRIVER
+    )
+
+
+def test_names_sort_and_match_by_collation(spark):
+    driver = _entrants(spark)
+    car = spark.createDataFrame([(1, "Swift", "FWD")], schemas.CAR)
+    plain = [r.driver_id for r in listings.list_drivers(driver, car).collect()]
+    assert plain == [4, 1, 2, 3, 5]
+    rows = listings.list_drivers(driver, car, NAME_COLLATION).collect()
+    assert [r.driver_id for r in rows] == [2, 4, 5, 3, 1]
+    placed = listings.list_drivers(driver, car, NAME_COLLATION, numbered=True).collect()
+    assert sorted((r.pos, r.driver_id) for r in placed) == [(1, 2), (2, 4), (3, 5), (4, 3), (5, 1)]
+    juniors = listings.junior_list(driver, collation=NAME_COLLATION, numbered=True).collect()
+    assert sorted((r.pos, r.driver_id) for r in juniors) == [(1, 2), (2, 4), (3, 3), (4, 5), (5, 1)]
+
+    def found(term, collation):
+        return sorted(
+            r.driver_id for r in driver.filter(search.name_matches(term, collation)).collect()
+        )
+
+    assert found("jose", None) == [2] and found("jose", NAME_COLLATION) == [1, 2]
+    assert found("zoe EMILE", NAME_COLLATION) == [3, 5]
+    assert listings.list_drivers(driver.limit(0), car, NAME_COLLATION, numbered=True).count() == 0
+
+
+def test_search_by_collation_scores_those_it_finds(spark, seed):
+    driver = seed["driver"].withColumn("surname", F.translate("surname", "ao", "áÓ"))
+    found = search.driver_search(
+        driver, seed["car"], seed["run"], seed["course"], STAGES, "WATSON", NAME_COLLATION
+    ).collect()
+    assert [(r.driver_id, r.surname, r.overall) for r in found] == [(124, "WátsÓn", 258.40)]
+
+
+def test_numbered_listings_agree_with_sorted_ones(spark, seed):
+    t = seed
+    pairs = [
+        (listings.list_drivers(t["driver"], t["car"], numbered=n) for n in (False, True)),
+        (listings.junior_list(t["driver"], numbered=n) for n in (False, True)),
+        (listings.run_details(t["driver"], t["run"], t["course"], t["car"], 124, n) for n in (False, True)),
+        (listings.runs_by_driver(t["run"], t["driver"], t["course"], 124, n) for n in (False, True)),
+        (listings.runs_by_course(t["run"], t["driver"], t["course"], "B", n) for n in (False, True)),
+    ]
+    for ordered, placed in pairs:
+        rows = sorted(placed.collect(), key=lambda r: r.pos)
+        assert [r.pos for r in rows] == list(range(1, len(rows) + 1)) and rows
+        assert [tuple(r)[1:] for r in rows] == [tuple(r) for r in ordered.collect()]
+
+
+def test_every_course_is_shown_without_being_named(spark, seed):
+    more = seed["course"].unionByName(
+        spark.createDataFrame([("G", "Seventh", None)], seed["course"].schema)
+    )
+    once = seed["run"].filter("crs_id = 'A' and dr_id <> 124").withColumn("crs_id", F.lit("G"))
+    run = seed["run"].unionByName(once)
+    whole = results.overall_results(seed["driver"], seed["car"], run, more)
+    rows = {r.driver_id: r for r in whole.collect()}
+    named = {r.driver_id: r for r in _scored(seed).collect()}
+    for i, row in rows.items():
+        expected = {c: named[i][f"course_{c}"] for c in STAGES if named[i][f"course_{c}"] is not None}
+        if i != 124 and "A" in expected:
+            expected["G"] = expected["A"]
+        assert row.bests == expected
+    assert not rows[124].qualified and rows[135].medal == "🏆"
+    shown = {r.driver_id: r for r in results.course_labels(whole, more).collect()}
+    assert shown[124].bests["G"] == "dnf" and shown[124].overall == "NQ"
+    assert list(shown[135].bests) == [*STAGES, "G"]
+    unraced = results.stage_results(seed["driver"], seed["car"], run.limit(0), more)
+    assert {tuple(r.bests.values()) for r in results.course_labels(unraced, more).collect()} == {
+        ("dnf",) * 7
+    }
+    found = search.driver_search(seed["driver"], seed["car"], run, more, None, "watson").collect()
+    assert [r.bests for r in found] == [rows[124].bests]

@@ -1,5 +1,6 @@
 """Operators against brute force, and on tables where one key holds a third of the rows."""
 
+import random
 import re
 
 import pytest
@@ -205,6 +206,48 @@ def test_a_long_chain_of_caregivers_takes_few_rounds(spark, monkeypatch):
     assert len(written) <= 2 + 3 * 8
 
 
+def test_a_long_chain_of_cars_takes_few_rounds(spark, monkeypatch):
+    chain = spark.range(1, 66).selectExpr(
+        "id as driver_id", "case when id > 1 then id - 1 end as caregiver", "id as car"
+    )
+    rounds = []
+    lengthened = cascade._lengthened
+
+    def counted(*args):
+        rounds.append(args)
+        return lengthened(*args)
+
+    monkeypatch.setattr(cascade, "_lengthened", counted)
+    blocked = cascade.blocked_keys(chain, "car", spark.range(1, 65).toDF("car"))
+    assert sorted(r.key for r in blocked.collect()) == list(range(1, 65))
+    assert len(rounds) <= 8
+
+
+@pytest.mark.parametrize("seed_number", range(3))
+@pytest.mark.parametrize("growth", [0, 1, 4])
+def test_blocked_cars_of_tangled_caregivers(spark, growth, seed_number):
+    # Cars in cycles, forks and chains; a growth of 0 never makes longer jumps.
+    chance = random.Random(seed_number)
+    cars = 40
+    drivers = []
+    for number in range(120):
+        near = chance.randrange(max(0, number - 9), min(120, number + 4))
+        caregiver = near if chance.random() < 0.45 and near != number else None
+        drivers.append((number, caregiver, number // 3))
+    doomed = {c for c in range(cars) if chance.random() < 0.95}
+    car_of = {d: c for d, _, c in drivers}
+    kept = set(range(cars)) - doomed
+    while True:
+        more = {car_of[g] for _, g, c in drivers if g is not None and c in kept} - kept
+        if not more:
+            break
+        kept |= more
+    driver = spark.createDataFrame(drivers, "driver_id int, caregiver int, car int")
+    keys = spark.createDataFrame([(c,) for c in doomed], "car int")
+    blocked = cascade.blocked_keys(driver, "car", keys, growth)
+    assert sorted(r.key for r in blocked.collect()) == sorted(kept & doomed)
+
+
 def test_mappings_that_would_break_keys_are_refused(spark):
     course = spark.createDataFrame([("A", "x"), ("B", "y"), ("C", "z")], "course_id string, name string")
     run = spark.createDataFrame([(1, "A"), (1, "B"), (2, "C")], "dr_id int, crs_id string")

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as registry
+from heatsheet.functions import NAME_COLLATION
 from heatsheet.plans import listings, results, search
 from heatsheet.sources import star
 
@@ -95,3 +96,18 @@ def test_scans_read_only_needed_columns(tables):
     }
     header = _plan(listings.run_header(tables["driver"], tables["run"], tables["car"], 7))
     assert "o_totalprice" not in header
+
+
+def test_collated_listing_keeps_pruning_and_range_partitions(spark, static):
+    drivers, cars = star.accented(spark, SF_DIR), star.car(spark, SF_DIR)
+    plan = _plan(listings.list_drivers(drivers, cars, NAME_COLLATION))
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
+    assert "o_orderkey" not in plan and "n_regionkey" in plan
+    found = _plan(drivers.filter(search.name_matches("jose", NAME_COLLATION)).filter("driver_id < 50"))
+    assert "LessThan(c_custkey,50)" in found and "Python" not in found
+
+
+def test_map_of_courses_needs_no_more_shuffles_than_named_stages(tables, static):
+    args = (tables["driver"], tables["car"], tables["run"], tables["course"])
+    wide = _plan(results.stage_results(*args, STAGES))
+    assert _plan(results.stage_results(*args)).count("Exchange") <= wide.count("Exchange")
