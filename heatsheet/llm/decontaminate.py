@@ -10,7 +10,8 @@ missed: an item of n shingles may lack at most m = n - ceil(0.8 n) of them, so a
 its m + 1 smallest shingle hashes is in every document that holds it. Items are partitioned
 by n into classes of m + 1 minima, a document's sketch is its hashes up to the largest
 minimum of any item, and a minimum is probed only in documents large enough to hold the
-item. Candidates are verified on the shingles themselves.
+item. Candidates are verified on the shingles themselves: a second reading picks out the texts
+that have any, by id and hash of the text, and only those are shuffled.
 
 An item with fewer than five words has them all as one shingle and is found in documents of
 exactly those words. Items or documents without words match nothing. Rows that share a
@@ -28,6 +29,8 @@ WIDTH = 5
 CONTAINED_PERCENT = 80
 #: Minima (of 16 bytes) that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_MINIMA = 500_000
+#: Candidates (an id and a hash each) whose documents may be picked out by a broadcast.
+BROADCAST_CANDIDATES = 500_000
 
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -82,12 +85,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = common.written(items(benchmark), "items")
     minima = known.select("item", "need", F.explode("minima").alias("hash"))
     size, largest = minima.agg(F.count("*"), F.max("hash")).first()
-    plain = common.texts(docs)
+    plain = common.texts(docs).withColumn("text_hash", F.xxhash64("text"))
     sketch = (
-        plain.select("doc_id", words(F.col("text")).alias("w"))
-        .select("doc_id", _hashes("w").alias("hashes"))
+        plain.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+        .select("doc_id", "text_hash", _hashes("w").alias("hashes"))
         .select(
             "doc_id",
+            "text_hash",
             F.size("hashes").alias("n_doc"),
             # The outer form: the filter that Spark infers from a plain explode would be pushed
             # below and take the words apart anew for every shingle. The join drops NULLs.
@@ -95,12 +99,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     )
     probe = F.broadcast(minima) if size <= BROADCAST_MINIMA else minima
-    found = sketch.join(probe, "hash").filter("need <= n_doc").select("doc_id", "item").distinct()
-    candidates = common.written(found, "candidates")
+    found = sketch.join(probe, "hash").filter("need <= n_doc")
+    candidates = common.written(
+        found.select("doc_id", "text_hash", "item").distinct(), "candidates"
+    )
     pairs = candidates.join(known.select("item", "item_id", "n_item", "shingles"), "item")
-    checked = plain.withColumnRenamed("doc_id", "id").join(
-        pairs, F.col("id").eqNullSafe(F.col("doc_id"))
+    # A row meets the candidates of its own text only, so rows that share an id, or have none,
+    # do not meet each other's.
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("id_hash") == F.col("text_hash"))
+    holders = candidates.select("doc_id", "text_hash").distinct()
+    if candidates.count() <= BROADCAST_CANDIDATES:
+        holders = F.broadcast(holders)
+    held = (
+        plain.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("id_hash"), "text")
+        .join(holders, same, "left_semi")
+        .distinct()
     )
+    checked = held.join(pairs, same)
     shared = F.size(F.array_intersect("shingles", _strings("w")))
     return (
         checked.withColumn("w", words(F.col("text")))

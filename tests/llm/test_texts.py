@@ -34,6 +34,7 @@ def _shingles(text):
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_contaminated(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_MINIMA", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_CANDIDATES", broadcast)
     items = _items(spark)
     got = decontaminate.contaminated(frame(spark), items).collect()
     want = set()
@@ -50,6 +51,24 @@ def test_contaminated_empty(spark):
     assert decontaminate.contaminated(frame(spark), _items(spark).limit(0)).collect() == []
 
 
+def test_rows_without_id_meet_their_own_items_only(spark):
+    # Every row holds an item of its own; the whole corpus stands under one id, or none.
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    for shared in (None, 7):
+        docs = spark.createDataFrame([(shared, f"before {t} after") for _, t in rows], "doc_id long, text string")
+        found = decontaminate.contaminated(docs.unionByName(docs), items)
+        got = sorted((r.item_id, r.doc_id, r.n_shared) for r in found.collect())
+        assert got == [(i, shared, 16) for i in range(300)]
+
+
+def test_only_texts_with_candidates_are_shuffled(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    plan = decontaminate.contaminated(frame(spark), _items(spark))._jdf.queryExecution()
+    assert "BroadcastHashJoin" in plan.executedPlan().toString()
+
+
 def test_licenses(spark):
     mit = dict((label, t) for t, label in licenses.NOTICES)["mit"].split()
     rows = awkward() + [
