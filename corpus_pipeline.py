@@ -79,7 +79,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows that hold no benchmark item."""
     rows = _numbered(docs)
     found = decontaminate.contaminated(_as_documents(rows), common.read(spark, sf_dir, "benchmark"))
-    leaky = found.select(F.col("doc_id").alias("row")).distinct()
+    # Written, so that its size is known when the join is planned: a small one is broadcast and
+    # the rows are not shuffled.
+    leaky = common.written(found.select(F.col("doc_id").alias("row")).distinct(), "leaky")
     return rows.join(leaky, "row", "left_anti").select("d.*")
 
 
