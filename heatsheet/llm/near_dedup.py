@@ -40,6 +40,8 @@ WIDTH = 5
 SIMILAR_PERCENT = 85
 MISSED, MOST_MINIMA = 300_000, 384
 BLOCK = 256
+#: Text that is cut into shingles at a time, and text of pairs that are confirmed together.
+SLICE_BYTES = 256 << 10
 #: What a row of a block is: a member of the bucket's largest component, any other member, or
 #: such a member on the side of the strays.
 MAIN, MEMBER, STRAY = 0, 1, 2
@@ -98,7 +100,7 @@ def band_keys(least: np.ndarray, how: Banding) -> np.ndarray:
 
 def _sketch(how: Banding, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids = batch.column("doc_id")
-    for low, high, data, offsets in ragged.slices(batch.column("text")):
+    for low, high, data, offsets in ragged.slices(batch.column("text"), SLICE_BYTES):
         sets = ragged.shingles(data, offsets, WIDTH)
         least = np.stack([minima(s, how.bands * how.rows) for s in sets])
         keys = band_keys(least, how).view(np.int64)
@@ -143,19 +145,30 @@ def _sets(ids: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
     other = pc.not_equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
     first = np.concatenate([[True], (ids[1:] != ids[:-1]) | other])
     sets: list[np.ndarray] = []
-    for _, _, data, offsets in ragged.slices(texts.filter(pa.array(first))):
+    for _, _, data, offsets in ragged.slices(texts.filter(pa.array(first)), SLICE_BYTES):
         sets += ragged.shingles(data, offsets, WIDTH)
     return [sets[i] for i in np.cumsum(first) - 1]
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of pairs whose texts begin in the same ``SLICE_BYTES``: few sets are held at once."""
+    sizes = [pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) for c in ("text_a", "text_b")]
+    ends = np.cumsum(sizes[0] + sizes[1])
+    begins = np.concatenate([[0], ends[:-1]]) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(begins)) + 1), len(ends)]
+    for low, high in itertools.pairwise(cuts):
+        yield batch.slice(low, high - low)
+
+
 def _confirm(percent: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
-    keep = []
-    for x, y in zip(_sets(a, batch.column("text_a")), _sets(b, batch.column("text_b"))):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        keep.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
-    keep = np.array(keep)
-    yield common.batch(a=a[keep], b=b[keep])
+    for block in _portions(batch):
+        a, b = (block.column(c).to_numpy() for c in ("a", "b"))
+        keep = []
+        for x, y in zip(_sets(a, block.column("text_a")), _sets(b, block.column("text_b"))):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
+        keep = np.array(keep)
+        yield common.batch(a=a[keep], b=b[keep])
 
 
 def _beside(frame: DataFrame, table: DataFrame, name: str) -> DataFrame:
