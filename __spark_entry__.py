@@ -121,6 +121,16 @@ def _stored_edits(spark, d):
     return store.read("run").withColumn("dr_id", F.col("dr_id").cast("long"))
 
 
+def _stored_results(spark, d):
+    """Results from kept bests, renewed for what the accepted edits of a batch touched."""
+    t = star.tables(spark, d)
+    store = _store(spark, t, {"driver": 4, "run": 16})
+    transactions.edit_runs(store, edits.accepted_edits(star.edits(spark, d)))
+    return transactions.stored_results(store, STAGES).withColumn(
+        "driver_id", F.col("driver_id").cast("long")
+    )
+
+
 def _stored_receipts(spark, d):
     """Receipts made from what a registration stored."""
     t = star.tables(spark, d)
@@ -402,6 +412,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "stored_receipts": _stored_receipts,
         "stored_edits": _stored_edits,
+        "stored_results": _stored_results,
         "judged_drivers": lambda s, d: constraints.judged(
             star.new_drivers(s, d), "driver", {"driver": star.driver(s, d), "car": star.car(s, d)}
         ).select("driver_id", "first_name", "surname", "caregiver", "car", "reason"),

@@ -79,6 +79,15 @@ def validate_edits(edits: DataFrame) -> DataFrame:
 
     NULL (keep) is always allowed, empty text (clear) for time and cones only.
     """
+    return _judged(edits).filter(F.col("reason") != "")
+
+
+def accepted_edits(edits: DataFrame) -> DataFrame:
+    """Edits the form takes. Their times have two decimals, so no result ends in half a hundredth."""
+    return _judged(edits).filter(F.col("reason") == "").drop("reason")
+
+
+def _judged(edits: DataFrame) -> DataFrame:
     seconds = F.col("time").try_cast("decimal(18,6)")
 
     def not_given(column):
@@ -93,7 +102,7 @@ def validate_edits(edits: DataFrame) -> DataFrame:
         "cones": not_given("cones") | F.col("cones").try_cast("int").between(*CONES_RANGE),
         "wd": F.col("wd").isNull() | F.col("wd").isin(WD_VALUES),
     }
-    return edits.select("*", refused(checks).alias("reason")).filter(F.col("reason") != "")
+    return edits.select("*", refused(checks).alias("reason"))
 
 
 def edit_receipts(edits: DataFrame, driver: DataFrame, course: DataFrame) -> DataFrame:

@@ -39,38 +39,30 @@ def run_totals(run: DataFrame) -> DataFrame:
 
 
 def stage_bests(run: DataFrame, stages: list[str]) -> DataFrame:
-    """Best total per driver, one column per stage; only drivers with a timed run.
+    """Best total per driver, one column per stage; only drivers with a timed run on one."""
+    bests = course_bests(run.filter(F.col("crs_id").isin(stages)))
+    return scores_of(bests, stages).drop("total", "raced")
 
-    One partial and one final aggregation: before the shuffle each task has already
-    reduced a driver, however many runs they hold, to one row.
-    """
+
+def course_bests(run: DataFrame, *by: str) -> DataFrame:
+    """Best total per driver and course, and per ``by`` where given. Tasks reduce their runs
+    before the shuffle, so a driver with many runs is no hot key."""
     return (
-        run.filter(F.col("seconds").isNotNull() & F.col("crs_id").isin(stages))
-        .select("dr_id", "crs_id", attempt_total().alias("total"))
-        .groupBy("dr_id")
-        .agg(
-            *[
-                F.min(F.when(F.col("crs_id") == s, F.col("total"))).alias(stage_column(s))
-                for s in stages
-            ]
-        )
+        run.filter(F.col("seconds").isNotNull())
+        .select(*by, "dr_id", "crs_id", attempt_total().alias("total"))
+        .groupBy(*by, "dr_id", "crs_id")
+        .agg(F.min("total").alias("best"))
     )
 
 
-def driver_scores(run: DataFrame, stages: list[str] | None) -> DataFrame:
-    """Per driver with a timed run: the sum of the best totals of all courses, the number of
+def scores_of(bests: DataFrame, stages: list[str] | None) -> DataFrame:
+    """Per driver of ``bests``: the sum of the best totals of all courses, the number of
     courses with one, and the best totals of the named stages, or of all courses as a map
     from course id to total where ``stages`` is None. A map has an entry a course at most.
 
     Courses stay rows until the sum, so any number of them counts. ``run.crs_id`` refers to
     ``course``; ``audit_foreign_keys`` reports where it does not.
     """
-    bests = (
-        run.filter(F.col("seconds").isNotNull())
-        .select("dr_id", "crs_id", attempt_total().alias("total"))
-        .groupBy("dr_id", "crs_id")
-        .agg(F.min("total").alias("best"))
-    )
     if stages is None:
         entries = F.array_sort(F.collect_list(F.struct("crs_id", "best")))
         wide = [F.map_from_entries(entries).alias(BESTS)]
@@ -83,6 +75,11 @@ def driver_scores(run: DataFrame, stages: list[str] | None) -> DataFrame:
     )
 
 
+def driver_scores(run: DataFrame, stages: list[str] | None) -> DataFrame:
+    """``scores_of`` the bests of all runs."""
+    return scores_of(course_bests(run), stages)
+
+
 def scored(course: DataFrame, stages: list[str] | None) -> list[Column]:
     """Rounded bests of the named stages, the overall sum (NULL when any course has no
     result) and a flag. Which stages are named changes neither."""
@@ -101,7 +98,12 @@ def scored(course: DataFrame, stages: list[str] | None) -> list[Column]:
 
 def overall_sums(run: DataFrame, course: DataFrame) -> DataFrame:
     """Overall result of every driver with a timed run."""
-    return driver_scores(run, []).select("dr_id", *scored(course, [])).drop("qualified")
+    return sums_of(course_bests(run), course)
+
+
+def sums_of(bests: DataFrame, course: DataFrame) -> DataFrame:
+    """Overall result of every driver of ``bests``."""
+    return scores_of(bests, []).select("dr_id", *scored(course, [])).drop("qualified")
 
 
 def stage_results(
@@ -115,8 +117,19 @@ def stage_results(
 
     Runs are aggregated before the join, so the join sees one row per driver.
     """
+    return results_of(course_bests(run), driver, car, course, stages)
+
+
+def results_of(
+    bests: DataFrame,
+    driver: DataFrame,
+    car: DataFrame,
+    course: DataFrame,
+    stages: list[str] | None = None,
+) -> DataFrame:
+    """``stage_results`` from best totals per driver and course."""
     equipped = driver.join(car, F.col("car") == F.col("car_num"))
-    scores = driver_scores(run, stages)
+    scores = scores_of(bests, stages)
     return equipped.join(scores, F.col("driver_id") == F.col("dr_id"), "left").select(
         "driver_id", "first_name", "surname", "age", "model", *scored(course, stages)
     )

@@ -68,8 +68,16 @@ REGISTERED = StructType([
     _field("driver_id", IntegerType, required=True),
 ])
 
+# The best total per driver and course among the runs of one bucket of the stored runs.
+BEST = StructType([
+    _field("run_bucket", IntegerType, required=True),
+    _field("dr_id", IntegerType, required=True),
+    _field("crs_id", StringType, required=True),
+    _field("best", DoubleType, required=True),
+])
+
 TABLES = {"car": CAR, "driver": DRIVER, "course": COURSE, "run": RUN}
-STORED = TABLES | {"registered": REGISTERED}
+STORED = TABLES | {"registered": REGISTERED, "best": BEST}
 
 PRIMARY_KEYS = {
     "car": ["car_num"],
@@ -77,7 +85,12 @@ PRIMARY_KEYS = {
     "course": ["course_id"],
     "run": ["dr_id", "crs_id", "run_num"],
 }
-STORED_KEYS = PRIMARY_KEYS | {"registered": ["applicant_id"]}
+STORED_KEYS = PRIMARY_KEYS | {
+    "registered": ["applicant_id"],
+    "best": ["run_bucket", "dr_id", "crs_id"],
+}
+# Stored tables whose rows follow the buckets of another table, by the column that names them.
+FOLLOWED_BUCKETS = {"best": "run_bucket"}
 
 # (child table, column, parent table, column)
 FOREIGN_KEYS = [

@@ -33,7 +33,9 @@ class Conflict(RuntimeError):
 
 
 def bucket_of(table: str, buckets: int) -> F.Column:
-    """The bucket of a row, by its primary key in the stored types."""
+    """The bucket of a row, by its primary key in the stored types, or as the row names it."""
+    if table in schemas.FOLLOWED_BUCKETS:
+        return F.col(schemas.FOLLOWED_BUCKETS[table]).cast("int")
     types = {f.name: f.dataType for f in schemas.STORED[table].fields}
     keys = [F.col(k).cast(types[k]) for k in schemas.STORED_KEYS[table]]
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
@@ -133,9 +135,13 @@ class Change:
         self.base = store.version()
         self.state = store.state(self.base)
 
-    def read(self, table: str) -> DataFrame:
-        """A table as this change has left it so far."""
-        return self.store._rows(table, self.state)
+    def read(self, table: str, buckets: list[str] | None = None) -> DataFrame:
+        """A table, or some buckets of it, as this change has left it so far."""
+        return self.store._rows(table, self.state, buckets)
+
+    def buckets(self, table: str) -> int:
+        """The number of buckets of a table, 0 if there is none."""
+        return self.state.get(table, {}).get("buckets", 0)
 
     def create(self, df: DataFrame, table: str, buckets: int = 1) -> None:
         """A table of these rows, whether there is one or not."""
@@ -164,6 +170,16 @@ class Change:
                 entry["folders"][bucket] = [written[bucket]] if bucket in written else []
         return touched
 
+    def replace(self, table: str, buckets: list[str], df: DataFrame) -> None:
+        """Make ``df`` all there is in some buckets of a table, which other buckets' rows must not be in."""
+        entry = self._entry(table)
+        written = self._write(df, table)
+        stray = set(written) - set(buckets)
+        if stray:
+            raise ValueError(f"rows of {table} belong to the buckets {sorted(stray)}")
+        for bucket in buckets:
+            entry["folders"][bucket] = [written[bucket]] if bucket in written else []
+
     def commit(self) -> int:
         """Make the change seen, or raise ``Conflict`` if another one came first."""
         self.store._create(json.dumps(self.state), f"{self.base + 1:010d}")

@@ -784,6 +784,33 @@ select d.driver_id, c.model, d.car + 100 as car from driver d join car c on c.ca
 # What is read back from stored tables equals the plain job.
 TEXTS["stored_edits"] = TEXTS["apply_run_edits"]
 TEXTS["stored_receipts"] = TEXTS["registration_receipts"]
+TEXTS["stored_results"] = _text(
+    """
+select driver_id, first_name, surname, age, model, course_1, course_2, course_3, course_4, course_5,
+       overall, overall is not null as qualified
+from scored""",
+    EDITS.replace("edits as (", "submitted as (", 1).replace(
+        "folded as (",
+        """edits as (
+  select * from submitted
+  where try_cast(run_num as int) is not null and coalesce(wd, '0') in ('0', '1')
+    and (coalesce(cones, '') = '' or coalesce(try_cast(nullif(cones, '') as int) between 0 and 25, false))
+    and (coalesce(time, '') = ''
+         or coalesce(try_cast(time as decimal(18, 6)) between 10 and 120
+                     and try_cast(time as decimal(18, 6)) * 100
+                         = floor(try_cast(time as decimal(18, 6)) * 100), false))),
+folded as (""",
+        1,
+    ),
+    """edited as (
+  select r.dr_id, r.crs_id, r.run_num,
+         case when f.time = '' then null
+              else coalesce(cast(try_cast(f.time as decimal(18, 6)) as double), r.seconds) end as seconds,
+         case when f.cones = '' then null else coalesce(try_cast(f.cones as int), r.cones) end as cones,
+         coalesce(try_cast(f.wd as int), r.wd) as wd
+  from run r left join folded f using (dr_id, crs_id, run_num))""",
+    SCORED.replace("as total from run)", "as total from edited)"),
+)
 TEXTS |= {
     "list_drivers_numbered": _text(_drivers("driver", "d.surname, d.first_name, d.driver_id")),
     "list_drivers_collated": _text(

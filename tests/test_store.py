@@ -1,12 +1,13 @@
 """Changes of stored tables: all or nothing, one after another, and only where something changes."""
 
 import os
+import random
 from datetime import date
 
 import pytest
 
 from heatsheet import schemas
-from heatsheet.plans import constraints, edits, quality, registration, transactions
+from heatsheet.plans import constraints, edits, quality, registration, results, transactions
 from heatsheet.sources.store import Change, Conflict, Store, bucket_of
 
 AS_OF = date(2024, 1, 1)
@@ -203,3 +204,70 @@ def test_a_hot_parent_and_rows_without_one_spread(spark):
     judged = constraints.judged(batch, "driver", {"driver": batch.limit(0), "car": car})
     found = {r.reason: r["count"] for r in judged.groupBy("reason").count().collect()}
     assert found == {"": 2000, "missing:car": 1000}
+
+
+def test_results_after_many_edits_equal_a_full_run(spark, store, conf):
+    conf("spark.sql.shuffle.partitions", "2")
+    keys = [tuple(r) for r in store.read("run").select(*edits.RUN_KEY).collect()]
+    pick = random.Random(7)
+    for _ in range(100):
+        batch = [
+            (
+                i, str(dr), crs, str(num),
+                pick.choice([None, "", "11.5", f"{pick.uniform(10, 120):.2f}"]),
+                pick.choice([None, "", "0", "4"]), pick.choice([None, "0", "1"]),
+            )
+            for i, (dr, crs, num) in enumerate(pick.choices(keys, k=pick.choice([1, 1, 3])))
+        ]
+        transactions.edit_runs(store, spark.createDataFrame(batch, schemas.EDITS))
+    tables = {n: store.read(n) for n in schemas.TABLES}
+    whole = results.stage_results(*(tables[n] for n in ("driver", "car", "run", "course")))
+    got = [tuple(r) for r in transactions.stored_results(store).collect()]
+    assert sorted(got, key=repr) == rows(whole) and len(got) == 9
+    assert rows(transactions.stored_bests(store)) == rows(results.course_bests(tables["run"]))
+
+
+def test_an_edit_renews_only_the_bests_of_its_buckets(spark, store):
+    best = store.read("best").orderBy("best").first()
+    number = store.read("run").filter(f"dr_id = {best.dr_id} and crs_id = '{best.crs_id}'").filter(
+        bucket_of("run", 8) == best.run_bucket
+    ).first().run_num
+    before = files(store, "best")
+    touched = transactions.edit_runs(store, one_edit(spark, (best.dr_id, best.crs_id, number)))
+    after = files(store, "best")
+    assert {b for b in before.keys() | after.keys() if before.get(b) != after.get(b)} <= set(touched)
+    assert touched == [str(best.run_bucket)]
+
+
+def test_results_read_no_runs_and_one_version(spark, store):
+    def paths(df):
+        return {f.partition("/store/")[2].partition("-")[0] for f in df.inputFiles()}
+
+    assert paths(transactions.stored_bests(store)) == {"best"}
+    assert paths(transactions.stored_results(store)) <= {"best", "driver", "car", "course"}
+    version, old = store.version(), rows(transactions.stored_bests(store))
+    transactions.edit_runs(store, one_edit(spark, (129, "F", 1)))
+    assert rows(transactions.stored_bests(store, version)) == old
+
+
+def test_appended_and_blank_runs_keep_the_bests_right(spark, store):
+    runs = spark.createDataFrame(
+        [(129, "F", 77, 10.5, None, 0), (129, "G", 77, 119.0, 3, 1), (129, "A", 78, None, 1, 0)],
+        "dr_id int, crs_id string, run_num int, seconds double, cones int, wd int",
+    )
+    transactions.append_checked(store, runs, "run")
+    transactions.register(store, applicants(spark, 1), AS_OF)
+    assert store.read("run").filter("run_num >= 77 and dr_id = 129").count() > 0
+    assert rows(transactions.stored_bests(store)) == rows(results.course_bests(store.read("run")))
+
+
+def test_a_store_without_bests_computes_them(spark, store, seed):
+    change = store.change()
+    del change.state["best"]
+    change.commit()
+    assert transactions.edit_runs(store, one_edit(spark, (129, "F", 1)))
+    assert rows(transactions.stored_bests(store)) == rows(results.course_bests(store.read("run")))
+    with pytest.raises(ValueError, match="belong"):
+        change = store.change()
+        change.create(spark.createDataFrame([(1, 1, "A", 2.0)], schemas.BEST), "best", 8)
+        change.replace("best", ["0"], spark.createDataFrame([(1, 1, "A", 2.0)], schemas.BEST))
