@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatsheet import schemas
@@ -17,7 +17,7 @@ from heatsheet.functions import (
     refused,
     text_or,
 )
-from heatsheet.operators import lookup_join, number_rows, pair_all
+from heatsheet.operators import GRID_PAIRS, lookup_join, number_rows, pair_all
 
 # Outcomes of an application.
 INSERT_ADULT = "insert_adult"
@@ -189,31 +189,51 @@ def registration_receipts(registered: DataFrame) -> DataFrame:
     )
 
 
-def _splits(df: DataFrame, rows: int | None = None) -> int:
-    """Grid rows for ``pair_all``: the shuffle parallelism, or the row count if that is less."""
-    parallelism = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parallelism if rows is None else max(1, min(parallelism, rows))
+#: Run numbers that travel as one row. Numbers are distinct, so a row holds at most so many.
+NUMBERS_A_ROW = 256
+
+
+def _spans(run: DataFrame) -> DataFrame:
+    """The distinct run numbers, up to ``NUMBERS_A_ROW`` of them a row, as ``numbers``."""
+    span = F.floor(F.col("run_num") / NUMBERS_A_ROW)
+    return run.groupBy(span.alias("span")).agg(F.collect_set("run_num").alias("numbers"))
+
+
+def _courses() -> Column:
+    """The ids of all courses that have a run, of which one character each allows few."""
+    return F.array_sort(F.collect_set("crs_id"))
 
 
 def blank_slots(run: DataFrame) -> DataFrame:
     """Every course that has a run with every run number that occurs."""
-    numbers = run.select("run_num").distinct()
-    courses = run.select("crs_id").distinct()
-    return pair_all(numbers, courses, _splits(run), right_splits=1).select("crs_id", "run_num")
+    return (
+        _spans(run)
+        .select("numbers", F.explode(run.agg(_courses()).scalar()).alias("crs_id"))
+        .select("crs_id", F.explode("numbers").alias("run_num"))
+    )
 
 
 def blank_runs(new_drivers: DataFrame, run: DataFrame) -> DataFrame:
     """An untimed run for each new driver on every slot, as rows of ``run``.
 
-    The result is a product by definition, made on a grid of tasks.
+    The result is a product by definition, made on a grid of tasks; run numbers reach
+    them in sets and become rows only there.
     """
     ids = new_drivers.select(F.col("driver_id").alias("dr_id"))
+    # One reading gives the courses and, to a few per cent, how many spans there are.
+    span = F.floor(F.col("run_num") / NUMBERS_A_ROW)
+    seen = run.agg(
+        F.struct(F.approx_count_distinct(span).alias("spans"), _courses().alias("courses"))
+    ).scalar()
+    slots = _spans(run).select("numbers", F.explode(seen["courses"]).alias("crs_id"))
+    many = seen["spans"] * F.size(seen["courses"])
     types = {f.name: f.dataType for f in run.schema}
     blank = {"seconds": F.lit(None), "cones": F.lit(None), "wd": F.lit(0)}
-    return pair_all(ids, blank_slots(run), _splits(ids, ids.count())).select(
+    pairs = pair_all(ids, slots, right_rows=many, cell_pairs=GRID_PAIRS // NUMBERS_A_ROW)
+    return pairs.select(
         F.col("dr_id").cast(types["dr_id"]).alias("dr_id"),
         "crs_id",
-        "run_num",
+        F.explode("numbers").alias("run_num"),
         *[value.cast(types[name]).alias(name) for name, value in blank.items()],
     )
 

@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatsheet.operators import (
+    grid,
     lookup_join,
     number_rows,
     number_within,
     pair_all,
     stable,
 )
-from heatsheet.plans import cascade, edits, listings, results
+from heatsheet.plans import cascade, edits, listings, registration, results
 
 
 def _plan(df):
@@ -63,13 +64,14 @@ def test_number_within_sorts_no_more_than_a_chunk(spark):
     assert re.search(r"row_number\(\) windowspecdefinition\(g#\d+L?, _chunk", plan)
 
 
-@pytest.mark.parametrize("left_splits, right_splits", [(1, 1), (3, 2), (8, 4)])
-def test_pair_all(spark, conf, left_splits, right_splits):
-    left = spark.range(17).withColumnRenamed("id", "a")
-    right = spark.range(11).withColumnRenamed("id", "b")
-    paired = pair_all(left, right, left_splits, right_splits)
+@pytest.mark.parametrize("a_rows, b_rows", [(17, 11), (1, 50), (50, 1), (1, 1), (0, 5), (5, 0)])
+@pytest.mark.parametrize("cell_pairs", [1 << 22, 2])
+def test_pair_all(spark, conf, a_rows, b_rows, cell_pairs):
+    left = spark.range(a_rows).withColumnRenamed("id", "a")
+    right = spark.range(b_rows).withColumnRenamed("id", "b")
+    paired = pair_all(left, right, 3, cell_pairs=cell_pairs)
     rows = [tuple(r) for r in paired.collect()]
-    assert sorted(rows) == [(a, b) for a in range(17) for b in range(11)]
+    assert sorted(rows) == [(a, b) for a in range(a_rows) for b in range(b_rows)]
     assert "NestedLoop" not in _plan(paired) and "Cartesian" not in _plan(paired)
 
 
@@ -266,3 +268,35 @@ def test_mappings_that_would_break_keys_are_refused(spark):
     changed = cascade.rekey_cascade(tables, "course", mapping)
     assert sorted(r.course_id for r in changed["course"].collect()) == ["A", "B", "F"]
     assert sorted((r.dr_id, r.crs_id) for r in changed["run"].collect()) == [(1, "A"), (1, "B"), (2, "F")]
+
+
+@pytest.mark.parametrize(
+    "left, right, tasks, rows, columns",
+    [
+        (1, 4000, 8, 1, 32),  # one new driver, very many slots
+        (4000, 1, 8, 32, 1),
+        (1000, 1000, 8, 6, 6),
+        (3, 5, 100, 3, 5),  # no more cells than pairs
+        (0, 5, 8, 1, 5),
+        (1 << 20, 1 << 20, 8, 512, 512),  # 4 194 304 pairs a cell
+    ],
+)
+def test_grid_follows_the_sizes(spark, left, right, tasks, rows, columns):
+    cells = spark.range(1).select(grid(F.lit(left), F.lit(right), tasks).alias("g")).first().g
+    assert (cells.rows, cells.columns) == (rows, columns)
+
+
+def test_one_driver_with_many_run_numbers_spreads_over_all_tasks(spark, conf):
+    run = spark.range(1 << 20).selectExpr(
+        "1 as dr_id", "cast(id % 3 as string) as crs_id", "cast(id * 3 as int) as run_num",
+        "1.0D as seconds", "0 as cones", "0 as wd",
+    )
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("blank-runs", "")
+    blank = registration.blank_runs(spark.sql("select 9 as driver_id"), run)
+    assert len(tracker.getJobIdsForGroup("blank-runs")) == 0
+    sizes = [r["count"] for r in blank.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3 << 20
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    plan = _plan(blank)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
