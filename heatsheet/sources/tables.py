@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from heatsheet import schemas
 
+#: Ranges of the key that are counted for each slice of a live table.
+STEPS = 64
+
 
 def read_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(schemas.STORED[table]).parquet(f"{folder}/{table}")
@@ -43,6 +46,55 @@ def key_slices(table: str, partitions: int) -> list[str]:
     return [f"mod(crc32(concat_ws('|', {key})), {partitions}) = {i}" for i in range(partitions)]
 
 
+def histogram_query(table: str, low: int, high: int, partitions: int) -> str:
+    """A subquery for the server: rows of each of at most ``partitions * STEPS`` even ranges of the
+    first key column, which it counts in its index. The width of a range follows low and high."""
+    key, width = schemas.PRIMARY_KEYS[table][0], _step(low, high, partitions)
+    return (
+        f"(select floor(({key} - {low}) / {width}) as step, count(*) as size from {table} "
+        f"group by floor(({key} - {low}) / {width})) h"
+    )
+
+
+def _step(low: int, high: int, partitions: int) -> int:
+    return max(1, -(-(high - low + 1) // (partitions * STEPS)))
+
+
+def index_slices(
+    table: str, sizes: dict[int, int], low: int, high: int, partitions: int
+) -> list[str]:
+    """Conditions that cut a table into about even slices along the index of its key.
+
+    ``sizes`` has the rows of the steps of ``histogram_query``. Neighbouring steps are joined up to
+    an even share; a step with more than a share, such as one driver with a third of all runs, is cut by
+    a hash of the whole key, inside its range. The first slice is open below and the last above, so rows
+    that come after the counting are read too, and every row is in exactly one slice.
+    """
+    key, width = schemas.PRIMARY_KEYS[table][0], _step(low, high, partitions)
+    share = max(1, -(-sum(sizes.values()) // partitions))
+    ranges: list[list[int]] = []  # first step, rows
+    for step in sorted(sizes):
+        if ranges and ranges[-1][1] + sizes[step] <= share:
+            ranges[-1][1] += sizes[step]
+        else:
+            ranges.append([step, sizes[step]])
+    slices = []
+    for n, (step, rows) in enumerate(ranges or [[0, 0]]):
+        limits = [f"{key} >= {low + step * width}"] if n else []
+        if n + 1 < len(ranges):
+            limits.append(f"{key} < {low + ranges[n + 1][0] * width}")
+        parts = -(-rows // share) if rows > share else 1
+        hashed = key_slices(table, parts) if parts > 1 else []
+        slices += [" and ".join([*limits, h]) for h in hashed] or [" and ".join(limits) or "1 = 1"]
+    return slices
+
+
+def _numeric_key(table: str) -> bool:
+    """Whether the first key column is a whole number, whose ranges can be counted."""
+    first = schemas.TABLES[table][schemas.PRIMARY_KEYS[table][0]]
+    return isinstance(first.dataType, IntegerType)
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
@@ -50,12 +102,30 @@ def read_jdbc(
     properties: dict[str, str] | None = None,
     partitions: int = 1,
 ) -> DataFrame:
-    """A table of a live MySQL database, one connection and one slice per partition."""
+    """A table of a live MySQL database, about one connection and one slice per partition.
+
+    Slices follow the server's index where the first key column is a number: its least and greatest
+    value and a histogram between them are asked for first, which is ``partitions * STEPS`` rows
+    at most. Other tables are cut by a hash of the key, which makes the server read the whole table
+    for each slice.
+    """
+    asked = properties or {}
     if partitions == 1:
-        return spark.read.jdbc(url, table, properties=properties or {})
-    return spark.read.jdbc(
-        url, table, predicates=key_slices(table, partitions), properties=properties or {}
-    )
+        return spark.read.jdbc(url, table, properties=asked)
+    if not _numeric_key(table):
+        slices = key_slices(table, partitions)
+    else:
+        key = schemas.PRIMARY_KEYS[table][0]
+        ends = f"(select min({key}) as low, max({key}) as high from {table}) e"
+        low, high = spark.read.jdbc(url, ends, properties=asked).first()
+        if low is None:
+            return spark.read.jdbc(url, table, properties=asked)
+        counted = spark.read.jdbc(
+            url, histogram_query(table, int(low), int(high), partitions), properties=asked
+        )
+        sizes = {int(r["step"]): int(r["size"]) for r in counted.collect()}
+        slices = index_slices(table, sizes, int(low), int(high), partitions)
+    return spark.read.jdbc(url, table, predicates=slices, properties=asked)
 
 
 def append(df: DataFrame, folder: str, table: str) -> None:

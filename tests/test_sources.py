@@ -113,14 +113,80 @@ class _Reader:
         return url, table, options
 
 
-def test_jdbc_reads_even_slices_of_the_key():
+class _Rows(list):
+    def first(self):
+        return self[0]
+
+    def collect(self):
+        return self
+
+
+class _Server(_Reader):
+    """Answers the two questions before a sliced read."""
+
+    def __init__(self, ends, sizes):
+        self.ends, self.sizes, self.asked = ends, sizes, []
+        self.read = self
+
+    def jdbc(self, url, table, **options):
+        if table.startswith("(select min"):
+            self.asked.append(table)
+            return _Rows([self.ends])
+        if table.startswith("("):
+            self.asked.append(table)
+            return _Rows({"step": s, "size": n} for s, n in self.sizes.items())
+        return url, table, options
+
+
+def test_jdbc_reads_slices_of_the_index_and_cuts_a_hot_range():
+    # Steps are 10 wide: 3 slices x 64 steps from 1 to 1920. Step 100 has two thirds of all rows.
+    server = _Server((1, 1920), {0: 10, 3: 10, 50: 25, 100: 140, 101: 5, 191: 20})
     _, table, options = tables.read_jdbc(
-        _Reader(), "jdbc:mysql://db/club", "run", {"user": "u"}, partitions=3
+        server, "jdbc:mysql://db/club", "run", {"user": "u"}, partitions=3
     )
     assert table == "run" and options["properties"] == {"user": "u"}
+    assert server.asked == [
+        "(select min(dr_id) as low, max(dr_id) as high from run) e",
+        "(select floor((dr_id - 1) / 10) as step, count(*) as size from run "
+        "group by floor((dr_id - 1) / 10)) h",
+    ]
+    hashed = "mod(crc32(concat_ws('|', dr_id, crs_id, run_num)), 2)"
     assert options["predicates"] == [
-        f"mod(crc32(concat_ws('|', dr_id, crs_id, run_num)), 3) = {i}" for i in range(3)
+        "dr_id < 1001",
+        f"dr_id >= 1001 and dr_id < 1011 and {hashed} = 0",
+        f"dr_id >= 1001 and dr_id < 1011 and {hashed} = 1",
+        "dr_id >= 1011",
     ]
+
+
+def test_jdbc_without_rows_or_with_text_keys():
+    _, _, options = tables.read_jdbc(_Server((None, None), {}), "u", "run", partitions=3)
+    assert "predicates" not in options
+    _, _, options = tables.read_jdbc(_Server(None, {}), "u", "course", partitions=2)
+    assert options["predicates"] == [f"mod(crc32(concat_ws('|', course_id)), 2) = {i}" for i in range(2)]
+
+
+@pytest.mark.parametrize("partitions", [2, 5, 16])
+@pytest.mark.parametrize("keys", ["id", "if(id % 3 = 0, 7, id)", "7", "id * id - 500", "id % 4 * 1000"])
+def test_index_slices_hold_every_row_once(spark, keys, partitions):
+    run = spark.range(2000).selectExpr(
+        f"cast({keys} as int) as dr_id", "'A' as crs_id", "cast(id as int) as run_num"
+    )
+    run.createOrReplaceTempView("run")
+    low, high = run.selectExpr("min(dr_id)", "max(dr_id)").first()
+    query = tables.histogram_query("run", low, high, partitions)
+    sizes = {r.step: r.size for r in spark.sql(f"select * from {query}").collect()}
+    assert len(sizes) <= partitions * tables.STEPS
+    slices = tables.index_slices("run", sizes, low, high, partitions)
+    held = run.selectExpr(*[f"count_if({s}) as s{n}" for n, s in enumerate(slices)]).first()
+    assert sum(held) == 2000 and max(held) < 2 * 2000 / partitions
+    assert len(slices) <= 2 * partitions + 1
+    beyond = spark.sql(f"select {low - 9} as dr_id, 'A' as crs_id, 1 as run_num union all "
+                       f"select {high + 9}, 'A', 1")
+    assert sum(beyond.selectExpr(*[f"count_if({s})" for s in slices]).first()) == 2
+
+
+def test_plain_jdbc_reads_in_one_piece():
     _, _, plain = tables.read_jdbc(_Reader(), "jdbc:mysql://db/club", "course")
     assert "predicates" not in plain
 
