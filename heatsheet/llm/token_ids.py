@@ -18,9 +18,9 @@ import pyarrow as pa
 from heatsheet.llm import ragged
 
 #: Pieces that a worker remembers, about 40 bytes each. Beyond it the memory starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Text bytes encoded at once; a worker takes some 90 bytes of memory for each.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 256 << 10
 
 #: After these bytes a space may follow white space: blanks, and the last two bytes of the
 #: characters of white space beyond ASCII.
