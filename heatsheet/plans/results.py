@@ -39,9 +39,22 @@ def run_totals(run: DataFrame) -> DataFrame:
 
 
 def stage_bests(run: DataFrame, stages: list[str]) -> DataFrame:
-    """Best total per driver, one column per stage; only drivers with a timed run on one."""
-    bests = course_bests(run.filter(F.col("crs_id").isin(stages)))
-    return scores_of(bests, stages).drop("total", "raced")
+    """Best total per driver, one column per stage; only drivers with a timed run.
+
+    One partial and one final aggregation: before the shuffle each task has already
+    reduced a driver, however many runs they hold, to one row.
+    """
+    return (
+        run.filter(F.col("seconds").isNotNull() & F.col("crs_id").isin(stages))
+        .select("dr_id", "crs_id", attempt_total().alias("total"))
+        .groupBy("dr_id")
+        .agg(
+            *[
+                F.min(F.when(F.col("crs_id") == s, F.col("total"))).alias(stage_column(s))
+                for s in stages
+            ]
+        )
+    )
 
 
 def course_bests(run: DataFrame, *by: str) -> DataFrame:
