@@ -38,12 +38,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(
+    df: DataFrame, name: str, partition_by: str | None = None, files: int | None = None
+) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and every
-    later read sees the same rows even if executors are lost."""
+    later read sees the same rows even if executors are lost. ``files`` bounds the number of
+    files of a table known to be small; its last stage then has no more tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = (df.coalesce(files) if files else df).write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from heatsheet.llm import common
 
+#: Edges for each file that a round writes; no round has more edges than the one before.
+FILE_EDGES = 100_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around."""
@@ -54,7 +57,9 @@ def components(links: DataFrame) -> DataFrame:
     before = _print(edges)
     while before[0]:
         after_large = _large_star(edges)
-        moved = common.written(_small_star(after_large), "edges")
+        moved = common.written(
+            _small_star(after_large), "edges", files=-(-before[0] // FILE_EDGES)
+        )
         now = _print(moved)
         common.forget(edges)
         edges = moved

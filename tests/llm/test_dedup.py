@@ -130,3 +130,12 @@ def test_repeated_bytes(spark):
 )
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).collect() == []
+
+
+def test_rounds_of_components_write_few_files(spark, conf):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf("spark.sql.shuffle.partitions", "30")
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    roots = components(links)
+    assert len(roots.inputFiles()) == 1
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(1, 61)}
