@@ -1,8 +1,8 @@
 """Token ids in checksummed binary files.
 
 A file holds documents of one range of ``doc_id`` in ascending order (NULL first): a header, the
-ids and lengths of the documents, the lengths of the coded blocks, a checksum of all that, and
-the blocks of ``id_coder``. Files are rows of a Parquet table in the shared folder, one file
+ids and lengths of the documents, the lengths of what follows, a checksum of all that, and the
+head and the blocks of ``id_coder``. Files are rows of a Parquet table in the shared folder, one file
 a row, because only Spark's writers reach every store; ``content`` is the file's bytes.
 
 A file is made of about ``FILE_BYTES`` of text, so a task holds one file at a time. A NULL or empty
@@ -28,8 +28,10 @@ TOKENIZER = "word_bpe_49k.json"
 VOCABULARY = 49_408
 END = 1
 FILE_BYTES = 20_000_000
+#: How texts are encoded: text bytes at once, pieces remembered, see ``token_ids.Encoder``.
+ENCODING = {"text_bytes": 1 << 20, "remembered": 1_500_000, "words": True}
 
-MAGIC = b"HSTK\x01"
+MAGIC = b"HSTK\x02"
 _HEAD = struct.Struct("<5sIQQI")
 FILES = "file int, n_ids long, content binary"
 
@@ -79,7 +81,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         doc_ids += batch.column("doc_id").to_pylist()
-        for _, _, found, ends in token_ids.encoded(batch.column("text"), TOKENIZER):
+        for _, _, found, ends in token_ids.encoded(batch.column("text"), TOKENIZER, **ENCODING):
             ids.append(np.insert(found, ends[1:], END))
             lengths.append(np.diff(ends) + 1)
     if not doc_ids:

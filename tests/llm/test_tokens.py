@@ -64,6 +64,80 @@ def test_coder_finds_damage():
         token_file.unpack_file(bytes(content))
 
 
+def test_coder_counts_every_id_in_the_head():
+    r = np.random.default_rng(2)
+    for ids in (r.permutation(49_408)[r.zipf(1.3, 60_000) % 3000], r.integers(0, 49_408, 400) * 0 + 77):
+        share = np.unique(ids, return_counts=True)[1] / len(ids)
+        coded = id_coder.encode(ids, 49_408)
+        # The entropy of the ids, a tenth of it for what two poor predictions cost, and the checksums.
+        least = -(share * np.log2(share)).sum() * len(ids) / 8
+        assert sum(map(len, coded)) < 1.1 * least + len(coded[0]) + 40 * len(coded)
+        assert np.array_equal(id_coder.decode(coded, len(ids), 49_408), ids)
+
+
+@pytest.mark.parametrize("vocabulary", [49_408, 90_000])
+def test_coder_leaves_every_id_a_part(vocabulary):
+    r = np.random.default_rng(3)
+    rare = [np.concatenate([np.zeros(3000, np.int64), r.integers(0, vocabulary, 3)]) for _ in range(6)]
+    ids = np.concatenate([np.arange(vocabulary), *rare, np.tile([5, 6, 7], 2000), np.arange(vocabulary)[::-1]])
+    assert np.array_equal(id_coder.decode(id_coder.encode(ids, vocabulary), len(ids), vocabulary), ids)
+
+
+def test_coder_carries():
+    # Ids of the largest number come last in the interval, so the lower end grows at every step.
+    ids = np.tile(np.arange(300)[::-1], 40)
+    for n in (1, 2, 299, 4095, 4097, len(ids)):
+        assert np.array_equal(id_coder.decode(id_coder.encode(ids[:n], 300), n, 300), ids[:n])
+
+
+def test_damaged_head_or_block_is_found():
+    ids = np.random.default_rng(6).integers(0, 700, 9000)
+    coded = id_coder.encode(ids, 700)
+    for k, block in enumerate(coded):
+        for at in (0, 2, len(block) // 2):
+            broken = [*coded[:k], block[:at] + bytes([block[at] ^ 4]) + block[at + 1 :], *coded[k + 1 :]]
+            with pytest.raises(ValueError):
+                id_coder.decode(broken, len(ids), 700)
+
+
+def test_words_are_given_to_the_library_together():
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(alphabet="aJTHÉéßÿİıK×ǰ.,'\n 7́̌̂￾􏿾", max_size=30), max_size=4))
+    def check(texts):
+        texts = texts + ODD + ["J̌ J ǰ T̈ Éa É A a-b B's", "<|ENDOFTEXT|> Straße NAÏVE naïve"]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        _, _, ids, ends = next(token_ids.encoded(pa.array(texts), token_file.TOKENIZER, **token_file.ENCODING))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+    library = _library(token_file.TOKENIZER)
+    check()
+
+    class Counted:
+        def __init__(self):
+            self.texts = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder = token_ids.Encoder(token_file.TOKENIZER, words=True)
+    encoder.library = counted = Counted()
+    words = [f"{a}{b}{c}é" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    data, offsets = ragged.column(pa.array([" ".join(words)]))
+    ids, _ = encoder.encode(data, offsets)
+    assert ids.tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert counted.texts <= 20
+
+
+def test_distinct_hashes():
+    r = np.random.default_rng(8)
+    for top in (4, 300, 1 << 63):
+        for n in (0, 1, 2, 500):
+            h = r.integers(0, top, n).astype(np.uint64)
+            want = np.unique(h, return_index=True, return_inverse=True)
+            assert all(np.array_equal(a, b) for a, b in zip(token_ids.distinct(h), want))
+
+
 def _ids(rows, name, end):
     library = _library(name)
     return [library.encode(t or "", add_special_tokens=False).ids + [end] for _, t in rows]
