@@ -53,10 +53,13 @@ def written(
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(table: DataFrame) -> None:
-    """Delete a table made by ``written`` once nothing will read it again."""
+def forget(table: DataFrame, part: str = "") -> None:
+    """Delete a table made by ``written`` once nothing will read it again; with ``part``
+    (``/column=value``) only that part of a table partitioned by the column."""
     spark = table.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if not name.endswith(part):
+            continue
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

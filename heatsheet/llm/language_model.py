@@ -256,13 +256,17 @@ def log_probabilities(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     replies = common.written(
         streams.answers(requests, _number_words(parts), "tokens long, words long"), "lm-words"
     )
+    streams.forget_requests(requests)
     totals = replies.agg(
         F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))
     ).first()
     numbered, pairs = streams.written_by_kind(
         streams.regrouped(texts, replies, _ask_pairs(parts), streams.SENT), "lm-numbered"
     )
-    counted = streams.answers(pairs, _count_pairs)
+    for done in (texts, replies):
+        common.forget(done)
+    counted = common.written(streams.answers(pairs, _count_pairs), "lm-counted")
+    streams.forget_requests(pairs)
     scored = streams.regrouped(numbered, counted, _score(parts, *totals, prior), RESULT)
     return scored.select(
         "doc_id",

@@ -215,3 +215,8 @@ def written_by_kind(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         table.filter(F.col("kind") == k).select("slice", "key", "part", "data")
         for k in (STREAM, REQUEST)
     )
+
+
+def forget_requests(requests: DataFrame) -> None:
+    """Delete requests of ``written_by_kind`` once their replies are written; the streams stay."""
+    common.forget(requests, f"/kind={REQUEST}")

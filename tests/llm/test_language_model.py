@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from heatsheet.llm import language_model, streams
+from heatsheet.llm import common, language_model, streams
 
 from cases import awkward, frame, lowered, prose, sort
 
@@ -82,6 +82,20 @@ def test_nothing_learnt_and_no_rows(spark):
     assert language_model.log_probabilities(frame(spark, [])).collect() == []
 
 
+def test_only_what_the_result_reads_is_kept(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    rows = awkward()
+    result = language_model.log_probabilities(frame(spark, rows))
+    files = [f.relative_to(tmp_path).parts for f in tmp_path.rglob("*.parquet")]
+    kept = {(parts[0].rsplit("-", 1)[0], *parts[1:-1]) for parts in files}
+    assert kept == {("lm-numbered", f"kind={streams.STREAM}"), ("lm-counted",)}
+    first, again = sort(result.collect()), sort(result.collect())
+    assert first == again
+    for g, e in zip(first, brute_force(rows), strict=True):
+        assert g[:5] == e[:5]
+        assert g[5:] == pytest.approx(e[5:], rel=1e-9)
+
+
 def test_the_bigram_model_sums_to_one(spark):
     text = prose(3, 400)
     (row,) = language_model.log_probabilities(frame(spark, [(2, text)])).collect()
