@@ -74,7 +74,20 @@ def map_batches(
             if batch.num_rows:
                 yield from work(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
+
+
+def released(
+    work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on a partition, after which the worker gives back what Arrow has freed but kept.
+    Spark keeps workers for later stages, whose executor would go on paying for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def batch(**columns) -> pa.RecordBatch:

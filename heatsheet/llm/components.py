@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from heatsheet.llm import common
 
-#: Edges for each file that a round writes; no round has more edges than the one before.
+#: Edges for each file that is written; there are no more edges than links, and no round has
+#: more than the one before.
 FILE_EDGES = 100_000
 
 
@@ -41,9 +42,14 @@ def _print(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _files(edges: int) -> int:
+    return -(-edges // FILE_EDGES)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for every node of ``links`` (a, b)
     that is not itself a root. Links of a node to itself and repeated links are allowed.
+    ``links`` is read twice and should be stored.
 
     Every round writes its edges to the shared folder; the rounds end when the edges stay
     the same, after a number of them that follows the logarithm of the longest chain.
@@ -53,13 +59,12 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
+        files=_files(links.count()),
     )
     before = _print(edges)
     while before[0]:
         after_large = _large_star(edges)
-        moved = common.written(
-            _small_star(after_large), "edges", files=-(-before[0] // FILE_EDGES)
-        )
+        moved = common.written(_small_star(after_large), "edges", files=_files(before[0]))
         now = _print(moved)
         common.forget(edges)
         edges = moved

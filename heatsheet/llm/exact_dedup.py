@@ -158,7 +158,7 @@ def exact_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFra
         .select("bucket", "key", "norm", "entry", "size", "top", "top_id")
         .repartition("bucket")
         .sortWithinPartitions("bucket", "key")
-        .mapInArrow(_own, "entry long, chain long, size long, top long, top_id long")
+        .mapInArrow(common.released(_own), "entry long, chain long, size long, top long, top_id long")
     )
     chained = common.written(owned, "index-chains")
     groups = chained.groupBy("chain").agg(

@@ -274,7 +274,7 @@ def _across(
         left.unionByName(right)
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(partial(_blocks, how), "a long, b long")
+        .mapInArrow(common.released(partial(_blocks, how)), "a long, b long")
         .distinct()
     )
 

@@ -36,7 +36,8 @@ GROUP = 20_000
 ROUNDS = 12
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", row long, again boolean, sequence_id long, offset long, given_up boolean"
+MARKED = PIECES + ", row long, again boolean"
+PLACED = MARKED + ", sequence_id long, offset long, given_up boolean"
 
 
 def pieces(
@@ -46,12 +47,15 @@ def pieces(
     end: int = END,
     with_ids: bool = False,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, row and, if asked for, the ids of every piece.
-    ``row`` numbers the rows of ``docs``, so row and piece name a piece whatever its doc_id;
-    two calls agree on it if ``docs`` is a stored table."""
+    """doc_id, piece, start, length, ids_crc32, row, again and, if asked for, the ids of every
+    piece. ``row`` numbers the rows of ``docs``, so row and piece name a piece whatever its
+    doc_id; two calls agree on it if ``docs`` is a stored table. ``again`` says what ``_mark``
+    does; it is found here, as a step of its own would need a second worker for each task."""
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         docs_ids, rows = batch.column("doc_id"), batch.column("row")
+        names = docs_ids.to_pandas(integer_object_nulls=True)
+        repeated, most = names.duplicated(keep=False).to_numpy(), {}
         for low, high, ids, ends in token_ids.encoded(batch.column("text"), tokenizer):
             size = np.diff(ends) + 1
             ids = np.insert(ids.astype(np.uint32), ends[1:], np.uint32(end))
@@ -62,6 +66,10 @@ def pieces(
             first = size - (count - 1) * capacity
             start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
             length = np.where(piece == 0, first[row], capacity)
+            before = np.zeros(high - low, np.int64)
+            for i in np.flatnonzero(repeated[low:high]).tolist():
+                before[i] = most.get(names[low + i], 0)
+                most[names[low + i]] = max(int(before[i]), int(count[i]))
             at, raw = begin[row] + start, ids.astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
             columns = {
@@ -71,6 +79,7 @@ def pieces(
                 "length": length,
                 "ids_crc32": np.array(crc, np.int64),
                 "row": rows.slice(low, high - low).take(pa.array(row)),
+                "again": piece < before[row],
             }
             if with_ids:
                 columns["ids"] = pa.ListArray.from_arrays(
@@ -79,7 +88,7 @@ def pieces(
             yield common.batch(**columns)
 
     numbered = common.texts(docs).withColumn("row", F.monotonically_increasing_id())
-    return common.map_batches(numbered, PIECES + ", row long" + ", ids array<int>" * with_ids, cut)
+    return common.map_batches(numbered, MARKED + ", ids array<int>" * with_ids, cut)
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
@@ -165,15 +174,15 @@ def _mark(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``rows`` of ``pieces`` with sequence_id and offset. Pieces without ``row`` count as one
-    row each."""
+    row each; those without ``again`` are marked first."""
     if "row" not in rows.columns:
         rows = rows.withColumn("row", F.monotonically_increasing_id())
-    marked = common.map_batches(
-        rows.select("doc_id", "piece", "start", "length", "ids_crc32", "row"),
-        PIECES + ", row long, again boolean",
-        _mark,
-    )
-    pool = common.written(marked, "pieces")
+    marked = ["doc_id", "piece", "start", "length", "ids_crc32", "row", "again"]
+    if "again" in rows.columns:
+        rows = rows.select(*marked)
+    else:
+        rows = common.map_batches(rows.select(*marked[:-1]), MARKED, _mark)
+    pool = common.written(rows, "pieces")
     done = None
     for turn in range(ROUNDS):
         some = pool.agg(F.count("*").alias("n"), F.sum("length").alias("sum")).first()

@@ -161,7 +161,7 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 [*batch.columns, score], names=[*batch.schema.names, "score"]
             )
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(common.released(score), schema)
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, least: float = THRESHOLD) -> DataFrame:
@@ -174,7 +174,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, least: float = THRESHOLD) ->
             score = _scored(batch.column(batch.schema.get_field_index("text")), shared.value)
             yield batch.filter(pa.array(score >= least))
 
-    return docs.mapInArrow(accept, docs.schema)
+    return docs.mapInArrow(common.released(accept), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from heatsheet.llm import exact_dedup, near_dedup, substring_dedup
+from heatsheet.llm import common, exact_dedup, near_dedup, substring_dedup
 from heatsheet.llm.components import components
 
 from cases import awkward, frame, lowered, prose, sort
@@ -139,3 +139,19 @@ def test_rounds_of_components_write_few_files(spark, conf):
     roots = components(links)
     assert len(roots.inputFiles()) == 1
     assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(1, 61)}
+
+
+def test_first_edges_of_components_are_few_files(spark, conf, monkeypatch):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf("spark.sql.shuffle.partitions", "30")
+    files, plain = [], common.written
+
+    def written(*a, **b):
+        table = plain(*a, **b)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(common, "written", written)
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(1, 61)}
+    assert set(files) == {1}

@@ -242,6 +242,41 @@ def test_sequences_of_rows_without_id_or_sharing_one(spark):
     assert "row" not in packing.packed(docs).columns
 
 
+def test_packing_cuts_and_marks_in_one_worker(spark, monkeypatch):
+    steps, plain = [], packing.common.map_batches
+    monkeypatch.setattr(packing.common, "map_batches", lambda *a: (steps.append(a[1]), plain(*a))[1])
+    monkeypatch.setattr(token_ids.encoded, "__defaults__", (2_000, *token_ids.encoded.__defaults__[1:]))
+    rows = [(i, prose(k, n)) for k, (i, n) in enumerate(
+        [(None, 300), (3, 3000), (None, 3000), (3, 9000), (None, 9), (4, 50), (3, 300), (5, 5000)]
+    )]
+    docs = frame(spark, rows).coalesce(1)
+    got = packing.pieces(docs).orderBy("row", "piece").collect()
+    seen, want = set(), []
+    for r in got:
+        want.append((r.doc_id, r.piece) in seen)
+        seen.add((r.doc_id, r.piece))
+    assert [r.again for r in got] == want and 0 < sum(want) < len(want)
+    steps.clear()
+    placed = packing.packed(docs).collect()
+    assert len(steps) == 1
+    assert sort(r[:5] for r in placed) == sort(r[:5] for r in got)
+    _gapless(placed)
+
+
+def test_workers_give_back_what_arrow_keeps(monkeypatch):
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append("all")
+
+    monkeypatch.setattr(packing.common.pa, "default_memory_pool", Pool)
+    work = packing.common.released(lambda batches: (2 * b for b in batches))
+    rows = work(iter([1, 2]))
+    assert next(rows) == 2 and not given
+    assert list(rows) == [4] and given == ["all"]
+
+
 def test_pieces_of_one_id_are_dealt_to_many_groups(spark):
     rows = spark.createDataFrame([(None, 0, 0, 1000 + k % 40, 0) for k in range(4000)], packing.PIECES)
     groups = {r.sequence_id >> 24 for r in packing.pack(rows, group=500).collect()}
