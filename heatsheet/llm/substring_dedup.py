@@ -21,6 +21,10 @@ Before anything is dealt out, equal suffixes of one slice of the input are reduc
 smallest document, so a passage in a third of all documents costs each bucket a row a slice.
 A bucket holds the samples of about ``BUCKET_BYTES`` of text, whatever the size of the input.
 
+Rows travel in packs, one for each bucket of what a task has collected. The number of packs grows with the
+square of the input, so a task collects ``DEAL_ROWS`` rows from many slices first, and a pack has some
+hundred rows at 10 GB of text. Runs are gathered by document in the end and not dealt to buckets.
+
 NULL texts count as empty and a NULL doc_id as smaller than any other. Of rows that share a doc_id none
 is smaller, so they do not remove one another's strings.
 """
@@ -30,7 +34,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +49,30 @@ LENGTH = 50
 SEED = 25
 SLICE_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
+#: Rows that a task collects from its slices before it deals them to buckets, 37 bytes each at most.
+DEAL_ROWS = 1 << 20
+#: Bytes of packs that are opened at once to gather their rows by document.
+OPEN_BYTES = 4 << 20
 
 _U = np.uint64
 _NONE = -(1 << 63)  # stands for a NULL doc_id
 
-#: What a row of the exchange holds: samples, windows, runs to remove, windows to list.
+#: What a pack of the exchange holds: samples, windows, runs to remove, windows to list.
 SAMPLES, WINDOWS, RUNS, WANTED = range(4)
-PACK = "kind int, bucket long, a binary, b binary, doc binary, text binary, at binary, more binary"
+PACK = "kind int, bucket long, rows binary"
 _KINDS = {"a": np.uint64, "b": np.uint64, "doc": np.int64, "text": np.int64, "at": np.int32, "more": np.uint8}
+_HELD = {
+    SAMPLES: list(_KINDS),
+    WINDOWS: ["a", "doc", "text", "at"],
+    RUNS: ["doc", "text", "at", "more"],
+    WANTED: ["doc", "text", "at", "more"],
+}
+
+_squeezed = zstandard.ZstdCompressor(level=1).compress
+_opened = zstandard.ZstdDecompressor().decompress
+
+#: Rows of one kind by column; hashes that deal them to buckets, or None for one pack of them all.
+Part = tuple[int, np.ndarray | None, dict[str, np.ndarray]]
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -99,46 +119,76 @@ def samples(text: _Text, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return seeds[chosen], ragged.mix(extent), low, high, row[first]
 
 
-def _squeeze(name: str, x: np.ndarray) -> bytes:
-    """A column of a pack: documents as differences, bytes of equal weight side by side."""
-    x = x.astype(_KINDS[name])
-    if name == "doc":
-        x = np.diff(x, prepend=x.dtype.type(0))
-    planes = x.view(np.uint8).reshape(len(x), -1).T
-    return zstandard.compress(planes.tobytes(), 1)
+def _planes(kind: int, columns: dict[str, np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """Rows as bytes of equal weight side by side, documents as differences inside a pack."""
+    n, planes = len(columns["doc"]), []
+    for name in _HELD[kind]:
+        x = columns[name].astype(_KINDS[name])
+        if name == "doc":
+            heads = x[starts]
+            x = np.diff(x, prepend=x.dtype.type(0))
+            x[starts] = heads
+        planes.append(x.view(np.uint8).reshape(n, -1).T)
+    return np.concatenate(planes)
 
 
-def _open(name: str, raw: bytes) -> np.ndarray:
-    dtype = np.dtype(_KINDS[name])
-    if not raw:
-        return np.empty(0, dtype)
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(dtype.itemsize, -1)
-    x = np.ascontiguousarray(planes.T).view(dtype).ravel()
-    return np.cumsum(x, dtype=dtype) if name == "doc" else x
-
-
-def _packs(kind: int, buckets: int, by: np.ndarray, **columns: np.ndarray) -> Iterator[dict]:
+def _packs(buckets: int, part: Part) -> Iterator[tuple[int, int, bytes]]:
     """Rows of the exchange, one for each bucket; the order inside a bucket is kept."""
-    if not len(by):
+    kind, by, columns = part
+    n = len(columns["doc"])
+    if not n:
         return
-    bucket = (by % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, edge):
-        row = {"kind": kind, "bucket": kind * buckets + int(bucket[part[0]])}
-        for name in _KINDS:
-            row[name] = _squeeze(name, columns[name][part]) if name in columns else b""
-        yield row
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-    names = ["kind", "bucket", *_KINDS]
+    if by is None:
+        bucket = ragged.mix(columns["doc"][:1].view(np.uint64)) % _U(buckets)
+        starts = np.zeros(1, np.int64)
+    else:
+        bucket = by % _U(buckets)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        bucket, columns = bucket[order], {name: x[order] for name, x in columns.items()}
+        starts = np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1)
+    planes = _planes(kind, columns, starts)
+    for low, high in zip(starts, np.append(starts[1:], n)):
+        yield kind, kind * buckets + int(bucket[low]), _squeezed(planes[:, low:high].tobytes())
+
+
+def _batch(buckets: int, parts: Iterable[Part]) -> pa.RecordBatch:
+    rows = [row for part in parts for row in _packs(buckets, part)]
+    types = {"kind": pa.int32(), "bucket": pa.int64(), "rows": pa.binary()}
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=names
+        [pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], names=list(types)
     )
 
 
+def _dealt(
+    buckets: int, work: Callable[[pa.RecordBatch], Iterator[list[Part]]]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``work`` makes of the slices of a partition, packed every ``DEAL_ROWS`` rows."""
+
+    def flushed(held: dict[int, list[Part]]) -> pa.RecordBatch:
+        def joined() -> Iterator[Part]:
+            for kind in list(held):
+                parts = held.pop(kind)
+                by = None if parts[0][1] is None else np.concatenate([p[1] for p in parts])
+                yield kind, by, {c: np.concatenate([p[2][c] for p in parts]) for c in _HELD[kind]}
+
+        return _batch(buckets, joined())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = {}, 0
+        for batch in batches:
+            for parts in work(batch):
+                for part in parts:
+                    held.setdefault(part[0], []).append(part)
+                    count += len(part[2]["doc"])
+                if count >= DEAL_ROWS:
+                    yield flushed(held)
+                    held, count = {}, 0
+        if count:
+            yield flushed(held)
+
+    return common.released(run)
+
+
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """Numbers of the runs of equal keys."""
     new = np.zeros(len(keys[0]), bool)
@@ -147,26 +197,28 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _runs(buckets, doc, text, low, size) -> Iterator[dict]:
-    """Runs to remove, dealt by document."""
-    return _packs(RUNS, buckets, ragged.mix(doc.view(np.uint64)), doc=doc, text=text, at=low, more=size)
+def _runs(doc, text, low, size) -> Part:
+    """Runs to remove."""
+    return RUNS, None, {"doc": doc, "text": text, "at": low, "more": size.astype(np.uint8)}
 
 
-def _windows(buckets, hashes, doc, text, at) -> Iterator[dict]:
+def _windows(hashes, doc, text, at) -> list[Part]:
     """Windows of one slice: repeats inside it are removed, the smallest documents dealt out."""
     order = np.lexsort((doc, hashes))
     hashes, doc, text, at = hashes[order], doc[order], text[order], at[order]
     group = _groups(hashes)
     least = doc[np.searchsorted(group, group)]
     more = doc > least
-    yield from _runs(buckets, doc[more], text[more], at[more], np.full(more.sum(), LENGTH))
     keep = np.flatnonzero(~more)
     keep = keep[np.lexsort((at[keep], text[keep], doc[keep]))]
-    yield from _packs(WINDOWS, buckets, hashes[keep], a=hashes[keep], doc=doc[keep], text=text[keep], at=at[keep])
+    return [
+        _runs(doc[more], text[more], at[more], np.full(more.sum(), LENGTH)),
+        (WINDOWS, hashes[keep], {"a": hashes[keep], "doc": doc[keep], "text": text[keep], "at": at[keep].astype(np.int32)}),
+    ]
 
 
 def _first_pass(buckets: int):
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def work(batch: pa.RecordBatch) -> Iterator[list[Part]]:
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
         for first, _, data, offsets in ragged.slices(batch.column("text"), SLICE_BYTES):
             text = _Text(data)
@@ -183,34 +235,46 @@ def _first_pass(buckets: int):
             least = doc[head]
             gone = ~mixed & (doc > least)
             start = low - offsets[row]
-            rows = list(_runs(buckets, doc[gone], mark[gone], start[gone], (high - low + LENGTH)[gone]))
+            parts = [_runs(doc[gone], mark[gone], start[gone], (high - low + LENGTH)[gone])]
             keep = np.flatnonzero((~mixed & ~gone) | (mixed & (head == np.arange(len(head)))))
             keep = keep[np.lexsort((low[keep],))]
-            rows += _packs(
-                SAMPLES, buckets, seed[keep],
+            columns = {
                 # Seeds that agree in 32 bits alone are compared by their windows like any tie.
-                a=seed[keep] >> _U(32), b=np.where(mixed, _U(0), extent)[keep] >> _U(16), doc=doc[keep], text=mark[keep],
-                at=start[keep], more=np.where(mixed, 255, high - low)[keep],
-            )
+                "a": seed[keep] >> _U(32),
+                "b": np.where(mixed, _U(0), extent)[keep] >> _U(16),
+                "doc": doc[keep],
+                "text": mark[keep],
+                "at": start[keep].astype(np.int32),
+                "more": np.where(mixed, 255, high - low)[keep].astype(np.uint8),
+            }
+            parts.append((SAMPLES, seed[keep], columns))
             own = np.flatnonzero(mixed)
             count = (high - low + 1)[own]
             at = ragged.spread(low[own], count)
             which = np.repeat(own, count)
-            rows += _windows(
-                buckets, text.hash(at, at + LENGTH), doc[which], mark[which], at - offsets[row[which]]
+            parts += _windows(
+                text.hash(at, at + LENGTH), doc[which], mark[which], at - offsets[row[which]]
             )
-            if rows:
-                yield _batch(rows)
+            yield parts
 
-    return work
+    return _dealt(buckets, work)
 
 
-def _columns(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
-    rows = table.filter(pc.equal(table.column("kind"), kind))
-    return {
-        name: np.concatenate([_open(name, raw) for raw in rows.column(name).to_pylist()])
-        for name in _KINDS
-    }
+def _columns(kind: int, packs: list[bytes]) -> dict[str, np.ndarray]:
+    types = {name: np.dtype(_KINDS[name]) for name in _HELD[kind]}
+    width = sum(t.itemsize for t in types.values())
+    parts = [np.frombuffer(_opened(raw), np.uint8).reshape(width, -1) for raw in packs]
+    planes, sizes = np.concatenate(parts, axis=1), np.array([p.shape[1] for p in parts])
+    columns, low = {}, 0
+    for name, dtype in types.items():
+        x = np.ascontiguousarray(planes[low : low + dtype.itemsize].T).view(dtype).ravel()
+        low += dtype.itemsize
+        if name == "doc":
+            x = np.cumsum(x, dtype=dtype)
+            ends = np.cumsum(sizes)
+            x -= np.repeat(np.append(dtype.type(0), x[ends[:-1] - 1]), sizes)
+        columns[name] = x
+    return columns
 
 
 def _rank(buckets: int):
@@ -219,7 +283,7 @@ def _rank(buckets: int):
     def work(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() != SAMPLES:
             return table
-        c = _columns(table, SAMPLES)
+        c = _columns(SAMPLES, table.column("rows").to_pylist())
         order = np.lexsort((c["doc"], c["b"], c["a"]))
         seed, extent, doc, text, at, more = (c[k][order] for k in ("a", "b", "doc", "text", "at", "more"))
         by_seed = _groups(seed)
@@ -228,12 +292,9 @@ def _rank(buckets: int):
         edge = (extent[head] != extent[tail]) | marked[head]
         gone = ~marked & (doc > doc[np.searchsorted(rank := _groups(seed, extent), rank)])
         want = edge & ~gone & ~marked
-        rows = list(_runs(buckets, doc[gone], text[gone], at[gone], more[gone].astype(int) + LENGTH))
-        rows += _packs(
-            WANTED, buckets, ragged.mix(doc[want].view(np.uint64)),
-            doc=doc[want], text=text[want], at=at[want], more=more[want],
-        )
-        return pa.Table.from_batches([_batch(rows)])
+        columns = {"doc": doc[want], "text": text[want], "at": at[want], "more": more[want]}
+        parts = [_runs(doc[gone], text[gone], at[gone], more[gone].astype(int) + LENGTH), (WANTED, None, columns)]
+        return pa.Table.from_batches([_batch(buckets, parts)])
 
     return work
 
@@ -241,7 +302,7 @@ def _rank(buckets: int):
 def _list_windows(buckets: int):
     """Texts with the samples whose windows are wanted."""
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def work(batch: pa.RecordBatch) -> Iterator[list[Part]]:
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
         wanted = batch.column("runs").to_pylist()
         for first, end, data, offsets in ragged.slices(batch.column("text"), SLICE_BYTES):
@@ -253,16 +314,11 @@ def _list_windows(buckets: int):
                 row.append(np.full(len(pairs), i - first))
             count, row = np.concatenate(count), np.concatenate(row)
             at, row = ragged.spread(np.concatenate(low), count), np.repeat(row, count)
-            rows = list(
-                _windows(
-                    buckets, text.hash(at, at + LENGTH), ids[first + row], marks[first + row],
-                    at - offsets[row],
-                )
+            yield _windows(
+                text.hash(at, at + LENGTH), ids[first + row], marks[first + row], at - offsets[row]
             )
-            if rows:
-                yield _batch(rows)
 
-    return work
+    return _dealt(buckets, work)
 
 
 def _least_windows(buckets: int):
@@ -271,37 +327,48 @@ def _least_windows(buckets: int):
     def work(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() != WINDOWS:
             return table
-        c = _columns(table, WINDOWS)
+        c = _columns(WINDOWS, table.column("rows").to_pylist())
         order = np.lexsort((c["doc"], c["a"]))
         hashes, doc, text, at = (c[k][order] for k in ("a", "doc", "text", "at"))
         group = _groups(hashes)
         gone = doc > doc[np.searchsorted(group, group)]
-        rows = list(_runs(buckets, doc[gone], text[gone], at[gone], np.full(gone.sum(), LENGTH)))
-        return pa.Table.from_batches([_batch(rows)])
+        runs = _runs(doc[gone], text[gone], at[gone], np.full(gone.sum(), LENGTH))
+        return pa.Table.from_batches([_batch(buckets, [runs])])
 
     return work
 
 
-def _by_document(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Packed runs as rows of doc_id, row, and (start, size) pairs; overlapping runs merged."""
-    table = pa.Table.from_batches([batch])
-    kinds = set(table.column("kind").to_pylist())
-    for kind in kinds:
-        c = _columns(table, kind)
-        doc, text, at, more = (c[k] for k in ("doc", "text", "at", "more"))
-        order = np.lexsort((at, text, doc))
-        doc, text, at, more = doc[order], text[order], at[order], more[order].astype(np.int32)
+def _by_document(kind: int):
+    """Packs of one kind as rows of doc_id, row, and (start, size) pairs; overlapping runs merged."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        packs = batch.column("rows")
+        share = pc.binary_length(packs).to_numpy().astype(np.int64).cumsum() // OPEN_BYTES
+        edges = np.flatnonzero(np.diff(share)) + 1
+        for low, high in zip([0, *edges], [*edges, len(packs)]):
+            yield gathered(packs[low:high].to_pylist())
+
+    def gathered(packs: list[bytes]) -> pa.RecordBatch:
+        c = _columns(kind, packs)
+        order = np.lexsort((c["at"], c["text"], c["doc"]))
+        doc, text, at, more = (c[k][order] for k in ("doc", "text", "at", "more"))
         group = _groups(doc, text)
-        heads = np.flatnonzero(np.diff(group, prepend=-1))
-        pairs = np.stack([at, more], axis=1).astype(np.int32)
-        ends = np.append(heads[1:], len(group))
         if kind == RUNS:
-            merged = [_merge(pairs[a:b]) for a, b in zip(heads, ends)]
+            # Documents lie too far apart to touch, so the runs of all are merged at once.
+            apart = group << 33
+            pairs = _merge(np.stack([apart + at, more], axis=1))
+            heads = np.searchsorted(apart + at, pairs[:, 0])
+            doc, text, group = doc[heads], text[heads], group[heads]
+            pairs[:, 0] -= group << 33
         else:
-            merged = [pairs[a:b] for a, b in zip(heads, ends)]
-        yield common.batch(
-            doc_id=doc[heads], row=text[heads], runs=pa.array([m.tobytes() for m in merged], pa.binary())
-        )
+            pairs = np.stack([at, more], axis=1)
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = (np.append(heads, len(group)) * 8).astype(np.int32)
+        raw = np.ascontiguousarray(pairs.astype(np.int32))
+        runs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        return common.batch(doc_id=doc[heads], row=text[heads], runs=runs)
+
+    return work
 
 
 def _merge(pairs: np.ndarray) -> np.ndarray:
@@ -311,7 +378,7 @@ def _merge(pairs: np.ndarray) -> np.ndarray:
     new[1:] = start[1:] > end[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return np.stack([start[first], end[last] - start[first]], axis=1).astype(np.int32)
+    return np.stack([start[first], end[last] - start[first]], axis=1)
 
 
 def _apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -376,7 +443,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(plain: DataFrame, buckets: int) -> DataFrame:
-    packs = common.map_batches(plain, PACK, _first_pass(buckets))
+    packs = plain.mapInArrow(_first_pass(buckets), PACK)
     return common.written(packs.groupBy("bucket").applyInArrow(_rank(buckets), PACK), "ranked")
 
 
@@ -384,7 +451,7 @@ def _collected(packs: DataFrame, kind: int) -> DataFrame:
     """doc_id, row and the packed (start, size) pairs of one kind."""
     return (
         common.map_batches(
-            packs.filter(F.col("kind") == kind), "doc_id long, row long, runs binary", _by_document
+            packs.filter(F.col("kind") == kind), "doc_id long, row long, runs binary", _by_document(kind)
         )
         .groupBy("doc_id", "row")
         .agg(F.collect_list("runs").alias("runs"))
@@ -393,7 +460,7 @@ def _collected(packs: DataFrame, kind: int) -> DataFrame:
 
 def _resolved(plain: DataFrame, ranked: DataFrame, buckets: int) -> DataFrame:
     wanted = _collected(ranked, WANTED)
-    listed = common.map_batches(plain.join(wanted, ["doc_id", "row"]), PACK, _list_windows(buckets))
+    listed = plain.join(wanted, ["doc_id", "row"]).mapInArrow(_list_windows(buckets), PACK)
     windows = ranked.filter(F.col("kind") == WINDOWS).unionByName(listed)
     return common.written(
         windows.groupBy("bucket").applyInArrow(_least_windows(buckets), PACK), "windows"

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from heatsheet.llm import common, exact_dedup, near_dedup, substring_dedup
@@ -124,6 +125,73 @@ def test_repeated_bytes(spark):
     assert sort(substring_dedup.repeated_bytes(frame(spark, rows)).collect()) == sort(_repeated(rows))
 
 
+def _packed(texts, buckets):
+    """Packs that the first pass makes of the texts, in batches of four."""
+    made = []
+    for k in range(0, len(texts), 4):
+        ids = np.arange(k, k + len(texts[k : k + 4]))
+        made.append(common.batch(doc_id=ids, row=0 * ids, text=pa.array(texts[k : k + 4])))
+    return pa.Table.from_batches(list(substring_dedup._first_pass(buckets)(iter(made))))
+
+
+def _unpacked(table):
+    rows = set()
+    for kind in set(table["kind"].to_pylist()):
+        packs = table.filter(pc.equal(table["kind"], kind))["rows"].to_pylist()
+        columns = substring_dedup._columns(kind, packs)
+        rows |= {(kind, *row) for row in zip(*(c.tolist() for c in columns.values()))}
+    return rows
+
+
+def test_slices_share_the_packs_of_a_bucket(monkeypatch):
+    """Packs for each slice and bucket grow with the square of the input."""
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 5000)
+    same, two = prose(60, 30), prose(61, 30)
+    texts = [f"{prose(70 + k, 200)} {same if k % 3 else two} {same[: 40 + k]}" for k in range(60)]
+    texts += [f"x{two}{same}", ""]
+    few = _packed(texts, 16)
+    assert few.num_rows <= 2 * 16 + 1
+    monkeypatch.setattr(substring_dedup, "DEAL_ROWS", 1)
+    many = _packed(texts, 16)
+    assert many.num_rows > 3 * few.num_rows
+    assert _unpacked(few) == _unpacked(many) and {r[0] for r in _unpacked(few)} == {0, 1, 2}
+
+
+def test_a_bucket_of_samples_gives_one_pack_of_a_kind(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 2000)
+    table = _packed([f"{prose(80 + k, 40)} {prose(90 + k % 5, 40)}" for k in range(40)], 4)
+    found = 0
+    for bucket in set(table["bucket"].to_pylist()):
+        out = substring_dedup._rank(1000)(table.filter(pc.equal(table["bucket"], bucket)))
+        assert out.num_rows <= 2 or out["kind"][0].as_py() != substring_dedup.RUNS
+        found += out["kind"].to_pylist().count(substring_dedup.RUNS)
+    assert found
+
+
+@pytest.mark.parametrize("open_bytes", [1 << 20, 1])
+def test_runs_are_merged_inside_a_text(monkeypatch, open_bytes):
+    monkeypatch.setattr(substring_dedup, "OPEN_BYTES", open_bytes)
+    least = substring_dedup._NONE
+    rows = [(5, 0, 0, 50), (5, 0, 50, 60), (5, 0, 111, 50), (5, 9, 100, 50), (least, 0, 7, 75),
+            (least, 0, 20, 50), (7, 0, 0, 50), (7, 0, (1 << 31) - 60, 55), (5, 0, 30, 50)]
+    parts = []
+    for some in (rows[:4], rows[4:]):
+        doc, text, at, more = (np.array(c, np.int64) for c in zip(*some))
+        parts.append(substring_dedup._runs(doc, text, at, more))
+    found = {}
+    for out in substring_dedup._by_document(substring_dedup.RUNS)(substring_dedup._batch(8, parts)):
+        for r in out.to_pylist():
+            pairs = np.frombuffer(r["runs"], np.int32).reshape(-1, 2).tolist()
+            found.setdefault((r["doc_id"], r["row"]), []).extend(pairs)
+    if open_bytes > 1:
+        assert found == {
+            (least, 0): [[7, 75]], (5, 0): [[0, 110], [111, 50]], (5, 9): [[100, 50]],
+            (7, 0): [[0, 50], [(1 << 31) - 60, 55]],
+        }
+    else:
+        assert sorted(found[5, 0]) == [[0, 110], [30, 50], [111, 50]] and len(found) == 4
+
+
 @pytest.mark.parametrize(
     "operator",
     [exact_dedup.exact_duplicates, near_dedup.near_duplicates, substring_dedup.repeated_bytes],
